@@ -6,14 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # A plain decimal / scientific literal, optionally padded with whitespace.
-# Guarding try_cast with it keeps Java-only spellings ("1d", "1.5f") and
-# NaN/Infinity from being accepted.
-NUMBER_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+# Only the captured literal reaches try_cast, so Java-only spellings ("1d",
+# "1.5f") and NaN/Infinity are rejected.
+NUMBER_TEXT = r"^\s*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)\s*$"
 
 
 def to_number(text: Column) -> Column:
-    """Coercing numeric parse: a numeric literal becomes a double, anything else null."""
-    return F.when(text.rlike(NUMBER_TEXT), F.trim(text).try_cast("double"))
+    """Coercing numeric parse: a numeric literal becomes a double, anything else null.
+
+    The input is referenced once (extract, then try_cast of '' is null), so
+    when Catalyst inlines this into pushed-down filters the input
+    expression is not duplicated.
+    """
+    return F.regexp_extract(text, NUMBER_TEXT, 1).try_cast("double")
 
 
 def as_double(c: Column, is_text: bool) -> Column:

@@ -14,6 +14,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 
 from tierscope.config import CONFIG, Config
+from tierscope.operators import research as R
 from tierscope.operators.clean import clean_listings
 from tierscope.operators.features import engineer_features
 from tierscope.plans.market import market_view
@@ -24,6 +25,11 @@ from tierscope.sources.tables import listings_raw
 _PREPARED: dict[tuple, str] = {}
 
 
+def loaded_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw listings as stored (the research reader applies its own NA rule)."""
+    return listings_raw(spark, sf_dir)
+
+
 def loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw listings with the missing-value spellings turned into nulls."""
     return normalize_missing(listings_raw(spark, sf_dir))
@@ -42,17 +48,39 @@ def prepare(spark: SparkSession, sf_dir: str, out: str, cfg: Config = CONFIG) ->
     write_snapshot(features(spark, sf_dir, cfg), out, cfg.snapshot_date)
 
 
-def prepared(spark: SparkSession, sf_dir: str, cfg: Config = CONFIG) -> DataFrame:
-    """Feature table read back from its written snapshot (prepared once per process)."""
-    key = (spark.sparkContext.applicationId, sf_dir, cfg)
+def _materialized(spark: SparkSession, name: str, sf_dir: str, cfg: Config, build) -> DataFrame:
+    """Write ``build()`` once per process under the checkpoint folder and read it back."""
+    key = (spark.sparkContext.applicationId, name, sf_dir, cfg)
     if key not in _PREPARED:
         tag = hashlib.sha1(repr((sf_dir, cfg)).encode()).hexdigest()[:16]
-        path = f"{checkpoint_dir(spark).rstrip('/')}/tierscope_features/{tag}"
-        prepare(spark, sf_dir, path, cfg)
+        path = f"{checkpoint_dir(spark).rstrip('/')}/tierscope_{name}/{tag}"
+        write_snapshot(build(), path, cfg.snapshot_date)
         _PREPARED[key] = path
     return read_snapshot(spark, _PREPARED[key], cfg.snapshot_date).drop("snapshot_date")
 
 
+def prepared(spark: SparkSession, sf_dir: str, cfg: Config = CONFIG) -> DataFrame:
+    """Feature table read back from its written snapshot (prepared once per process)."""
+    return _materialized(spark, "features", sf_dir, cfg, lambda: features(spark, sf_dir, cfg))
+
+
+def research_priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.research_priced(loaded_raw(spark, sf_dir))
+
+
+def research_filtered(spark: SparkSession, sf_dir: str, cfg: Config = CONFIG) -> DataFrame:
+    return R.research_filtered(loaded_raw(spark, sf_dir), cfg)
+
+
+def research_features(spark: SparkSession, sf_dir: str, cfg: Config = CONFIG) -> DataFrame:
+    return R.research_features(loaded_raw(spark, sf_dir), cfg)
+
+
+def research_prepared(spark: SparkSession, sf_dir: str, cfg: Config = CONFIG) -> DataFrame:
+    return _materialized(spark, "research", sf_dir, cfg,
+                         lambda: research_features(spark, sf_dir, cfg))
+
+
 def market(spark: SparkSession, sf_dir: str, cfg: Config = CONFIG) -> DataFrame:
     """Prepared feature table under the dashboard's default filters."""
     return market_view(prepared(spark, sf_dir, cfg))

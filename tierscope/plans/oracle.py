@@ -155,3 +155,86 @@ def with_base(body: str, extra: dict[str, str] | None = None) -> str:
     if extra:
         ctes.update(extra)
     return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in ctes.items()) + "\n" + body
+
+
+# ----------------------------------------------------------------------------- research
+def pct_round2_sql(cnt: str, n: str) -> str:
+    num = f"(CAST({cnt} AS BIGINT) * 10000)"
+    q = f"({num} // {n})"
+    r = f"({num} - {q} * {n})"
+    return (f"(({q} + CASE WHEN 2 * {r} > {n} OR (2 * {r} = {n} AND {q} % 2 = 1) THEN 1 ELSE 0 END)"
+            f" / 100.0e0)")
+
+
+_RSTR = [c for c in _STRING_RAW]
+R_LOADED = "SELECT id, ingest_seq, " + ", ".join(
+    (f"CASE WHEN {c} IS NULL OR {c} IN ('', 'NA') THEN NULL WHEN {c} = 'N/A' THEN '' ELSE {c} END AS {c}"
+     if c in _RSTR else c) for c in RAW_COLUMNS if c != "id") + " FROM listings_raw"
+
+# Text columns whose every value is 't'/'f' become boolean; in this data
+# that is host_identity_verified only (the others have missing values).
+R_PRICED = f"""
+SELECT id, price, property_type, room_type, accommodates, bedrooms, bathrooms, amenities,
+  neighbourhood_cleansed, latitude, longitude, host_is_superhost, host_response_rate,
+  host_listings_count, host_identity_verified = 't' AS host_identity_verified, review_scores_rating,
+  number_of_reviews, reviews_per_month, availability_365, minimum_nights,
+  {_num("regexp_replace(price, '[$,]', '', 'g')")} AS price_numeric,
+  {_tier(_num("regexp_replace(price, '[$,]', '', 'g')"), _R.budget_max, _R.mid_market_max,
+         ("Budget", "MidMarket", "Premium"), lowest=True)} AS price_category
+FROM r_loaded"""
+
+R_FILTERED = f"""
+SELECT * REPLACE (host_is_superhost = 't' AS host_is_superhost,
+  {_num("replace(host_response_rate, '%', '')")} / 100.0e0 AS host_response_rate),
+  CAST(CASE WHEN amenities IS NULL OR amenities = '' OR amenities = '[]' THEN 0
+       ELSE (length(amenities) - length(replace(amenities, '",', ''))) // 2 + 1 END AS INTEGER) AS amenities_count
+FROM r_priced WHERE price_numeric > 0 AND price_numeric <= {_R.max_price!r}e0"""
+
+R_IMPUTED = """
+SELECT * REPLACE (coalesce(reviews_per_month, 0.0e0) AS reviews_per_month,
+  coalesce(host_is_superhost, false) AS host_is_superhost,
+  coalesce(host_listings_count, 1.0e0) AS host_listings_count,
+  coalesce(host_identity_verified, false) AS host_identity_verified,
+  coalesce(bathrooms, (SELECT median(bathrooms) FROM r_filtered)) AS bathrooms,
+  coalesce(review_scores_rating, (SELECT median(review_scores_rating) FROM r_filtered)) AS review_scores_rating,
+  coalesce(host_response_rate, (SELECT median(host_response_rate) FROM r_filtered)) AS host_response_rate,
+  coalesce(bedrooms, CAST(ceil(accommodates / 2) AS DOUBLE)) AS bedrooms)
+FROM r_filtered"""
+
+R_DISTINCT = f"""
+SELECT DISTINCT *,
+  coalesce(neighbourhood_cleansed IN {_in_list(RESEARCH_POPULAR_AREAS)}, false) AS is_popular_area,
+  sqrt(pow(latitude - ({_F.cbd_lat!r}e0), 2) + pow(longitude - ({_F.cbd_lon!r}e0), 2)) AS distance_from_cbd,
+  CASE WHEN accommodates <= 2 THEN 'Small' WHEN accommodates <= 4 THEN 'Medium'
+       WHEN accommodates <= 8 THEN 'Large' ELSE 'Extra Large' END AS property_size,
+  CASE WHEN host_listings_count = 1 THEN 'Single Property' WHEN host_listings_count <= 5 THEN 'Small Portfolio'
+       ELSE 'Large Portfolio' END AS host_experience,
+  CASE WHEN availability_365 < 90 THEN 'Low' WHEN availability_365 < 180 THEN 'Medium' ELSE 'High' END
+    AS availability_level
+FROM r_imputed"""
+
+R_FEATURES = f"""
+SELECT * REPLACE (
+  CASE WHEN property_type IS NULL THEN NULL
+       WHEN property_type IN (SELECT property_type FROM r_distinct WHERE property_type IS NOT NULL
+                              GROUP BY 1 HAVING count(*) >= {_R.property_type_min_count}) THEN property_type
+       ELSE 'Other' END AS property_type,
+  CASE WHEN neighbourhood_cleansed IS NULL THEN NULL
+       WHEN neighbourhood_cleansed IN (SELECT neighbourhood_cleansed FROM r_distinct
+                                       WHERE neighbourhood_cleansed IS NOT NULL GROUP BY 1
+                                       HAVING count(*) >= {_R.neighbourhood_min_count}) THEN neighbourhood_cleansed
+       ELSE 'Other' END AS neighbourhood_cleansed)
+FROM r_distinct"""
+
+RESEARCH_CTES = {
+    "r_loaded": R_LOADED,
+    "r_priced": R_PRICED,
+    "r_filtered": R_FILTERED,
+    "r_imputed": R_IMPUTED,
+    "r_distinct": R_DISTINCT,
+    "research": R_FEATURES,
+}
+
+
+def with_research(body: str) -> str:
+    return with_base(body, RESEARCH_CTES)

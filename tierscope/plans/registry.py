@@ -310,3 +310,429 @@ def c25(spark, sf):
         mk.representative_rate(f), keys, "inner")
     return mk.revenue_outlook(rates, F.col("availability_365")).select(
         "id", "rate", "open_nights", "revenue_est", "revenue_low", "revenue_high")
+
+
+# ----------------------------------------------------------------------------- research + profiling
+from tierscope.operators import research as R  # noqa: E402
+from tierscope.plans import profile as pf  # noqa: E402
+from tierscope.plans.oracle import pct_round2_sql, with_research  # noqa: E402
+
+_RESEARCH_COLS = """id, price, property_type, room_type, accommodates, bedrooms, bathrooms, amenities,
+  neighbourhood_cleansed, latitude, longitude, host_is_superhost, host_response_rate, host_listings_count,
+  host_identity_verified, review_scores_rating, number_of_reviews, reviews_per_month, availability_365,
+  minimum_nights, price_numeric, price_category"""
+
+
+@register("f03_research_features", with_research("SELECT * FROM research"))
+def f03(spark, sf):
+    return base.research_features(spark, sf)
+
+
+@register("f05_research_medians", with_research("""
+SELECT median(bathrooms) AS bathrooms, median(review_scores_rating) AS review_scores_rating,
+  median(host_response_rate) AS host_response_rate FROM r_filtered"""))
+def f05(spark, sf):
+    return base.research_filtered(spark, sf).agg(
+        F.median("bathrooms").alias("bathrooms"),
+        F.median("review_scores_rating").alias("review_scores_rating"),
+        F.median("host_response_rate").alias("host_response_rate"))
+
+
+@register("d02_distinct_report", with_research("""
+SELECT (SELECT count(*) FROM r_imputed) AS rows_before,
+       (SELECT count(*) FROM (SELECT DISTINCT * FROM r_imputed)) AS rows_after,
+       (SELECT count(*) FROM r_imputed) - (SELECT count(*) FROM (SELECT DISTINCT * FROM r_imputed)) AS removed"""))
+def d02(spark, sf):
+    return R.distinct_report(base.loaded_raw(spark, sf))
+
+
+@register("e02_price_summary", with_research("""
+SELECT min(price_numeric) AS min, quantile_cont(price_numeric, 0.25) AS q1, median(price_numeric) AS median,
+  avg(price_numeric) AS mean, quantile_cont(price_numeric, 0.75) AS q3, max(price_numeric) AS max,
+  count(*) FILTER (WHERE price_numeric IS NULL) AS n_missing FROM r_priced"""))
+def e02(spark, sf):
+    return pf.price_summary(base.research_priced(spark, sf))
+
+
+def _missing_sql(src: str, cols: str) -> str:
+    names = [c.strip() for c in cols.replace("\n", " ").split(",") if c.strip()]
+    counts = ", ".join(f"count(*) FILTER (WHERE {c} IS NULL) AS {c}" for c in names)
+    return f"""
+WITH c AS (SELECT count(*) AS _n, {counts} FROM {src}),
+l AS (UNPIVOT c ON {", ".join(names)} INTO NAME variable VALUE missing_count)
+SELECT variable, missing_count, {pct_round2_sql("missing_count", "_n")} AS missing_percent
+FROM l WHERE missing_count > 0"""
+
+
+@register("e20_missing_profile", with_research(_missing_sql("r_priced", _RESEARCH_COLS)))
+def e20(spark, sf):
+    return pf.missing_profile(base.research_priced(spark, sf))
+
+
+@register("e20_missing_after_filter", with_research(
+    _missing_sql("r_filtered", _RESEARCH_COLS + ", amenities_count")))
+def e20b(spark, sf):
+    return pf.missing_profile(base.research_filtered(spark, sf))
+
+
+_ALL_RESEARCH = _RESEARCH_COLS + """, amenities_count, is_popular_area, distance_from_cbd, property_size,
+  host_experience, availability_level"""
+
+
+@register("e21_completeness", with_research(f"""
+SELECT total_obs, complete_cases, {pct_round2_sql("complete_cases", "total_obs")} AS completeness_pct
+FROM (SELECT count(*) AS total_obs,
+        count(*) FILTER (WHERE {" AND ".join(c.strip() + " IS NOT NULL" for c in _ALL_RESEARCH.split(","))})
+          AS complete_cases FROM research)"""))
+def e21(spark, sf):
+    return pf.completeness(base.research_prepared(spark, sf))
+
+
+@register("e22_outlier_count", with_research("""
+SELECT count(*) FILTER (WHERE price_numeric > (SELECT quantile_cont(price_numeric, 0.99) FROM r_priced)
+                           OR price_numeric < (SELECT quantile_cont(price_numeric, 0.01) FROM r_priced))
+  AS price_outliers FROM r_priced"""))
+def e22(spark, sf):
+    return pf.outlier_count(base.research_priced(spark, sf))
+
+
+@register("e23_cardinality", with_research("""
+SELECT count(DISTINCT neighbourhood_cleansed) + max(CAST(neighbourhood_cleansed IS NULL AS INTEGER)) AS n_neighbourhoods,
+       count(DISTINCT property_type) + max(CAST(property_type IS NULL AS INTEGER)) AS n_property_types
+FROM r_priced"""))
+def e23(spark, sf):
+    return pf.cardinality(base.research_priced(spark, sf))
+
+
+@register("e24_class_imbalance", with_research("""
+SELECT max_n / total AS max_share, min_n / total AS min_share, (max_n / total) / (min_n / total) AS imbalance_ratio
+FROM (SELECT max(n) AS max_n, min(n) AS min_n, sum(n) AS total
+      FROM (SELECT price_category, count(*) AS n FROM r_priced WHERE price_category IS NOT NULL GROUP BY 1))"""))
+def e24(spark, sf):
+    return pf.class_imbalance(base.research_priced(spark, sf))
+
+
+@register("e25_property_type_tiers", with_research("""
+SELECT property_type, price_category, n FROM (
+  SELECT property_type, price_category, count(*) AS n,
+         sum(count(*)) OVER (PARTITION BY property_type) AS type_n
+  FROM research GROUP BY 1, 2) WHERE type_n >= 50"""))
+def e25(spark, sf):
+    return pf.property_type_tiers(base.research_prepared(spark, sf))
+
+
+@register("e26_host_type_pivot", with_research("""
+SELECT host_type,
+  count(*) FILTER (WHERE price_category = 'Budget') AS Budget,
+  count(*) FILTER (WHERE price_category = 'MidMarket') AS MidMarket,
+  count(*) FILTER (WHERE price_category = 'Premium') AS Premium
+FROM (SELECT CASE WHEN host_is_superhost THEN 'Superhost' ELSE 'Regular Host' END AS host_type, price_category
+      FROM research WHERE host_is_superhost IS NOT NULL)
+GROUP BY host_type"""))
+def e26(spark, sf):
+    return pf.host_type_pivot(base.research_prepared(spark, sf))
+
+
+@register("e27_superhost_value_counts", with_research(
+    "SELECT host_is_superhost, count(*) AS n FROM r_filtered GROUP BY 1"))
+def e27(spark, sf):
+    return pf.superhost_value_counts(base.research_filtered(spark, sf))
+
+
+@register("e28_tier_means", with_research("""
+SELECT price_category, avg(accommodates) AS mean_accommodates, avg(bedrooms) AS mean_bedrooms,
+  avg(bathrooms) AS mean_bathrooms, avg(amenities_count) AS mean_amenities,
+  avg(number_of_reviews) AS mean_reviews, avg(review_scores_rating) AS mean_rating,
+  avg(distance_from_cbd) AS mean_distance_cbd, avg(availability_365) AS mean_availability
+FROM research GROUP BY 1"""))
+def e28(spark, sf):
+    return pf.tier_means(base.research_prepared(spark, sf))
+
+
+@register("e29_tier_by_superhost", with_research("""
+SELECT price_category, host_is_superhost, count(*) AS n,
+  count(*) / sum(count(*)) OVER (PARTITION BY price_category) AS share
+FROM research GROUP BY 1, 2"""))
+def e29a(spark, sf):
+    return pf.tier_crosstab(base.research_prepared(spark, sf), "host_is_superhost")
+
+
+@register("e29_tier_by_room_type", with_research("""
+SELECT price_category, room_type, count(*) AS n,
+  count(*) / sum(count(*)) OVER (PARTITION BY price_category) AS share
+FROM research GROUP BY 1, 2"""))
+def e29b(spark, sf):
+    return pf.tier_crosstab(base.research_prepared(spark, sf), "room_type")
+
+
+_BOX_UNION = " UNION ALL ".join(
+    f"SELECT price_category, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM research WHERE {c} IS NOT NULL"
+    for c in pf.BOX_FEATURES)
+
+
+@register("e30_box_stats", with_research(f"""
+WITH l AS ({_BOX_UNION}),
+q AS (SELECT price_category, feature, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
+             quantile_cont(value, 0.75) AS q3 FROM l GROUP BY 1, 2)
+SELECT l.price_category, l.feature, q1, median, q3,
+  min(value) FILTER (WHERE value >= q1 - 1.5e0 * (q3 - q1) AND value <= q3 + 1.5e0 * (q3 - q1)) AS whisker_low,
+  max(value) FILTER (WHERE value >= q1 - 1.5e0 * (q3 - q1) AND value <= q3 + 1.5e0 * (q3 - q1)) AS whisker_high,
+  count(*) FILTER (WHERE NOT (value >= q1 - 1.5e0 * (q3 - q1) AND value <= q3 + 1.5e0 * (q3 - q1))) AS n_outliers
+FROM l JOIN q ON l.price_category IS NOT DISTINCT FROM q.price_category AND l.feature = q.feature
+GROUP BY 1, 2, 3, 4, 5"""))
+def e30(spark, sf):
+    return pf.box_stats(base.research_prepared(spark, sf))
+
+
+_CORR_COLS = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in pf.CORRELATION_FEATURES)
+
+
+@register("e31_price_correlations", with_research(f"""
+WITH cc AS (SELECT {_CORR_COLS} FROM research
+            WHERE {" AND ".join(c + " IS NOT NULL" for c in pf.CORRELATION_FEATURES)}),
+r AS (SELECT {", ".join(f"corr(price_numeric, {c}) AS {c}" for c in pf.CORRELATION_FEATURES)} FROM cc)
+UNPIVOT r ON {", ".join(pf.CORRELATION_FEATURES)} INTO NAME feature VALUE correlation"""))
+def e31(spark, sf):
+    return pf.price_correlations(base.research_prepared(spark, sf))
+
+
+@register("e32_top_neighbourhoods", with_research("""
+SELECT neighbourhood_cleansed, count(*) AS n FROM research GROUP BY 1
+ORDER BY n DESC, neighbourhood_cleansed LIMIT 15"""))
+def e32(spark, sf):
+    return pf.top_neighbourhoods(base.research_prepared(spark, sf))
+
+
+@register("e33_top_neighbourhood_prices", with_research("""
+WITH top AS (SELECT neighbourhood_cleansed FROM research GROUP BY 1 ORDER BY count(*) DESC, neighbourhood_cleansed LIMIT 15)
+SELECT neighbourhood_cleansed, count(*) AS count, median(price_numeric) AS median_price,
+  avg(CASE WHEN price_category = 'Premium' THEN 1.0e0 ELSE 0.0e0 END) * 100 AS premium_pct
+FROM research WHERE neighbourhood_cleansed IN (SELECT neighbourhood_cleansed FROM top) GROUP BY 1"""))
+def e33(spark, sf):
+    return pf.top_neighbourhood_prices(base.research_prepared(spark, sf))
+
+
+def _hist_sql(value: str, src: str, bins: int) -> str:
+    return _HIST.format(value=value, src=src, bins=bins, last=bins - 1)
+
+
+@register("e37_price_histogram_50", with_research(_hist_sql("price_numeric", "research", 50)))
+def e37a(spark, sf):
+    return mk.histogram(base.research_prepared(spark, sf), F.col("price_numeric"), 50)
+
+
+@register("e37_accommodates_histogram_15", with_research(
+    _hist_sql("CAST(accommodates AS DOUBLE)", "research", 15)))
+def e37b(spark, sf):
+    return mk.histogram(base.research_prepared(spark, sf), F.col("accommodates").cast("double"), 15)
+
+
+@register("e37_bedrooms_histogram_10", with_research(_hist_sql("bedrooms", "research", 10)))
+def e37c(spark, sf):
+    return mk.histogram(base.research_prepared(spark, sf), F.col("bedrooms"), 10)
+
+
+@register("e37_tier_price_histogram_30", with_research("""
+WITH v AS (SELECT price_category, price_numeric AS x FROM research WHERE price_numeric IS NOT NULL),
+b AS (SELECT price_category, min(x) AS lo, max(x) AS hi FROM v GROUP BY 1)
+SELECT v.price_category, CASE WHEN hi - lo = 0 THEN 0
+         ELSE CAST(least(floor((x - lo) * (30.0e0 / (hi - lo))), 29) AS INTEGER) END AS bin,
+       count(*) AS n
+FROM v JOIN b ON v.price_category IS NOT DISTINCT FROM b.price_category GROUP BY 1, 2"""))
+def e37d(spark, sf):
+    return mk.histogram(base.research_prepared(spark, sf), F.col("price_numeric"), 30,
+                        ["price_category"]).drop("bin_lo", "bin_hi")
+
+
+# ----------------------------------------------------------------------------- splits + evaluation
+from tierscope.operators import split as sp  # noqa: E402
+from tierscope.plans import evaluation as ev  # noqa: E402
+
+# Per-class test counts: ceil(share * n) in total, floor of the proportional
+# share per class, leftovers to the largest fractional parts (ties by label).
+_ALLOC = """
+WITH c AS (SELECT price_category, count(*) AS n_c FROM prepared GROUP BY 1),
+t AS (SELECT *, sum(n_c) OVER () AS n, CAST(ceil({share}e0 * sum(n_c) OVER ()) AS BIGINT) AS n_test FROM c),
+f AS (SELECT *, n_c * n_test / n AS cont, floor(n_c * n_test / n) AS fl FROM t),
+g AS (SELECT *, cont - fl AS rem, n_test - sum(fl) OVER () AS short FROM f),
+a AS (SELECT price_category, n_c,
+        CAST(fl + CASE WHEN row_number() OVER (ORDER BY rem DESC, price_category) <= short THEN 1 ELSE 0 END AS BIGINT) AS t_c
+      FROM g)"""
+
+
+def _split_summary_sql(share: float) -> str:
+    return _ALLOC.format(share=share) + """
+, s AS (SELECT 'test' AS split, price_category, t_c AS n FROM a
+        UNION ALL SELECT 'train' AS split, price_category, n_c - t_c AS n FROM a)
+SELECT split, price_category, n, n / sum(n) OVER (PARTITION BY split) AS share_in_split,
+       n / sum(n) OVER () AS share_of_all FROM s"""
+
+
+def _prepared_cte(body: str) -> str:
+    return with_base(body, {"prepared": "SELECT * FROM features"})
+
+
+@register("j01_stratified_split", _prepared_cte(_split_summary_sql(0.2)))
+def j01(spark, sf):
+    return sp.split_summary(sp.stratified_split(base.prepared(spark, sf)))
+
+
+@register("j02_stratified_split_70_30", _prepared_cte(_split_summary_sql(0.3)))
+def j02(spark, sf):
+    return sp.split_summary(sp.stratified_split(base.prepared(spark, sf), test_size=0.3, folds=None))
+
+
+@register("j04_stratified_folds", _prepared_cte(_ALLOC.format(share=0.2) + """
+, tr AS (SELECT price_category, n_c - t_c AS m FROM a),
+folds AS (SELECT * FROM range(5) r(fold))
+SELECT CAST(fold AS INTEGER) AS fold, price_category,
+       CAST(m // 5 + CASE WHEN fold < m % 5 THEN 1 ELSE 0 END AS BIGINT) AS n
+FROM tr JOIN folds ON true"""))
+def j04(spark, sf):
+    s = sp.stratified_split(base.prepared(spark, sf))
+    return (s.where(F.col("split") == "train").groupBy("fold", "price_category")
+             .agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("j05_repeated_folds")
+def j05(spark, sf):
+    """Repeated stratified k-fold (3 seeds x 5 folds): fold sizes per repeat."""
+    df = base.prepared(spark, sf)
+    parts = []
+    for rep, seed in enumerate((42, 43, 44)):
+        s = sp.stratified_split(df, test_size=0.3, seed=seed)
+        parts.append(s.where(F.col("split") == "train").groupBy("fold", "price_category")
+                      .agg(F.count(F.lit(1)).alias("n")).withColumn("repeat", F.lit(rep)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+_PSEUDO = """
+SELECT id, price_category AS label,
+  CASE WHEN room_type = 'Entire home/apt' THEN 'Premium' WHEN room_type = 'Hotel room' THEN 'Mid-Market'
+       ELSE 'Budget' END AS prediction,
+  -CAST(accommodates AS DOUBLE) AS "score_Budget", -abs(CAST(accommodates AS DOUBLE) - 4.0e0) AS "score_Mid-Market",
+  CAST(accommodates AS DOUBLE) + coalesce(bedrooms, 0.0e0) AS "score_Premium",
+  accommodates, bedrooms, review_scores_rating, distance_from_cbd_km, amenities_count
+FROM features"""
+
+
+def _eval_sql(body: str) -> str:
+    return with_base(body, {"pred": _PSEUDO})
+
+
+def _pred(spark, sf):
+    return ev.pseudo_predictions(base.prepared(spark, sf))
+
+
+_CM = """
+cm AS (SELECT l.c AS label, p.c AS prediction, CAST(coalesce(x.n, 0) AS BIGINT) AS n
+       FROM (VALUES ('Budget'), ('Mid-Market'), ('Premium')) l(c)
+       JOIN (VALUES ('Budget'), ('Mid-Market'), ('Premium')) p(c) ON true
+       LEFT JOIN (SELECT label, prediction, count(*) AS n FROM pred GROUP BY 1, 2) x
+         ON x.label = l.c AND x.prediction = p.c)"""
+
+_PC = _CM + """,
+pc0 AS (SELECT r.label AS class, r.tp, r.support, c.predicted - r.tp AS fp, r.support - r.tp AS fn,
+               (SELECT count(*) FROM pred) AS n_total
+        FROM (SELECT label, sum(CASE WHEN label = prediction THEN n ELSE 0 END) AS tp, sum(n) AS support
+              FROM cm GROUP BY 1) r
+        JOIN (SELECT prediction, sum(n) AS predicted FROM cm GROUP BY 1) c ON c.prediction = r.label),
+pc AS (SELECT class, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn,
+         CAST(n_total - tp - fp - fn AS BIGINT) AS tn, CAST(support AS BIGINT) AS support,
+         CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0e0 END AS precision,
+         CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0e0 END AS recall,
+         CASE WHEN (n_total - tp - fp - fn) + fp > 0 THEN (n_total - tp - fp - fn) / ((n_total - tp - fp - fn) + fp)
+              ELSE 0.0e0 END AS specificity,
+         CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0e0 END AS f1
+       FROM pc0)"""
+
+
+@register("j18_confusion_matrix", _eval_sql("WITH " + _CM + " SELECT * FROM cm"))
+def j18(spark, sf):
+    return ev.confusion_matrix(_pred(spark, sf))
+
+
+@register("j19_normalized_confusion", _eval_sql(
+    "WITH " + _CM + " SELECT label, prediction, n, n / sum(n) OVER (PARTITION BY label) AS share FROM cm"))
+def j19(spark, sf):
+    return ev.normalized_confusion(_pred(spark, sf))
+
+
+@register("j20_per_class_metrics", _eval_sql("WITH " + _PC + " SELECT * FROM pc"))
+def j20(spark, sf):
+    return ev.per_class_metrics(_pred(spark, sf))
+
+
+@register("j21_summary_metrics", _eval_sql("WITH " + _PC + """
+, s AS (SELECT sum(tp) AS tp_sum, sum(support) AS n, avg(precision) AS precision_macro, avg(recall) AS recall_macro,
+          avg(f1) AS f1_macro, sum(support * (tp + fp)) AS pe_num FROM pc)
+SELECT tp_sum / n AS accuracy, precision_macro, recall_macro, f1_macro,
+  CASE WHEN pe_num / (n * n) < 1 THEN (tp_sum / n - pe_num / (n * n)) / (1 - pe_num / (n * n)) ELSE 0.0e0 END AS kappa,
+  CAST(n AS BIGINT) AS n FROM s"""))
+def j21(spark, sf):
+    return ev.summary_metrics(_pred(spark, sf))
+
+
+_LONG_SCORES = """
+long AS (SELECT label, 'Budget' AS class, "score_Budget" AS score FROM pred
+         UNION ALL SELECT label, 'Mid-Market', "score_Mid-Market" FROM pred
+         UNION ALL SELECT label, 'Premium', "score_Premium" FROM pred),
+vc AS (SELECT class, score, count(*) FILTER (WHERE label = class) AS pos,
+              count(*) FILTER (WHERE label <> class) AS neg FROM long GROUP BY 1, 2),
+cum AS (SELECT *, coalesce(sum(pos) OVER w, 0) AS pos_below, coalesce(sum(neg) OVER w, 0) AS neg_below
+        FROM vc WINDOW w AS (PARTITION BY class ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+@register("j22_auc_ovr", _eval_sql("WITH " + _LONG_SCORES + """,
+per AS (SELECT class, CASE WHEN sum(pos) > 0 AND sum(neg) > 0
+                           THEN sum(pos * (neg_below + 0.5e0 * neg)) / (sum(pos) * sum(neg)) END AS auc
+        FROM cum GROUP BY class)
+SELECT class, auc FROM per UNION ALL SELECT 'macro', avg(auc) FROM per"""))
+def j22(spark, sf):
+    return ev.auc_ovr(_pred(spark, sf))
+
+
+@register("j23_roc_points", _eval_sql("WITH " + _LONG_SCORES + """
+SELECT class, score AS threshold,
+  (sum(neg) OVER (PARTITION BY class) - neg_below) / sum(neg) OVER (PARTITION BY class) AS fpr,
+  (sum(pos) OVER (PARTITION BY class) - pos_below) / sum(pos) OVER (PARTITION BY class) AS tpr
+FROM cum"""))
+def j23(spark, sf):
+    return ev.roc_points(_pred(spark, sf))
+
+
+@register("j27_misclassification_patterns", _eval_sql("""
+SELECT label, prediction, count(*) AS n,
+  count(*) / (SELECT count(*) FROM pred WHERE label <> prediction) AS share_of_errors
+FROM pred WHERE label <> prediction GROUP BY 1, 2"""))
+def j27(spark, sf):
+    return ev.misclassification_patterns(_pred(spark, sf))
+
+
+_J28_FEATURES = ["accommodates", "bedrooms", "review_scores_rating", "distance_from_cbd_km", "amenities_count"]
+
+
+@register("j28_correct_vs_incorrect", _eval_sql(
+    "SELECT label = prediction AS correct, " + ", ".join(f"avg({c}) AS mean_{c}" for c in _J28_FEATURES)
+    + " FROM pred GROUP BY 1"))
+def j28(spark, sf):
+    return ev.correct_vs_incorrect_means(_pred(spark, sf), _J28_FEATURES)
+
+
+@register("j29_accuracy_by_class", _eval_sql("""
+SELECT label, avg(CASE WHEN label = prediction THEN 1.0e0 ELSE 0.0e0 END) AS accuracy, count(*) AS n
+FROM pred GROUP BY 1"""))
+def j29(spark, sf):
+    return ev.accuracy_by_class(_pred(spark, sf))
+
+
+@register("j30_tier_distance_errors", _eval_sql("""
+SELECT tier_distance, n, n / sum(n) OVER () AS share FROM (
+  SELECT CAST(abs(list_position(['Budget', 'Mid-Market', 'Premium'], label)
+                  - list_position(['Budget', 'Mid-Market', 'Premium'], prediction)) AS INTEGER) AS tier_distance,
+         count(*) AS n FROM pred GROUP BY 1)"""))
+def j30(spark, sf):
+    return ev.tier_distance_errors(_pred(spark, sf))

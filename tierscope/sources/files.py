@@ -18,9 +18,12 @@ def _string_columns(df: DataFrame) -> list[str]:
 def normalize_missing(df: DataFrame, na_strings: list[str] = NA_STRINGS) -> DataFrame:
     """Turn the missing-value spellings into real nulls in every string column."""
     na = F.array(*[F.lit(s) for s in na_strings])
+
+    def clean(c):
+        # Single reference to the input: [c] minus the NA set, first element.
+        return F.try_element_at(F.array_except(F.array(c), na), F.lit(1))
     return df.select(*[
-        F.when(F.array_contains(na, F.col(f.name)), F.lit(None)).otherwise(F.col(f.name)).alias(f.name)
-        if isinstance(f.dataType, T.StringType) else F.col(f.name)
+        clean(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name)
         for f in df.schema.fields
     ])
 
@@ -40,6 +43,9 @@ def read_listings_csv(spark: SparkSession, path: str, partitions: int | None = N
     df = df.withColumn("ingest_seq", F.monotonically_increasing_id())
     if partitions:
         df = df.repartition(partitions)
+    else:
+        from tierscope.sources.tables import spread
+        df = spread(df)
     return normalize_missing(df)
 
 

@@ -60,6 +60,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer partitions than the cluster has cores.
+
+    A single small file (or a gzip file) is one task; everything up to the
+    first shuffle would run on one core.  Large inputs already have far
+    more splits than cores, so for them this is a no-op and adds no shuffle.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def listings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw listing rows (all 24 required columns plus ``ingest_seq``).
 
@@ -69,8 +80,8 @@ def listings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     return spark.sql(
         LISTINGS_RAW_TEMPLATE,
-        orders=read_table(spark, sf_dir, "orders").select(
-            "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_totalprice"),
+        orders=spread(read_table(spark, sf_dir, "orders").select(
+            "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_totalprice")),
         customer=read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"),
         nation=read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"),
     )
