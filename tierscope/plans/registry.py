@@ -736,3 +736,78 @@ SELECT tier_distance, n, n / sum(n) OVER () AS share FROM (
          count(*) AS n FROM pred GROUP BY 1)"""))
 def j30(spark, sf):
     return ev.tier_distance_errors(_pred(spark, sf))
+
+
+# ----------------------------------------------------------------------------- models (no SQL oracle)
+from tierscope.plans import model as M  # noqa: E402
+
+
+def _split_parts(spark, sf):
+    split, numeric, categorical = M.training_frame(base.prepared(spark, sf))
+    split = split.checkpoint()
+    return (split.where(F.col("split") == "train"), split.where(F.col("split") == "test"),
+            numeric, categorical)
+
+
+def _metrics_frame(spark, rows: list[dict]) -> DataFrame:
+    cols = ["model", "accuracy", "precision_macro", "recall_macro", "f1_macro", "kappa",
+            "roc_auc_ovr_macro", "n"]
+    return spark.createDataFrame([tuple(r.get(c) for c in cols) for r in rows],
+                                 "model string, accuracy double, precision_macro double, recall_macro double, "
+                                 "f1_macro double, kappa double, roc_auc_ovr_macro double, n long")
+
+
+def _fit_eval(name: str):
+    def q(spark, sf):
+        train, test, numeric, categorical = _split_parts(spark, sf)
+        cand = M.candidates(n_train=train.count())[name]
+        model = M.fit_candidate(cand, train, numeric, categorical)
+        return M.scored_frame(model, test).select(
+            "id", "label", "prediction", *[F.col(f"score_{t}") for t in ("Budget", "Mid-Market", "Premium")])
+    return q
+
+
+for _key, _name in [("j06_majority_baseline", "baseline_majority"), ("j08_logistic_regression", "logistic_regression"),
+                    ("j09_random_forest", "random_forest"), ("j10_gradient_boosting", "gradient_boosting"),
+                    ("j12_naive_bayes", "naive_bayes"), ("j14_linear_svm", "linear_svm")]:
+    register(_key)(_fit_eval(_name))
+
+_LDA_COLUMNS = ["accommodates", "bedrooms", "beds", "bathrooms", "review_scores_rating", "number_of_reviews",
+                "availability_365", "minimum_nights", "distance_from_cbd_km", "amenities_count"]
+
+
+@register("j11_linear_discriminant")
+def j11(spark, sf):
+    train, test, _, _ = _split_parts(spark, sf)
+    coefs = M.fit_lda(train, _LDA_COLUMNS)
+    return M.lda_predict(coefs, test.select("id", F.col("price_category").alias("label"), *_LDA_COLUMNS)
+                         .dropna(), _LDA_COLUMNS).select("id", "label", "prediction", "score_Budget",
+                                                          "score_Mid-Market", "score_Premium")
+
+
+_J15_CANDIDATES = ("baseline_majority", "logistic_regression", "naive_bayes")
+
+
+@register("j15_model_selection")
+def j15(spark, sf):
+    rows, _, _, _ = M.train_and_select(base.prepared(spark, sf), names=_J15_CANDIDATES)
+    return spark.createDataFrame(
+        [(r["model"], r["cv_mean"], r["cv_std"], r["cv_folds"], r["accuracy"], r["f1_macro"],
+          r["roc_auc_ovr_macro"], r["selected"]) for r in rows],
+        "model string, cv_mean double, cv_std double, cv_folds int, accuracy double, f1_macro double, "
+        "roc_auc_ovr_macro double, selected boolean")
+
+
+@register("j17_batch_scoring")
+def j17(spark, sf):
+    train, _, numeric, categorical = _split_parts(spark, sf)
+    model = M.fit_candidate(M.candidates(n_train=train.count())["logistic_regression"], train, numeric,
+                            categorical)
+    return M.score_batch(model, base.prepared(spark, sf))
+
+
+@register("j26_tree_importance")
+def j26(spark, sf):
+    train, _, numeric, categorical = _split_parts(spark, sf)
+    model = M.fit_candidate(M.candidates(n_train=train.count())["random_forest"], train, numeric, categorical)
+    return spark.createDataFrame(M.input_importances(model)[:15], "feature string, importance double")
