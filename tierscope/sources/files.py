@@ -17,11 +17,9 @@ def _string_columns(df: DataFrame) -> list[str]:
 
 def normalize_missing(df: DataFrame, na_strings: list[str] = NA_STRINGS) -> DataFrame:
     """Turn the missing-value spellings into real nulls in every string column."""
-    na = F.array(*[F.lit(s) for s in na_strings])
-
     def clean(c):
-        # Single reference to the input: [c] minus the NA set, first element.
-        return F.try_element_at(F.array_except(F.array(c), na), F.lit(1))
+        # More than ten literals: planned as one static hash-set lookup (InSet).
+        return F.when(c.isin(*na_strings), F.lit(None).cast("string")).otherwise(c)
     return df.select(*[
         clean(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name)
         for f in df.schema.fields

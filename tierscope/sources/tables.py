@@ -60,15 +60,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer partitions than the cluster has cores.
+def spread(df: DataFrame, unique_key: str | None = None) -> DataFrame:
+    """Spread a scan that yields fewer partitions than the cluster has cores.
 
     A single small file (or a gzip file) is one task; everything up to the
     first shuffle would run on one core.  Large inputs already have far
     more splits than cores, so for them this is a no-op and adds no shuffle.
+    With a unique key, hash partitioning is used (even by construction and
+    cheaper than round-robin, which sorts rows first to stay deterministic).
     """
     target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, unique_key) if unique_key else df.repartition(target)
 
 
 def listings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +85,7 @@ def listings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(
         LISTINGS_RAW_TEMPLATE,
         orders=spread(read_table(spark, sf_dir, "orders").select(
-            "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_totalprice")),
+            "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_totalprice"), "o_orderkey"),
         customer=read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"),
         nation=read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"),
     )
