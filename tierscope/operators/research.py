@@ -22,6 +22,7 @@ from tierscope.functions.geo import degree_distance
 from tierscope.functions.parse import r_as_numeric_price, r_percent
 from tierscope.operators.features import collapse_rare
 from tierscope.operators.impute import fill_constants, fill_derived, fill_medians
+from tierscope.session import checkpoint_dir
 from tierscope.sources.files import coerce_tf_columns
 
 # The notebooks' reader treats these spellings as missing.
@@ -87,6 +88,11 @@ def research_features(raw: DataFrame, cfg: Config = CONFIG) -> DataFrame:
     df = df.distinct().withColumn(
         "price_category",
         research_price_category(F.col("price_numeric"), rc.budget_max, rc.mid_market_max))
+    # Both rare-level passes read this frame twice (count, then join back):
+    # a reliable checkpoint in the shared folder computes it once and cuts
+    # the lineage for recovery.
+    checkpoint_dir(df.sparkSession)
+    df = df.checkpoint(eager=True)
     df = collapse_rare(df, "property_type", rc.property_type_min_count)
     return collapse_rare(df, "neighbourhood_cleansed", rc.neighbourhood_min_count)
 

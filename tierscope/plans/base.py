@@ -20,19 +20,30 @@ from tierscope.operators.features import engineer_features
 from tierscope.plans.market import market_view
 from tierscope.session import checkpoint_dir
 from tierscope.sources.files import normalize_missing, read_snapshot, write_snapshot
-from tierscope.sources.tables import listings_raw
+from tierscope.sources.tables import listings_raw, spread
 
 _PREPARED: dict[tuple, str] = {}
 
 
+def landed_raw(spark: SparkSession, sf_dir: str, cfg: Config = CONFIG) -> DataFrame:
+    """The raw snapshot landed once as Parquet (hash-spread on the listing id).
+
+    Downstream jobs then scan plain string columns: pushed-down filters
+    evaluate on stored values in parallel scan tasks, instead of
+    re-deriving the raw strings inside one task per input file.
+    """
+    return _materialized(spark, "raw", sf_dir, cfg,
+                         lambda: spread(listings_raw(spark, sf_dir), "id"))
+
+
 def loaded_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw listings as stored (the research reader applies its own NA rule)."""
-    return listings_raw(spark, sf_dir)
+    return landed_raw(spark, sf_dir)
 
 
 def loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw listings with the missing-value spellings turned into nulls."""
-    return normalize_missing(listings_raw(spark, sf_dir))
+    return normalize_missing(landed_raw(spark, sf_dir))
 
 
 def cleaned(spark: SparkSession, sf_dir: str, cfg: Config = CONFIG) -> DataFrame:

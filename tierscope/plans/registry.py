@@ -811,3 +811,10 @@ def j26(spark, sf):
     train, _, numeric, categorical = _split_parts(spark, sf)
     model = M.fit_candidate(M.candidates(n_train=train.count())["random_forest"], train, numeric, categorical)
     return spark.createDataFrame(M.input_importances(model)[:15], "feature string, importance double")
+
+
+# ----------------------------------------------------------------------------- sources
+@register("a03_landed_raw_snapshot", with_base("SELECT * FROM listings_raw"))
+def a03(spark, sf):
+    """A3 + A4: the raw snapshot written partitioned by snapshot date, read back pruned."""
+    return base.landed_raw(spark, sf)
