@@ -742,11 +742,28 @@ def j30(spark, sf):
 from tierscope.plans import model as M  # noqa: E402
 
 
+_SPLITS: dict = {}
+_MODELS: dict = {}
+
+
 def _split_parts(spark, sf):
-    split, numeric, categorical = M.training_frame(base.prepared(spark, sf))
-    split = split.checkpoint()
-    return (split.where(F.col("split") == "train"), split.where(F.col("split") == "test"),
-            numeric, categorical)
+    """Train/test split of the prepared table, checkpointed once per process."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SPLITS:
+        split, numeric, categorical = M.training_frame(base.prepared(spark, sf))
+        split = split.checkpoint()
+        _SPLITS[key] = (split.where(F.col("split") == "train"), split.where(F.col("split") == "test"),
+                        numeric, categorical)
+    return _SPLITS[key]
+
+
+def _fitted(spark, sf, name: str):
+    """A candidate fitted on the training split, trained once per process (an artifact)."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _MODELS:
+        train, _, numeric, categorical = _split_parts(spark, sf)
+        _MODELS[key] = M.fit_candidate(M.candidates(n_train=train.count())[name], train, numeric, categorical)
+    return _MODELS[key]
 
 
 def _metrics_frame(spark, rows: list[dict]) -> DataFrame:
@@ -759,10 +776,8 @@ def _metrics_frame(spark, rows: list[dict]) -> DataFrame:
 
 def _fit_eval(name: str):
     def q(spark, sf):
-        train, test, numeric, categorical = _split_parts(spark, sf)
-        cand = M.candidates(n_train=train.count())[name]
-        model = M.fit_candidate(cand, train, numeric, categorical)
-        return M.scored_frame(model, test).select(
+        _, test, _, _ = _split_parts(spark, sf)
+        return M.scored_frame(_fitted(spark, sf, name), test).select(
             "id", "label", "prediction", *[F.col(f"score_{t}") for t in ("Budget", "Mid-Market", "Premium")])
     return q
 
@@ -800,16 +815,12 @@ def j15(spark, sf):
 
 @register("j17_batch_scoring")
 def j17(spark, sf):
-    train, _, numeric, categorical = _split_parts(spark, sf)
-    model = M.fit_candidate(M.candidates(n_train=train.count())["logistic_regression"], train, numeric,
-                            categorical)
-    return M.score_batch(model, base.prepared(spark, sf))
+    return M.score_batch(_fitted(spark, sf, "logistic_regression"), base.prepared(spark, sf))
 
 
 @register("j26_tree_importance")
 def j26(spark, sf):
-    train, _, numeric, categorical = _split_parts(spark, sf)
-    model = M.fit_candidate(M.candidates(n_train=train.count())["random_forest"], train, numeric, categorical)
+    model = _fitted(spark, sf, "random_forest")
     return spark.createDataFrame(M.input_importances(model)[:15], "feature string, importance double")
 
 
@@ -818,3 +829,10 @@ def j26(spark, sf):
 def a03(spark, sf):
     """A3 + A4: the raw snapshot written partitioned by snapshot date, read back pruned."""
     return base.landed_raw(spark, sf)
+
+
+@register("j25_permutation_importance")
+def j25(spark, sf):
+    from tierscope.plans.importance import permutation_importance
+    _, test, _, _ = _split_parts(spark, sf)
+    return permutation_importance(_fitted(spark, sf, "logistic_regression"), test, repeats=5)
