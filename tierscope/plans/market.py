@@ -15,7 +15,8 @@ from tierscope.config import (
     DISTANCE_RING_LABELS, TIER_MIDPOINTS, TIER_ORDER, Config,
 )
 from tierscope.functions.buckets import right_closed_bins
-from tierscope.functions.stats import equal_width_bin, median, quantile, share
+from tierscope.functions.stats import median, quantile, share
+from tierscope.operators.quantiles import _null_safe_join, exact_quantiles
 
 
 
@@ -180,13 +181,17 @@ def room_type_counts(df: DataFrame) -> DataFrame:
 def neighbourhood_profile(df: DataFrame) -> DataFrame:
     """Deep-dive numbers for every neighbourhood in one grouped pass."""
     city = df.select(median(_price())).scalar()
-    return (df.groupBy("neighbourhood_cleansed").agg(
+    keys = ["neighbourhood_cleansed"]
+    # Distance is continuous: its median uses the bucketed exact quantile
+    # (no whole-group value map); prices and ratings have bounded support.
+    dist = exact_quantiles(df, keys, "distance_from_cbd_km", {"median_distance_km": 0.5})
+    agg = (df.groupBy(*keys).agg(
                 F.count(F.lit(1)).alias("listings"),
                 median(_price()).alias("median_price"),
                 median("review_scores_rating").alias("median_rating"),
-                median("distance_from_cbd_km").alias("median_distance_km"),
                 F.avg("host_is_superhost").alias("superhost_share"))
-            .withColumn("vs_city", F.col("median_price") / city - 1))
+           .withColumn("vs_city", F.col("median_price") / city - 1))
+    return _null_safe_join(agg, dist, keys, "left")
 
 
 def neighbourhood_tier_mix(df: DataFrame) -> DataFrame:
@@ -281,9 +286,11 @@ def superhost_gap(df: DataFrame) -> DataFrame:
 
 
 def neighbourhood_centroids(df: DataFrame) -> DataFrame:
-    """Median latitude and longitude per neighbourhood."""
-    return df.groupBy("neighbourhood_cleansed").agg(
-        median("latitude").alias("latitude"), median("longitude").alias("longitude"))
+    """Median latitude and longitude per neighbourhood (exact, bucketed)."""
+    keys = ["neighbourhood_cleansed"]
+    lat = exact_quantiles(df, keys, "latitude", {"latitude": 0.5})
+    lon = exact_quantiles(df, keys, "longitude", {"longitude": 0.5})
+    return _null_safe_join(lat, lon, keys, "inner")
 
 
 def revenue_outlook(rates: DataFrame, availability: Column) -> DataFrame:

@@ -67,8 +67,10 @@ def fit_preprocess(train: DataFrame, numeric: list[str], categorical: list[str])
 
 def feature_stages(train: DataFrame, numeric: list[str], categorical: list[str]) -> list:
     prep = fit_preprocess(train, numeric, categorical)
-    idx = [StringIndexer(inputCol=f"cat__{c}", outputCol=f"idx__{c}", handleInvalid="keep")
-           for c in categorical]
+    # One multi-column indexer: every vocabulary is fitted in a single pass.
+    idx = [StringIndexer(inputCols=[f"cat__{c}" for c in categorical],
+                         outputCols=[f"idx__{c}" for c in categorical], handleInvalid="keep")] \
+        if categorical else []
     ohe = OneHotEncoder(inputCols=[f"idx__{c}" for c in categorical],
                         outputCols=[f"ohe__{c}" for c in categorical], dropLast=True, handleInvalid="error")
     asm = VectorAssembler(inputCols=[f"num__{c}" for c in numeric] + [f"ohe__{c}" for c in categorical],
@@ -212,10 +214,22 @@ def cross_validate(cand: Candidate, train: DataFrame, numeric, categorical, fold
     for k in range(folds):
         fit_part = train.where(F.col("fold") != k)
         val_part = train.where(F.col("fold") == k)
-        scores.append(evaluate(fit_candidate(cand, fit_part, numeric, categorical), val_part)["f1_macro"])
+        scores.append(macro_f1(scored_frame(fit_candidate(cand, fit_part, numeric, categorical), val_part)))
     return scores
 
 
+def macro_f1(scored: DataFrame, classes=TIER_ORDER) -> float:
+    """Macro F1 from the k x k confusion counts (one job; at most k^2 rows reach the driver)."""
+    cells = {(r[0], r[1]): r[2] for r in scored.groupBy("label", "prediction").count().collect()}
+    f1s = []
+    for c in classes:
+        tp = cells.get((c, c), 0)
+        fp = sum(v for (a, p), v in cells.items() if p == c and a != c)
+        fn = sum(v for (a, p), v in cells.items() if a == c and p != c)
+        f1s.append(2 * tp / (2 * tp + fp + fn) if (2 * tp + fp + fn) else 0.0)
+    return sum(f1s) / len(f1s)
+
+
 def train_and_select(features: DataFrame, cfg: Config = CONFIG, names=None, folds: int | None = None):
     """Cross-validate each candidate on the training split, refit, test once;
     the winner is the best CV macro F1 excluding the baseline."""
@@ -255,16 +269,24 @@ def input_importances(model: FittedModel) -> list[tuple[str, float]]:
     for c in model.numeric:
         out[c] = out.get(c, 0.0) + float(imp[pos])
         pos += 1
-    enc = [s for s in model.pipeline.stages if isinstance(s, type(model.pipeline.stages[1]))]
-    indexers = [s for s in model.pipeline.stages if hasattr(s, "labels") and s.getOutputCol().startswith("idx__")]
-    for c, si in zip(model.categorical, indexers):
-        width = len(si.labels)   # dropLast removes the unseen slot: one column per known level
+    vocab = category_labels(model)
+    for c in model.categorical:
+        width = len(vocab.get(c, []))   # dropLast removes the unseen slot: one column per known level
         out[c] = out.get(c, 0.0) + float(imp[pos:pos + width].sum())
         pos += width
-    del enc
     return sorted(out.items(), key=lambda kv: -kv[1])
 
 
+def category_labels(model: FittedModel) -> dict[str, list[str]]:
+    """Fitted vocabulary per categorical input, from the multi-column indexer."""
+    from pyspark.ml.feature import StringIndexerModel
+    for st in model.pipeline.stages:
+        if isinstance(st, StringIndexerModel) and st.isSet("outputCols"):
+            outs = st.getOutputCols()
+            return {o[len("idx__"):]: list(lab) for o, lab in zip(outs, st.labelsArray)}
+    return {}
+
+
 # --------------------------------------------------------------------------- linear discriminant
 def fit_lda(train: DataFrame, columns: list[str], label: str = "price_category", classes=TIER_ORDER):
     """Class means and pooled within-class covariance in two distributed
@@ -359,10 +381,7 @@ def load_model(spark, path: str) -> FittedModel:
 
 def stored_property_levels(model: FittedModel) -> list[str]:
     """The training vocabulary for property types, as kept by the fitted indexer (M7)."""
-    for st in model.pipeline.stages:
-        if hasattr(st, "labels") and st.getOutputCol() == "idx__property_type":
-            return [x for x in st.labels if x != "Other"]
-    return []
+    return [x for x in category_labels(model).get("property_type", []) if x != "Other"]
 
 
 def prepare_requests(requests: DataFrame, model: FittedModel, cfg: Config = CONFIG,

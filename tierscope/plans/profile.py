@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tierscope.config import CORRELATION_FEATURES, RESEARCH_TIER_ORDER, TIER_MEAN_FEATURES
 from tierscope.functions.buckets import superhost_label
 from tierscope.functions.stats import median, quantile
+from tierscope.operators.quantiles import _null_safe_join, exact_quantiles
 
 
 def pct_round2(count: Column, total: Column) -> Column:
@@ -130,15 +131,13 @@ def box_stats(df: DataFrame, features: list[str] = BOX_FEATURES) -> DataFrame:
               .unpivot("price_category", features, "feature", "value")
               .where(F.col("value").isNotNull()))
     keys = ["price_category", "feature"]
-    q = long.groupBy(*keys).agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-                                .alias("_q"))
-    q = q.select(*keys, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3"))
+    # Continuous features: exact quantiles without a whole-group value map.
+    q = exact_quantiles(long, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     q = q.withColumn("_lo", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("_hi", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     v = F.col("value")
     inside = (v >= F.col("_lo")) & (v <= F.col("_hi"))
-    stats = long.join(q, keys).groupBy(*keys, "q1", "median", "q3").agg(
+    stats = _null_safe_join(long, q, keys).groupBy(*keys, "q1", "median", "q3").agg(
         F.min(F.when(inside, v)).alias("whisker_low"),
         F.max(F.when(inside, v)).alias("whisker_high"),
         F.count_if(~inside).alias("n_outliers"))
