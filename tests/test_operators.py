@@ -108,3 +108,18 @@ def test_farther_share_matches_brute_force(spark):
     vals = list(d.values())
     for i, x in list(d.items())[:200]:
         assert got[i] == sum(v > x for v in vals) / len(vals)
+
+
+def test_exact_quantiles_equal_spark_percentile(spark):
+    from tierscope.operators.quantiles import exact_quantiles
+    # one hot group (a third of the rows), a null key, ties, a constant group
+    rows = [("hot", float(i % 97) / 7.0) for i in range(900)] + \
+           [(None, float(i % 5)) for i in range(300)] + \
+           [("flat", 3.0)] * 50 + [("b", float(i)) for i in range(1750)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    qs = {"q01": 0.01, "q25": 0.25, "med": 0.5, "q99": 0.99}
+    for bits in (2, 16):
+        got = sorted(map(tuple, exact_quantiles(df, ["k"], "v", qs, bits=bits).collect()), key=str)
+        ref = sorted(map(tuple, df.groupBy("k").agg(
+            *[F.percentile("v", q).alias(n) for n, q in qs.items()]).collect()), key=str)
+        assert got == ref

@@ -836,3 +836,79 @@ def j25(spark, sf):
     from tierscope.plans.importance import permutation_importance
     _, test, _, _ = _split_parts(spark, sf)
     return permutation_importance(_fitted(spark, sf, "logistic_regression"), test, repeats=5)
+
+
+# ----------------------------------------------------------------------------- reports + vocabularies
+from tierscope.operators.clean import retention  # noqa: E402
+from tierscope.operators.features import frequent_levels, top_levels  # noqa: E402
+
+
+@register("e38_retention", with_base(f"""
+SELECT rows_in, rows_out, 100.0e0 * rows_out / greatest(rows_in, 1) AS pct_kept
+FROM (SELECT (SELECT count(*) FROM listings_raw) AS rows_in, (SELECT count(*) FROM cleaned) AS rows_out)"""))
+def e38(spark, sf):
+    return retention(base.loaded(spark, sf))
+
+
+@register("b05_research_price_filter", with_research("""
+SELECT rows_before, rows_after, rows_before - rows_after AS removed
+FROM (SELECT (SELECT count(*) FROM r_priced) AS rows_before, (SELECT count(*) FROM r_filtered) AS rows_after)"""))
+def b05(spark, sf):
+    after = base.research_filtered(spark, sf).select(F.count(F.lit(1))).scalar()
+    return (base.research_priced(spark, sf).select(F.count(F.lit(1)).alias("rows_before"))
+            .select("rows_before", after.alias("rows_after"))
+            .withColumn("removed", F.col("rows_before") - F.col("rows_after")))
+
+
+@register("d03_property_type_vocabulary", with_base("SELECT property_type FROM vocab"))
+def d03(spark, sf):
+    return top_levels(base.cleaned(spark, sf), "property_type", 12)
+
+
+@register("d04_frequent_levels", with_research("""
+SELECT 'property_type' AS variable, property_type AS level FROM r_distinct WHERE property_type IS NOT NULL
+GROUP BY 2 HAVING count(*) >= 30
+UNION ALL
+SELECT 'neighbourhood_cleansed', neighbourhood_cleansed FROM r_distinct WHERE neighbourhood_cleansed IS NOT NULL
+GROUP BY 2 HAVING count(*) >= 20"""))
+def d04(spark, sf):
+    from tierscope.config import CONFIG
+    rc = CONFIG.research
+    distinct_rows = R.research_imputed(base.loaded_raw(spark, sf)).distinct()
+    pt = frequent_levels(distinct_rows, "property_type", rc.property_type_min_count)
+    nb = frequent_levels(distinct_rows, "neighbourhood_cleansed", rc.neighbourhood_min_count)
+    return (pt.select(F.lit("property_type").alias("variable"), F.col("property_type").alias("level"))
+              .unionByName(nb.select(F.lit("neighbourhood_cleansed").alias("variable"),
+                                     F.col("neighbourhood_cleansed").alias("level"))))
+
+
+from tierscope.config import CATEGORICAL_FEATURES, CONFIG  # noqa: E402
+
+_F13_COLS = CONFIG.feature_columns()[0] + list(CATEGORICAL_FEATURES)
+
+
+@register("f13_observed_feature_counts", with_base(
+    "SELECT feature, observed, observed > 0 AS usable FROM (UNPIVOT (SELECT "
+    + ", ".join(f"count({c}) AS {c}" for c in _F13_COLS)
+    + " FROM features) ON " + ", ".join(_F13_COLS) + " INTO NAME feature VALUE observed)"))
+def f13(spark, sf):
+    f = base.prepared(spark, sf)
+    counts = f.agg(*[F.count(F.col(c)).alias(c) for c in _F13_COLS])
+    return (counts.unpivot([], _F13_COLS, "feature", "observed")
+                  .withColumn("usable", F.col("observed") > 0))
+
+
+@register("a05_metrics_report_round_trip", _eval_sql("WITH " + _PC + """
+, s AS (SELECT sum(tp) AS tp_sum, sum(support) AS n, avg(precision) AS precision_macro, avg(recall) AS recall_macro,
+          avg(f1) AS f1_macro, sum(support * (tp + fp)) AS pe_num FROM pc)
+SELECT tp_sum / n AS accuracy, precision_macro, recall_macro, f1_macro,
+  CASE WHEN pe_num / (n * n) < 1 THEN (tp_sum / n - pe_num / (n * n)) / (1 - pe_num / (n * n)) ELSE 0.0e0 END AS kappa,
+  CAST(n AS BIGINT) AS n FROM s"""))
+def a05(spark, sf):
+    """A5 + A7: metrics written as a JSON report under the checkpoint folder and read back."""
+    from tierscope.session import checkpoint_dir
+    from tierscope.sources.files import read_json_report, write_json_report
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tierscope_reports/metrics"
+    write_json_report(ev.summary_metrics(_pred(spark, sf)), path)
+    return read_json_report(spark, path, "accuracy double, precision_macro double, recall_macro double, "
+                                         "f1_macro double, kappa double, n long")
