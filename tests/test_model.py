@@ -85,3 +85,17 @@ def test_location_required(spark):
     model = M.FittedModel("x", None, numeric=numeric, categorical=categorical)
     with pytest.raises(ValueError, match="latitude"):
         M.prepare_requests(spark.createDataFrame([("a",)], "neighbourhood_cleansed string"), model)
+
+
+def test_end_to_end_jobs(spark, tmp_dir):
+    from tierscope import jobs
+    out = tmp_dir + "/run"
+    res = jobs.run_all(spark, SF_SMALL, out, names=("baseline_majority", "logistic_regression"), folds=2)
+    assert res["best_model"] == "logistic_regression"
+    metrics = spark.read.json(out + "/reports/metrics")
+    assert metrics.count() == 2 and metrics.where("selected").count() == 1
+    imp = spark.read.json(out + "/reports/feature_importance")
+    assert imp.count() > 0 and "importance" in imp.columns
+    feats = spark.read.parquet(out + "/listings_features").limit(5).drop("snapshot_date")
+    scored = jobs.score_job(spark, feats, out).collect()
+    assert len(scored) == 5 and all(abs(sum(r.probabilities.values()) - 1) < 1e-6 for r in scored)

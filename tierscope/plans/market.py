@@ -288,9 +288,12 @@ def superhost_gap(df: DataFrame) -> DataFrame:
 def neighbourhood_centroids(df: DataFrame) -> DataFrame:
     """Median latitude and longitude per neighbourhood (exact, bucketed)."""
     keys = ["neighbourhood_cleansed"]
-    lat = exact_quantiles(df, keys, "latitude", {"latitude": 0.5})
-    lon = exact_quantiles(df, keys, "longitude", {"longitude": 0.5})
-    return _null_safe_join(lat, lon, keys, "inner")
+    # Both coordinates in one pass: unpivot, then one exact quantile job keyed by column.
+    long = df.select(*keys, "latitude", "longitude").unpivot(keys, ["latitude", "longitude"], "_col", "_val")
+    med = exact_quantiles(long, keys + ["_col"], "_val", {"_m": 0.5})
+    return med.groupBy(*keys).agg(
+        F.first(F.when(F.col("_col") == "latitude", F.col("_m")), ignorenulls=True).alias("latitude"),
+        F.first(F.when(F.col("_col") == "longitude", F.col("_m")), ignorenulls=True).alias("longitude"))
 
 
 def revenue_outlook(rates: DataFrame, availability: Column) -> DataFrame:
