@@ -35,7 +35,14 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float],
                     bits: int = 16) -> DataFrame:
-    """One row per group: ``keys`` + one column per entry of ``qs`` (name -> q)."""
+    """One row per group: ``keys`` + one column per entry of ``qs`` (name -> q).
+
+    With no keys the whole frame is one group (a constant key is added so
+    every join stays an equi-join).
+    """
+    if not keys:
+        out = exact_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, qs, bits)
+        return out.drop("_all")
     nb = 1 << bits
     v = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     vc = v.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))

@@ -43,12 +43,24 @@ def _lit(v) -> str:
 
 
 def fit_preprocess(train: DataFrame, numeric: list[str], categorical: list[str]) -> SQLTransformer:
-    """One aggregation pass computes every median, mean, population std and mode."""
-    aggs = []
-    for c in numeric:
-        x = F.col(c).cast("double")
-        aggs += [F.median(x).alias(f"med_{c}")]
-    row = train.agg(*aggs, *[F.mode(F.col(c), True).alias(f"mode_{c}") for c in categorical]).first()
+    """Fitted statistics: exact medians, means, population stds and modes.
+
+    Medians of all numeric inputs come from one bucketed exact-quantile job
+    over the unpivoted columns (no single buffer holding every distinct
+    value of a continuous column); modes are one aggregation.
+    """
+    from tierscope.operators.quantiles import exact_quantiles
+    row = {}
+    if numeric:
+        long = train.select(*[F.col(c).cast("double").alias(c) for c in numeric]).unpivot(
+            [], numeric, "_col", "_val")
+        for r in exact_quantiles(long, ["_col"], "_val", {"_m": 0.5}).collect():
+            row[f"med_{r['_col']}"] = r["_m"]
+        for c in numeric:
+            row.setdefault(f"med_{c}", None)
+    if categorical:
+        row.update(train.agg(*[F.mode(F.col(c), True).alias(f"mode_{c}") for c in categorical])
+                   .first().asDict())
     # Scaling statistics are taken after imputation, as the fitted pipeline sees them.
     imputed = [F.coalesce(F.col(c).cast("double"), F.lit(row[f"med_{c}"])).alias(c) for c in numeric]
     stats = train.select(*imputed).agg(
