@@ -1,4 +1,4 @@
-"""Aggregate helpers: medians/percentiles and equal-width histogram bins."""
+"""Aggregate helpers: medians/percentiles and shares."""
 
 from __future__ import annotations
 
@@ -30,13 +30,3 @@ def quantile(c, q: float, exact: bool | None = None) -> Column:
 def share(cond: Column) -> Column:
     """Mean of a boolean condition (null counts as false)."""
     return F.avg(F.coalesce(cond, F.lit(False)).cast("double"))
-
-
-def equal_width_bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
-    """Bin index in 0..bins-1 over [lo, hi]; the last bin is closed on the right.
-
-    When lo == hi every value goes to bin 0.
-    """
-    width = (hi - lo) / F.lit(float(bins))
-    raw = F.floor((x - lo) / width).cast("int")
-    return F.when(width == 0, F.lit(0)).otherwise(F.least(raw, F.lit(bins - 1)))
