@@ -123,3 +123,21 @@ def test_exact_quantiles_equal_spark_percentile(spark):
         ref = sorted(map(tuple, df.groupBy("k").agg(
             *[F.percentile("v", q).alias(n) for n, q in qs.items()]).collect()), key=str)
         assert got == ref
+
+
+def test_macro_f1_undefined_class_rule(spark):
+    from tierscope.plans.evaluation import summary_metrics
+    rows = [("Budget", "Budget"), ("Budget", "Mid-Market"), ("Mid-Market", "Mid-Market")]
+    df = spark.createDataFrame(rows, "label string, prediction string")
+    zero = summary_metrics(df).first().f1_macro          # Premium counts as 0
+    dropped = summary_metrics(df, drop_undefined_f1=True).first().f1_macro
+    assert abs(zero - (2 / 3 + 2 / 3 + 0) / 3) < 1e-12
+    assert abs(dropped - (2 / 3 + 2 / 3) / 2) < 1e-12
+
+
+def test_csv_export(spark, tmp_dir):
+    from tierscope.sources.files import write_csv
+    df = base.cleaned(spark, SF_SMALL).select("id", "price_numeric", "price_category")
+    write_csv(df, tmp_dir + "/out")
+    back = spark.read.option("header", True).csv(tmp_dir + "/out")
+    assert back.count() == df.count() and back.columns == df.columns

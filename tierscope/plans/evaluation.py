@@ -57,12 +57,19 @@ def per_class_metrics(pred: DataFrame, classes=TIER_ORDER) -> DataFrame:
         ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
 
 
-def summary_metrics(pred: DataFrame, classes=TIER_ORDER) -> DataFrame:
-    """J20 + J21: accuracy, macro precision/recall/F1, Cohen's kappa, n."""
+def summary_metrics(pred: DataFrame, classes=TIER_ORDER, drop_undefined_f1: bool = False) -> DataFrame:
+    """J20 + J21: accuracy, macro precision/recall/F1, Cohen's kappa, n.
+
+    ``drop_undefined_f1`` follows the research notebooks (M14): classes whose
+    F1 is undefined (no true, no predicted rows) leave the macro mean instead
+    of counting as 0.
+    """
     pc = per_class_metrics(pred, classes)
+    defined = (2 * F.col("tp") + F.col("fp") + F.col("fn")) > 0
+    f1 = F.when(defined, F.col("f1")) if drop_undefined_f1 else F.col("f1")
     agg = pc.agg(F.sum("tp").alias("_tp"), F.sum("support").alias("n"),
                  F.avg("precision").alias("precision_macro"), F.avg("recall").alias("recall_macro"),
-                 F.avg("f1").alias("f1_macro"),
+                 F.avg(f1).alias("f1_macro"),
                  F.sum(F.col("support") * (F.col("tp") + F.col("fp"))).alias("_pe_num"))
     po = F.col("_tp") / F.col("n")
     pe = F.col("_pe_num") / (F.col("n") * F.col("n"))

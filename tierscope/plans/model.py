@@ -103,9 +103,10 @@ def class_weights(train: DataFrame, label: str = "price_category") -> Column:
 @dataclass
 class Candidate:
     name: str
-    estimator: object | None   # None -> majority baseline
+    estimator: object | None   # None -> a baseline (majority, or class-proportional random)
     ovr_margin: bool = False   # OneVsRest raw margins -> probabilities
     weighted: bool = False
+    random_baseline: bool = False
 
 
 def candidates(cfg: Config = CONFIG, n_train: int = 1, seed: int = CONFIG.model.random_state) -> dict:
@@ -125,6 +126,7 @@ def candidates(cfg: Config = CONFIG, n_train: int = 1, seed: int = CONFIG.model.
                     labelCol="label_idx", parallelism=3)
     return {
         "baseline_majority": Candidate("baseline_majority", None),
+        "baseline_random": Candidate("baseline_random", None, random_baseline=True),
         "logistic_regression": Candidate("logistic_regression", lr),
         "random_forest": Candidate("random_forest", rf, weighted=True),
         "gradient_boosting": Candidate("gradient_boosting", gbt, ovr_margin=True),
@@ -138,6 +140,8 @@ class FittedModel:
     name: str
     pipeline: PipelineModel
     majority: str | None = None
+    class_shares: list[float] | None = None   # class-proportional random baseline (tier order)
+    seed: int = CONFIG.model.random_state
     ovr_margin: bool = False
     numeric: list[str] = field(default_factory=list)
     categorical: list[str] = field(default_factory=list)
@@ -146,9 +150,13 @@ class FittedModel:
 def fit_candidate(cand: Candidate, train: DataFrame, numeric: list[str], categorical: list[str]) -> FittedModel:
     stages = feature_stages(train, numeric, categorical)
     if cand.estimator is None:
-        majority = (train.groupBy("price_category").count()
-                         .orderBy(F.desc("count"), "price_category").first()[0])
+        counts = {r[0]: r[1] for r in train.groupBy("price_category").count().collect()}   # <= k rows
         model = Pipeline(stages=stages).fit(train)
+        if cand.random_baseline:
+            total = sum(counts.values())
+            shares = [counts.get(c, 0) / total for c in TIER_ORDER]
+            return FittedModel(cand.name, model, class_shares=shares, numeric=numeric, categorical=categorical)
+        majority = sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))[0][0]
         return FittedModel(cand.name, model, majority=majority, numeric=numeric, categorical=categorical)
     data = train.withColumn("weight", class_weights(train)) if cand.weighted else train
     model = Pipeline(stages=[*stages, cand.estimator]).fit(data)
@@ -164,6 +172,21 @@ def predict(model: FittedModel, df: DataFrame, classes=TIER_ORDER) -> DataFrame:
     """
     out = model.pipeline.transform(df)
     k = len(classes)
+    if model.class_shares is not None:
+        # Probabilities are the class shares; the predicted class is drawn by a
+        # seeded hash of the id (uniform in [0, 1), reproducible under any
+        # partitioning) against the cumulative shares.
+        probs = F.array(*[F.lit(float(p)) for p in model.class_shares])
+        u = F.xxhash64(F.col("id"), F.lit(model.seed)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+        cum, draw = 0.0, None
+        for c, p in zip(classes, model.class_shares):
+            cum += p
+            draw = F.when(u < cum, F.lit(c)) if draw is None else draw.when(u < cum, F.lit(c))
+        draw = draw.otherwise(F.lit(classes[-1]))
+        out = out.withColumn("_p", probs)
+        cols = [c for c in df.columns]
+        return out.select(*cols, draw.alias("prediction"), F.col("_p").alias("probability"),
+                          *[F.col("_p")[i].alias(f"score_{classes[i]}") for i in range(k)])
     if model.majority is not None:
         probs = F.array(*[F.lit(1.0 if c == model.majority else 0.0) for c in classes])
     elif model.ovr_margin:
@@ -266,8 +289,10 @@ def train_and_select(features: DataFrame, cfg: Config = CONFIG, names=None, fold
                      "cv_folds": len(cv), **{k: float(v) for k, v in t.items()}})
     contenders = [r for r in rows if r["model"] != "baseline_majority"]
     best = max(contenders, key=lambda r: r["cv_mean"])["model"] if contenders else names[0]
+    best_test = max(rows, key=lambda r: r["accuracy"])["model"]   # J16: research rule
     for r in rows:
         r["selected"] = r["model"] == best
+        r["best_test_accuracy"] = r["model"] == best_test
     return rows, fitted, best, (train, test, numeric, categorical)
 
 

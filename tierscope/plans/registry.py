@@ -782,7 +782,8 @@ def _fit_eval(name: str):
     return q
 
 
-for _key, _name in [("j06_majority_baseline", "baseline_majority"), ("j08_logistic_regression", "logistic_regression"),
+for _key, _name in [("j06_majority_baseline", "baseline_majority"), ("j07_random_baseline", "baseline_random"),
+                    ("j08_logistic_regression", "logistic_regression"),
                     ("j09_random_forest", "random_forest"), ("j10_gradient_boosting", "gradient_boosting"),
                     ("j12_naive_bayes", "naive_bayes"), ("j14_linear_svm", "linear_svm")]:
     register(_key)(_fit_eval(_name))
@@ -808,9 +809,9 @@ def j15(spark, sf):
     rows, _, _, _ = M.train_and_select(base.prepared(spark, sf), names=_J15_CANDIDATES)
     return spark.createDataFrame(
         [(r["model"], r["cv_mean"], r["cv_std"], r["cv_folds"], r["accuracy"], r["f1_macro"],
-          r["roc_auc_ovr_macro"], r["selected"]) for r in rows],
+          r["roc_auc_ovr_macro"], r["selected"], r["best_test_accuracy"]) for r in rows],
         "model string, cv_mean double, cv_std double, cv_folds int, accuracy double, f1_macro double, "
-        "roc_auc_ovr_macro double, selected boolean")
+        "roc_auc_ovr_macro double, selected boolean, best_test_accuracy boolean")
 
 
 @register("j17_batch_scoring")
