@@ -26,14 +26,14 @@ _PREPARED: dict[tuple, str] = {}
 
 
 def landed_raw(spark: SparkSession, sf_dir: str, cfg: Config = CONFIG) -> DataFrame:
-    """The raw snapshot landed once as Parquet (hash-spread on the listing id).
+    """The raw snapshot landed once as Parquet (spread on (id, ingest_seq), unique per row).
 
     Downstream jobs then scan plain string columns: pushed-down filters
     evaluate on stored values in parallel scan tasks, instead of
     re-deriving the raw strings inside one task per input file.
     """
     return _materialized(spark, "raw", sf_dir, cfg,
-                         lambda: spread(listings_raw(spark, sf_dir), "id"))
+                         lambda: spread(listings_raw(spark, sf_dir), ["id", "ingest_seq"]))
 
 
 def loaded_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,7 +60,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, unique_key: str | None = None) -> DataFrame:
+def spread(df: DataFrame, unique_key: str | list[str] | None = None) -> DataFrame:
     """Spread a scan that yields fewer partitions than the cluster has cores.
 
     A single small file (or a gzip file) is one task; everything up to the
@@ -72,7 +72,10 @@ def spread(df: DataFrame, unique_key: str | None = None) -> DataFrame:
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
-    return df.repartition(target, unique_key) if unique_key else df.repartition(target)
+    if not unique_key:
+        return df.repartition(target)
+    keys = [unique_key] if isinstance(unique_key, str) else list(unique_key)
+    return df.repartition(target, *keys)
 
 
 def listings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
