@@ -76,12 +76,19 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, fl
         Window.unboundedPreceding, 0)
     cand = cand.withColumn("_upto", F.col("_before") + F.sum("_c").over(wi))
     hit = cand.where((F.col("_upto") - F.col("_c") <= F.col("_rank")) & (F.col("_rank") < F.col("_upto")))
-    picked = hit.groupBy(*keys, "_q").agg(
-        F.max(F.when(F.col("_which") == "lo", F.col("_v"))).alias("_vlo"),
-        F.max(F.when(F.col("_which") == "hi", F.col("_v"))).alias("_vhi"),
-        F.first("_pos").alias("_pos"))
-    lo_r, hi_r = F.floor("_pos"), F.ceil("_pos")
-    val = F.when((hi_r == lo_r) | (F.col("_vlo") == F.col("_vhi")), F.col("_vlo")).otherwise(
-        (hi_r - F.col("_pos")) * F.col("_vlo") + (F.col("_pos") - lo_r) * F.col("_vhi"))
-    wide = picked.groupBy(*keys).pivot("_q", list(qs)).agg(F.first(val))
-    return _null_safe_join(stats.select(*keys), wide, keys, "left").select(*keys, *list(qs))
+    # One aggregation per group: the located floor/ceil values and position of every quantile.
+    aggs = []
+    for name in qs:
+        is_q = F.col("_q") == name
+        aggs += [F.max(F.when(is_q & (F.col("_which") == "lo"), F.col("_v"))).alias(f"_lo_{name}"),
+                 F.max(F.when(is_q & (F.col("_which") == "hi"), F.col("_v"))).alias(f"_hi_{name}"),
+                 F.max(F.when(is_q, F.col("_pos"))).alias(f"_pos_{name}")]
+    wide = hit.groupBy(*keys).agg(*aggs)
+    out = []
+    for name in qs:
+        vlo, vhi, pos = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), F.col(f"_pos_{name}")
+        lo_r, hi_r = F.floor(pos), F.ceil(pos)
+        out.append(F.when((hi_r == lo_r) | (vlo == vhi), vlo)
+                    .otherwise((hi_r - pos) * vlo + (pos - lo_r) * vhi).alias(name))
+    # Every group with a non-null value has n >= 1, so every group is present here.
+    return wide.select(*keys, *out)

@@ -49,18 +49,22 @@ def fit_preprocess(train: DataFrame, numeric: list[str], categorical: list[str])
     over the unpivoted columns (no single buffer holding every distinct
     value of a continuous column); modes are one aggregation.
     """
+    from tierscope.config import CONTINUOUS_FEATURES
     from tierscope.operators.quantiles import exact_quantiles
     row = {}
-    if numeric:
-        long = train.select(*[F.col(c).cast("double").alias(c) for c in numeric]).unpivot(
-            [], numeric, "_col", "_val")
+    continuous = [c for c in numeric if c in CONTINUOUS_FEATURES]
+    bounded = [c for c in numeric if c not in CONTINUOUS_FEATURES]
+    if continuous:
+        long = train.select(*[F.col(c).cast("double").alias(c) for c in continuous]).unpivot(
+            [], continuous, "_col", "_val")
         for r in exact_quantiles(long, ["_col"], "_val", {"_m": 0.5}).collect():
             row[f"med_{r['_col']}"] = r["_m"]
-        for c in numeric:
-            row.setdefault(f"med_{c}", None)
-    if categorical:
-        row.update(train.agg(*[F.mode(F.col(c), True).alias(f"mode_{c}") for c in categorical])
-                   .first().asDict())
+    simple = [F.median(F.col(c).cast("double")).alias(f"med_{c}") for c in bounded] + \
+        [F.mode(F.col(c), True).alias(f"mode_{c}") for c in categorical]
+    if simple:
+        row.update(train.agg(*simple).first().asDict())
+    for c in numeric:
+        row.setdefault(f"med_{c}", None)
     # Scaling statistics are taken after imputation, as the fitted pipeline sees them.
     imputed = [F.coalesce(F.col(c).cast("double"), F.lit(row[f"med_{c}"])).alias(c) for c in numeric]
     stats = train.select(*imputed).agg(
@@ -113,7 +117,7 @@ def candidates(cfg: Config = CONFIG, n_train: int = 1, seed: int = CONFIG.model.
     m = cfg.model
     lr = LogisticRegression(featuresCol="features", labelCol="label_idx", family="multinomial",
                             regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False,
-                            maxIter=100, tol=1e-6)
+                            maxIter=100, tol=1e-4)
     rf = RandomForestClassifier(featuresCol="features", labelCol="label_idx", numTrees=m.forest_trees,
                                 minInstancesPerNode=2, maxDepth=8, weightCol="weight", seed=seed,
                                 featureSubsetStrategy="sqrt")
