@@ -141,3 +141,9 @@ def test_csv_export(spark, tmp_dir):
     write_csv(df, tmp_dir + "/out")
     back = spark.read.option("header", True).csv(tmp_dir + "/out")
     assert back.count() == df.count() and back.columns == df.columns
+
+
+def test_missing_report_reads_as_empty(spark, tmp_dir):
+    from tierscope.sources.files import read_json_report
+    df = read_json_report(spark, tmp_dir + "/does-not-exist", "feature string, importance double")
+    assert df.count() == 0 and df.columns == ["feature", "importance"]

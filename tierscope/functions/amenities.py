@@ -25,9 +25,13 @@ def parse_amenities(c: Column) -> Column:
                     lambda t: F.btrim(t, F.lit(' "'))),
         lambda t: t != "",
     )
+    # The array parse runs first; only text it rejects is checked for being
+    # valid JSON at all (valid non-list -> [], malformed -> fallback split).
+    arr = F.from_json(c, "array<string>")
     return (F.when(blank, _empty())
+             .when(arr.isNotNull(), arr)
              .when(F.try_parse_json(c).isNull(), fallback)
-             .otherwise(F.coalesce(F.from_json(c, "array<string>"), _empty())))
+             .otherwise(_empty()))
 
 
 def amenity_flags(items: Column, amenities, exact: bool = False) -> list[Column]:
