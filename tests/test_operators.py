@@ -110,7 +110,17 @@ def test_farther_share_matches_brute_force(spark):
         assert got[i] == sum(v > x for v in vals) / len(vals)
 
 
-def test_exact_quantiles_equal_spark_percentile(spark):
+def _type7(values, q):
+    import math
+    xs = sorted(values)
+    pos = (len(xs) - 1) * q
+    lo, hi = math.floor(pos), math.ceil(pos)
+    if lo == hi or xs[lo] == xs[hi]:
+        return xs[lo]
+    return xs[lo] + (xs[hi] - xs[lo]) * (pos - lo)
+
+
+def test_exact_quantiles_match_brute_force(spark):
     from tierscope.operators.quantiles import exact_quantiles
     # one hot group (a third of the rows), a null key, ties, a constant group
     rows = [("hot", float(i % 97) / 7.0) for i in range(900)] + \
@@ -118,10 +128,12 @@ def test_exact_quantiles_equal_spark_percentile(spark):
            [("flat", 3.0)] * 50 + [("b", float(i)) for i in range(1750)]
     df = spark.createDataFrame(rows, "k string, v double")
     qs = {"q01": 0.01, "q25": 0.25, "med": 0.5, "q99": 0.99}
+    groups = {}
+    for k, v in rows:
+        groups.setdefault(k, []).append(v)
+    ref = sorted([(k, *[_type7(vs, q) for q in qs.values()]) for k, vs in groups.items()], key=str)
     for bits in (2, 16):
         got = sorted(map(tuple, exact_quantiles(df, ["k"], "v", qs, bits=bits).collect()), key=str)
-        ref = sorted(map(tuple, df.groupBy("k").agg(
-            *[F.percentile("v", q).alias(n) for n, q in qs.items()]).collect()), key=str)
         assert got == ref
 
 

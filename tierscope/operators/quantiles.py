@@ -13,9 +13,10 @@ Here the work is split:
 3. the 0-based ranks floor((n-1)q) and ceil((n-1)q) are located in their
    buckets, and only the distinct values of those buckets are ranked.
 
-Interpolation follows Spark's percentile exactly:
-(hi_rank - pos) * v_lo + (pos - lo_rank) * v_hi, or v_lo when equal, so
-results are identical to ``F.percentile``.
+Interpolation is the linear (type 7) rule in the form the reference's
+tools evaluate it: v_lo + (v_hi - v_lo) * (pos - floor(pos)).  Spark's
+``percentile`` writes the same rule as a weighted sum, which can differ in
+the last bit for non-integer values.
 """
 
 from __future__ import annotations
@@ -89,6 +90,6 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, fl
         vlo, vhi, pos = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), F.col(f"_pos_{name}")
         lo_r, hi_r = F.floor(pos), F.ceil(pos)
         out.append(F.when((hi_r == lo_r) | (vlo == vhi), vlo)
-                    .otherwise((hi_r - pos) * vlo + (pos - lo_r) * vhi).alias(name))
+                    .otherwise(vlo + (vhi - vlo) * (pos - lo_r)).alias(name))
     # Every group with a non-null value has n >= 1, so every group is present here.
     return wide.select(*keys, *out)
