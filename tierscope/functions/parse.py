@@ -68,3 +68,8 @@ def r_as_numeric_price(c: Column) -> Column:
 def r_percent(c: Column) -> Column:
     """Research percent parse: drop every '%', divide by 100, no clipping."""
     return to_number(F.regexp_replace(c, "%", "")) / 100.0
+
+
+def reviews_per_month_estimate(total_reviews: Column) -> Column:
+    """Monthly review rate from a total over two years: round(n / 24, 2), half to even."""
+    return F.bround(total_reviews.cast("double") / 24.0, 2)

@@ -119,7 +119,12 @@ def auc_ovr(pred: DataFrame, classes=TIER_ORDER) -> DataFrame:
         F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     per = per.select("class", F.when((F.col("_p") > 0) & (F.col("_n") > 0),
                                      F.col("_u") / (F.col("_p") * F.col("_n"))).alias("auc"))
-    macro = per.agg(F.avg("auc").alias("auc")).select(F.lit("macro").alias("class"), "auc")
+    # Macro mean in fixed class order (a sum of k values, then / k).
+    wide = per.groupBy().pivot("class", list(classes)).agg(F.first("auc"))
+    total = F.lit(0.0)
+    for c in classes:
+        total = total + F.col(f"`{c}`")
+    macro = wide.select(F.lit("macro").alias("class"), (total / len(classes)).alias("auc"))
     return per.unionByName(macro)
 
 

@@ -65,6 +65,11 @@ def slice_equal(df: DataFrame, **equals) -> DataFrame:
     return df.filter(cond)
 
 
+def has_rows(df: DataFrame) -> bool:
+    """Empty-result guard for a filtered view (one short job: stops at the first row)."""
+    return not df.isEmpty()
+
+
 def levels(df: DataFrame, column: str) -> DataFrame:
     """Distinct sorted non-null levels for pick lists."""
     return df.select(column).dropna().distinct().orderBy(column)

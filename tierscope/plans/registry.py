@@ -690,7 +690,10 @@ cum AS (SELECT *, coalesce(sum(pos) OVER w, 0) AS pos_below, coalesce(sum(neg) O
 per AS (SELECT class, CASE WHEN sum(pos) > 0 AND sum(neg) > 0
                            THEN sum(pos * (neg_below + 0.5e0 * neg)) / (sum(pos) * sum(neg)) END AS auc
         FROM cum GROUP BY class)
-SELECT class, auc FROM per UNION ALL SELECT 'macro', avg(auc) FROM per"""))
+SELECT class, auc FROM per
+UNION ALL
+SELECT 'macro', (((0.0e0 + (SELECT auc FROM per WHERE class = 'Budget')) + (SELECT auc FROM per WHERE class = 'Mid-Market'))
+                 + (SELECT auc FROM per WHERE class = 'Premium')) / 3"""))
 def j22(spark, sf):
     return ev.auc_ovr(_pred(spark, sf))
 
@@ -913,3 +916,12 @@ def a05(spark, sf):
     write_json_report(ev.summary_metrics(_pred(spark, sf)), path)
     return read_json_report(spark, path, "accuracy double, precision_macro double, recall_macro double, "
                                          "f1_macro double, kappa double, n long")
+
+
+
+@register("c24_reviews_per_month_estimate", with_base(
+    "SELECT id, round_even(CAST(number_of_reviews AS DOUBLE) / 24.0e0, 2) AS reviews_per_month_est FROM features"))
+def c24(spark, sf):
+    from tierscope.functions.parse import reviews_per_month_estimate
+    return base.prepared(spark, sf).select(
+        "id", reviews_per_month_estimate(F.col("number_of_reviews")).alias("reviews_per_month_est"))
