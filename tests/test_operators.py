@@ -103,7 +103,7 @@ def test_auc_matches_pairwise_brute_force(spark):
 
 def test_farther_share_matches_brute_force(spark):
     f = base.features(spark, SF_SMALL)
-    got = {r.id: r.farther_share for r in mk.farther_from_cbd_share(f, bucket_km=0.5).collect()}
+    got = {r.id: r.farther_share for r in mk.farther_from_cbd_share(f, bits=3).collect()}
     d = {r.id: r.distance_from_cbd_km for r in f.select("id", "distance_from_cbd_km").collect()}
     vals = list(d.values())
     for i, x in list(d.items())[:200]:

@@ -258,17 +258,23 @@ def comps_standing(df: DataFrame) -> DataFrame:
               .select("id", (F.col("below") / F.col("n")).alias("share_below")))
 
 
-def farther_from_cbd_share(df: DataFrame, bucket_km: float = 0.001) -> DataFrame:
+def farther_from_cbd_share(df: DataFrame, bits: int = 20) -> DataFrame:
     """E17 for every listing: share of listings strictly farther from the CBD.
 
     Exact and distributed: distances are collapsed to distinct values,
-    bucketed, counted per bucket (a small table whose running sum gives the
-    rows in lower buckets), and ranked inside each bucket only.
+    placed in at most 2^bits linear buckets between the min and max
+    distance, counted per bucket (a table of bounded size whose running sum
+    gives the rows in lower buckets), and ranked inside each bucket only.
     """
     d = "distance_from_cbd_km"
-    vc = df.groupBy(d).agg(F.count(F.lit(1)).alias("cnt")).withColumn(
-        "bucket", F.floor(F.col(d) / F.lit(bucket_km)).cast("long"))
+    nb = 1 << bits
+    rng = df.select(F.struct(F.min(d).alias("lo"), F.max(d).alias("hi"))).scalar()
+    lo, hi = rng.getField("lo"), rng.getField("hi")
+    vc = df.groupBy(d).agg(F.count(F.lit(1)).alias("cnt")).where(F.col(d).isNotNull()).withColumn(
+        "bucket", F.when(hi > lo, F.least(F.floor((F.col(d) - lo) / (hi - lo) * nb), F.lit(nb - 1)))
+                   .otherwise(F.lit(0)).cast("long"))
     per_bucket = vc.groupBy("bucket").agg(F.sum("cnt").alias("bucket_cnt"))
+    # At most 2^bits rows: the only unpartitioned window, bounded by construction.
     before = per_bucket.select(
         "bucket",
         F.coalesce(F.sum("bucket_cnt").over(
