@@ -99,3 +99,11 @@ def test_end_to_end_jobs(spark, tmp_dir):
     feats = spark.read.parquet(out + "/listings_features").limit(5).drop("snapshot_date")
     scored = jobs.score_job(spark, feats, out).collect()
     assert len(scored) == 5 and all(abs(sum(r.probabilities.values()) - 1) < 1e-6 for r in scored)
+
+
+def test_forest_mtry_grid_on_exact_folds(spark):
+    train, _, numeric, categorical = _train(spark)
+    scores, best = M.tune_forest(train, numeric, categorical, mtry=(2, 4), trees=5)
+    assert [m for m, _ in scores] == [2, 4]
+    assert all(0.0 <= a <= 1.0 for _, a in scores)
+    assert best.stages[-1].getNumTrees == 5

@@ -459,3 +459,25 @@ def prepare_requests(requests: DataFrame, model: FittedModel, cfg: Config = CONF
     if "price_category" not in df.columns:
         df = df.withColumn("price_category", F.lit(TIER_ORDER[0]))   # placeholder for the label stage
     return df
+
+
+def tune_forest(train: DataFrame, numeric: list[str], categorical: list[str], mtry=(4, 6, 9),
+                trees: int = 500, seed: int = CONFIG.model.random_state, folds: int = CONFIG.model.cv_folds):
+    """J9 (research variant): random forest tuned over features-per-split (mtry) by
+    cross-validated accuracy, on the exact stratified folds (``foldCol``).
+
+    Returns ([(mtry, mean accuracy)], best fitted PipelineModel).  The fitted
+    preprocessing statistics come from the whole training split.
+    """
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    rf = RandomForestClassifier(featuresCol="features", labelCol="label_idx", numTrees=trees,
+                                minInstancesPerNode=2, maxDepth=8, seed=seed)
+    pipe = Pipeline(stages=[*feature_stages(train, numeric, categorical), rf])
+    grid = ParamGridBuilder().addGrid(rf.featureSubsetStrategy, [str(m) for m in mtry]).build()
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, foldCol="fold", numFolds=folds, seed=seed,
+                        evaluator=MulticlassClassificationEvaluator(labelCol="label_idx",
+                                                                    metricName="accuracy"),
+                        parallelism=len(mtry))
+    fitted = cv.fit(train.withColumn("fold", F.col("fold").cast("int")))
+    return [(m, float(a)) for m, a in zip(mtry, fitted.avgMetrics)], fitted.bestModel
