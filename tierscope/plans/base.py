@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from tierscope.config import CONFIG, Config
 from tierscope.operators import research as R
@@ -22,7 +23,7 @@ from tierscope.session import checkpoint_dir
 from tierscope.sources.files import normalize_missing, read_snapshot, write_snapshot
 from tierscope.sources.tables import listings_raw, spread
 
-_PREPARED: dict[tuple, str] = {}
+_PREPARED: dict[tuple, tuple] = {}
 
 
 def landed_raw(spark: SparkSession, sf_dir: str, cfg: Config = CONFIG) -> DataFrame:
@@ -65,9 +66,13 @@ def _materialized(spark: SparkSession, name: str, sf_dir: str, cfg: Config, buil
     if key not in _PREPARED:
         tag = hashlib.sha1(repr((sf_dir, cfg)).encode()).hexdigest()[:16]
         path = f"{checkpoint_dir(spark).rstrip('/')}/tierscope_{name}/{tag}"
-        write_snapshot(build(), path, cfg.snapshot_date)
-        _PREPARED[key] = path
-    return read_snapshot(spark, _PREPARED[key], cfg.snapshot_date).drop("snapshot_date")
+        df = build()
+        write_snapshot(df, path, cfg.snapshot_date)
+        # The writer knows the schema: reads skip footer-based schema inference.
+        schema = T.StructType(df.schema.fields + [T.StructField("snapshot_date", T.StringType())])
+        _PREPARED[key] = (path, schema)
+    path, schema = _PREPARED[key]
+    return read_snapshot(spark, path, cfg.snapshot_date, schema).drop("snapshot_date")
 
 
 def prepared(spark: SparkSession, sf_dir: str, cfg: Config = CONFIG) -> DataFrame:

@@ -63,9 +63,15 @@ def write_snapshot(df: DataFrame, out: str, snapshot_date: str | None = None) ->
        .partitionBy("snapshot_date").parquet(out))
 
 
-def read_snapshot(spark: SparkSession, path: str, snapshot_date: str | None = None) -> DataFrame:
-    """Read processed Parquet; a date filter prunes to one partition folder."""
-    df = spark.read.parquet(path)
+def read_snapshot(spark: SparkSession, path: str, snapshot_date: str | None = None,
+                  schema: T.StructType | None = None) -> DataFrame:
+    """Read processed Parquet; a date filter prunes to one partition folder.
+
+    A known schema (including the ``snapshot_date`` partition column) skips
+    schema inference.
+    """
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    df = reader.parquet(path)
     if snapshot_date is not None:
         df = df.filter(F.col("snapshot_date") == snapshot_date)
     return df
