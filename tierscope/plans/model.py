@@ -280,7 +280,9 @@ def train_and_select(features: DataFrame, cfg: Config = CONFIG, names=None, fold
     """Cross-validate each candidate on the training split, refit, test once;
     the winner is the best CV macro F1 excluding the baseline."""
     import statistics
+    from tierscope.session import checkpoint_dir
     split, numeric, categorical = training_frame(features, cfg)
+    checkpoint_dir(features.sparkSession)   # the session's folder, or a scratch one when unset
     split = split.checkpoint()   # reliable checkpoint in the shared folder; cuts lineage
     train = split.where(F.col("split") == "train")
     test = split.where(F.col("split") == "test")

@@ -743,6 +743,7 @@ def j30(spark, sf):
 
 # ----------------------------------------------------------------------------- models (no SQL oracle)
 from tierscope.plans import model as M  # noqa: E402
+from tierscope.session import checkpoint_dir  # noqa: E402
 
 
 _SPLITS: dict = {}
@@ -754,6 +755,7 @@ def _split_parts(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _SPLITS:
         split, numeric, categorical = M.training_frame(base.prepared(spark, sf))
+        checkpoint_dir(spark)
         split = split.checkpoint()
         _SPLITS[key] = (split.where(F.col("split") == "train"), split.where(F.col("split") == "test"),
                         numeric, categorical)
