@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -39,14 +40,22 @@ def build_session(master: str | None = None, app_name: str = "tierscope",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared checkpoint folder of this session, set at most once.
 
-    A cluster sets it to shared storage; only when it is unset (tests,
-    local runs) is a scratch folder created and registered.
+    A cluster names it in ``spark.checkpoint.dir``.  Setting it again would
+    give a new folder, so one that is set already is returned as it is.
+    Only where driver and executors are one process (``local``) is a scratch
+    folder made; on a cluster a missing setting is an error, because other
+    machines could not read a local folder.
     """
     sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    path = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="tierscope-ckpt-")
     sc.setCheckpointDir(path)
-    return sc.getCheckpointDir() or path
+    return sc.getCheckpointDir()
