@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tierscope.llm import packing
+from tierscope.llm import packing, tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = ["The cat sat.", "", " ", "a  b", "a   b \n  c  ", "\x1c!\x1cb", "  lead", "don't 's 'll we're", "　x\xa0y", "\n", "\n\n",
@@ -22,7 +22,7 @@ def reference(texts):
 
 def test_encoder_parity():
     with open(PATH) as f:
-        e = packing.WordEncoder(f.read())
+        e = tokens.byte_level(f.read())
     rng = random.Random(3)
     texts = TEXTS + ["".join(rng.choice("ab,. \n\t'1é\xa0") for _ in range(rng.randint(1, 60))) for _ in range(3000)]
     e.GROUP, e.WORDS = 500, 300   # many groups, memory started anew

@@ -17,7 +17,6 @@ columns of the input do not matter.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import defaultdict
 
@@ -26,119 +25,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierscope.llm.common import checkpoint, map_rows
+from tierscope.llm.tokens import byte_level, encoder
 
 SIZE = 2048
 SHARDS = 64
-# Unicode white space, as the pre-tokeniser's \s has it.
-_WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-
-
-class _Numbered(dict):
-    """Numbers words as they are first looked up; ``new`` lists those since it was last emptied."""
-
-    def __init__(self):
-        self.new = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = i = len(self)
-        self.new.append(word)
-        return i
-
-
-class WordEncoder:
-    """Ids of whole texts by a byte-level BPE tokenizer, each word encoded once.
-
-    The pre-tokeniser never joins a non-space character with white space
-    after it, so a text can be cut before each run of white space and the
-    ids of the parts joined: the result is that of encoding the whole text.
-    New words are encoded many at a time, joined by line feeds: a line feed
-    before a word (with one space or none in front) is a token of its own
-    and part of no such word, so its id separates the words' ids.
-    """
-
-    WORDS, IDS = 1_000_000, 20_000_000   # remembered; beyond them memory starts anew
-    GROUP = 1_000_000                    # characters encoded at a time
-
-    def __init__(self, tokenizer_json: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
-        (self.line_feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.words = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+").findall
-        self.plain = re.compile(f" ?[^{_WS}]").match
-        self._forget()
-
-    def _forget(self) -> None:
-        self.number, self.used = _Numbered(), 0
-        self.ids = np.empty(1 << 16, "<u4")
-        self.starts, self.lengths = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
-
-    def _learn(self) -> None:
-        """Encodes the words that were numbered since the last call."""
-        new, self.number.new = self.number.new, []
-        joined = [i for i, w in enumerate(new) if self.plain(w)]
-        alone = [i for i, w in enumerate(new) if not self.plain(w)]
-        lists: list = [None] * len(new)
-        chunks = [joined[i:i + 2000] for i in range(0, len(joined), 2000)]
-        texts = ["\n".join([new[i] for i in c]) for c in chunks]
-        for c, e in zip(chunks, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            for i, part in zip(c, np.split(ids, np.flatnonzero(ids == self.line_feed)), strict=True):
-                lists[i] = part
-            for i in c[1:]:
-                lists[i] = lists[i][1:]
-        for i, e in zip(alone, self.tokenizer.encode_batch_fast([new[i] for i in alone], add_special_tokens=False), strict=True):
-            lists[i] = np.array(e.ids, "<u4")
-        if not new:
-            return
-        known, more = len(self.number) - len(new), np.concatenate(lists)
-        while len(self.ids) < self.used + len(more):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while len(self.starts) < len(self.number):
-            self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
-            self.lengths = np.concatenate([self.lengths, np.empty_like(self.lengths)])
-        n = np.array([len(x) for x in lists])
-        self.ids[self.used:self.used + len(more)] = more
-        self.lengths[known:known + len(new)] = n
-        self.starts[known:known + len(new)] = self.used + np.cumsum(n) - n
-        self.used += len(more)
-
-    def _group(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.number) > self.WORDS or self.used > self.IDS:
-            self._forget()
-        find, number = self.words, self.number.__getitem__
-        rows = [np.array([*map(number, find(t))], np.int64) for t in texts]
-        self._learn()
-        out = []
-        for r in rows:
-            n = self.lengths[r]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(r) else 0
-            out.append(self.ids[np.repeat(self.starts[r] - ends + n, n) + np.arange(total)])
-        return out
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out, group, chars = [], [], 0
-        for t in texts:
-            group.append(t)
-            chars += len(t)
-            if chars > self.GROUP:
-                out += self._group(group)
-                group, chars = [], 0
-        return out + self._group(group)
-
-
-_ENCODERS: dict[int, WordEncoder] = {}
-
-
-def encoder(tokenizer_json: str) -> WordEncoder:
-    """One encoder a worker process."""
-    key = zlib.crc32(tokenizer_json.encode())
-    if key not in _ENCODERS:
-        _ENCODERS[key] = WordEncoder(tokenizer_json)
-    return _ENCODERS[key]
-
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32; only documents over ``size`` ids are cut."""
@@ -149,7 +39,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE) ->
     def rows(batch):
         out = defaultdict(list)
         texts = [t or "" for t in batch["text"]]
-        for doc_id, ids in zip(batch["doc_id"], encoder(content.value).encode(texts), strict=True):
+        for doc_id, ids in zip(batch["doc_id"], encoder(byte_level, content.value).encode(texts), strict=True):
             ids = np.append(ids, end)
             n = len(ids)
             cuts = [0, *range(n % size or size, n, size), n]

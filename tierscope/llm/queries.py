@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierscope.llm import packing, quality_rules, simhash
+from tierscope.llm import packing, quality_rules, simhash, tokens
 from tierscope.sources.tables import read_table
 
 def vocabulary(name: str) -> str:
@@ -41,3 +41,8 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.digests(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
