@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierscope.llm import packing, quality_rules, simhash, tokens
+from tierscope.llm import html_template, packing, quality_rules, simhash, tokens
 from tierscope.sources.tables import read_table
 
 def vocabulary(name: str) -> str:
@@ -46,3 +46,8 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(read_table(spark, sf_dir, "pages"))
