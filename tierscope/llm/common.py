@@ -32,6 +32,23 @@ def map_rows(df: DataFrame, schema: str, rows: Callable[[dict[str, list]], dict[
     return df.mapInArrow(run, schema)
 
 
+def append_columns(df: DataFrame, schema: str, inputs: list[str], rows: Callable[..., dict[str, list]]) -> DataFrame:
+    """``df`` with further columns that ``rows`` computes, per Arrow batch, from the input columns' lists."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    more = to_arrow_schema(_parse_datatype_string(schema))
+    whole = StructType(df.schema.fields + _parse_datatype_string(schema).fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = rows(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in inputs])
+            arrays = [pa.array(out[f.name], f.type) for f in more]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], schema=pa.schema([*batch.schema, *more]))
+
+    return df.mapInArrow(run, whole)
+
+
 def join_on_hot_keys(rows: DataFrame, table: DataFrame, key: str, n: str, share: int = 1000) -> DataFrame:
     """Inner join of ``rows`` with ``table`` (one row a key; ``n``: the key's rows) that no hot key slows.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierscope.llm import html_template, packing, quality_rules, simhash, tokens
+from tierscope.llm import html_template, packing, quality_lm, quality_rules, simhash, tokens
 from tierscope.sources.tables import read_table
 
 def vocabulary(name: str) -> str:
@@ -51,3 +51,8 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_template.extract(read_table(spark, sf_dir, "pages"))
+
+
+@query
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lm.verdicts(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
