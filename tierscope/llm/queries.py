@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierscope.llm import html_template, language_id, packing, quality_lm, quality_rules, simhash, tokens
+from tierscope.llm import html_template, language_id, packing, pii, quality_lm, quality_rules, simhash, tokens
 from tierscope.sources.tables import read_table
 
 def vocabulary(name: str) -> str:
@@ -61,3 +61,8 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read_table(spark, sf_dir, "documents"))
