@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierscope.llm import html_template, language_id, packing, pii, quality_lm, quality_rules, simhash, tokens
+from tierscope.llm import cover_tree, html_template, language_id, packing, pii, quality_lm, quality_rules, simhash, tokens, url_graph
 from tierscope.sources.tables import read_table
 
 def vocabulary(name: str) -> str:
@@ -66,3 +66,29 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_graph.judge(read_table(spark, sf_dir, "pages"))
+
+
+ORACLES["op7_url_graph"] = url_graph.oracle_sql()
+
+
+@query
+def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+# Exact by brute force: all pairs of valid vectors of a label, then reachability.
+ORACLES["op6_cover_tree"] = """
+with recursive v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings),
+g as (select * from v where label is not null and e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+      and len(list_filter(e, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from g a join g b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id
+      where list_cosine_similarity(a.e, b.e) >= 0.98),
+r(a, b) as (select vec_id, vec_id from v union select r.a, l.b from r join l on r.b = l.a),
+c as (select a, min(b) as component_id from r group by a)
+select vec_id, (select count(*) from l where l.a = v.vec_id) as n_links, component_id, vec_id = component_id as kept from v join c on c.a = v.vec_id
+"""
