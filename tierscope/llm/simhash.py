@@ -175,3 +175,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
                  .select("fp", "n", F.coalesce("component", "id").alias("component_id")))
     out = join_on_hot_keys(fps, component, "fp", "n")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` without the rows whose group has a smaller doc_id, and one of equal rows.
+
+    Rows without doc_id can't be named in a group; they stay.
+    """
+    found = near_duplicates(docs, shingle, max_bits)
+    keep = found.filter("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(keep, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return named.unionByName(docs.filter("doc_id is null"))
