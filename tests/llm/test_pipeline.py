@@ -6,8 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-import test_pii
-import test_simhash
+from llm import test_pii, test_simhash
 from tierscope.llm import language_id, quality_lm
 from tierscope.session import checkpoint_dir
 
