@@ -35,13 +35,13 @@ def test_selection_beats_baseline(spark):
 
 def test_unknown_candidate_raises(spark):
     import pytest
-    with pytest.raises(ValueError, match="Unknown model candidate"):
+    with pytest.raises(ValueError, match="no candidate is called"):
         M.train_and_select(base.features(spark, SF_SMALL), names=("nope",), folds=2)
 
 
 def test_scoring_probabilities_and_round_trip(spark, tmp_dir):
     train, test, numeric, categorical = _train(spark)
-    model = M.fit_candidate(M.candidates(n_train=train.count())["logistic_regression"], train, numeric,
+    model = M.fit_candidate(M.candidates()["logistic_regression"], train, numeric,
                             categorical)
     scored = M.score_batch(model, test).collect()
     for r in scored:
@@ -56,7 +56,7 @@ def test_scoring_probabilities_and_round_trip(spark, tmp_dir):
 
 def test_request_scoring_with_missing_optional_inputs(spark, tmp_dir):
     train, _, numeric, categorical = _train(spark)
-    model = M.fit_candidate(M.candidates(n_train=train.count())["logistic_regression"], train, numeric,
+    model = M.fit_candidate(M.candidates()["logistic_regression"], train, numeric,
                             categorical)
     req_dir = tmp_dir + "/requests"
     os.makedirs(req_dir)
@@ -74,7 +74,7 @@ def test_request_scoring_with_missing_optional_inputs(spark, tmp_dir):
 
     from tierscope.streaming.scoring import start_scoring
     sink = tmp_dir + "/scored"
-    q = start_scoring(spark, model, req_dir, sink, name="test_stream", trigger_once=True)
+    q = start_scoring(spark, model, req_dir, sink, tmp_dir + "/stream", trigger_once=True)
     q.awaitTermination(120)
     assert {r.request_id for r in spark.read.parquet(sink).collect()} == {"r1", "r2"}
 

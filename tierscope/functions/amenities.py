@@ -25,13 +25,19 @@ def parse_amenities(c: Column) -> Column:
                     lambda t: F.btrim(t, F.lit(' "'))),
         lambda t: t != "",
     )
-    # The array parse runs first; only text it rejects is checked for being
-    # valid JSON at all (valid non-list -> [], malformed -> fallback split).
-    arr = F.from_json(c, "array<string>")
+    # Strict validity decides first.  Spark's parsers take text after a value;
+    # inside a list and inside an object there is no room for any.
+    arr = F.from_json(c, "array<string>", {"allowSingleQuotes": "false"})
+    in_list = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
     return (F.when(blank, _empty())
-             .when(arr.isNotNull(), arr)
-             .when(F.try_parse_json(c).isNull(), fallback)
-             .otherwise(_empty()))
+             .when(in_list.isNull() | in_object.isNull(), fallback)
+             .otherwise(F.coalesce(arr, _empty())))
+
+
+def flag_column(amenity: str) -> str:
+    """Name of an amenity's 0/1 column."""
+    return "has_" + amenity.lower().replace(" ", "_")
 
 
 def amenity_flags(items: Column, amenities, exact: bool = False) -> list[Column]:
@@ -41,18 +47,11 @@ def amenity_flags(items: Column, amenities, exact: bool = False) -> list[Column]
     'washer' also matches 'Dishwasher' and 'pool' matches 'Pool table'.
     ``exact=True`` matches whole items instead.
     """
-    out = []
     if exact:
         lowered = F.transform(items, lambda t: F.lower(t))
-        for a in amenities:
-            name = "has_" + a.lower().replace(" ", "_")
-            out.append(F.array_contains(lowered, a.lower()).cast("int").alias(name))
-        return out
+        return [F.array_contains(lowered, a.lower()).cast("int").alias(flag_column(a)) for a in amenities]
     joined = F.lower(F.array_join(items, " | "))
-    for a in amenities:
-        name = "has_" + a.lower().replace(" ", "_")
-        out.append(joined.contains(a.lower()).cast("int").alias(name))
-    return out
+    return [joined.contains(a.lower()).cast("int").alias(flag_column(a)) for a in amenities]
 
 
 def approx_amenity_count(c: Column) -> Column:

@@ -5,26 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tierscope.config import CONFIG
 
 
-def median(c, exact: bool | None = None) -> Column:
+def median(c) -> Column:
     """Linear-interpolated median that skips nulls.
 
-    Exact by default (value->count map per group, merged map-side); the
-    approximate form is for unbounded continuous columns at large scale.
+    Exact: one value->count map per group, merged map-side.  For columns of
+    bounded support; continuous ones take ``operators.quantiles``.
     """
-    c = F.col(c) if isinstance(c, str) else c
-    if exact if exact is not None else CONFIG.exact_quantiles:
-        return F.median(c)
-    return F.percentile_approx(c, 0.5, 10000)
+    return F.median(c)
 
 
-def quantile(c, q: float, exact: bool | None = None) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    if exact if exact is not None else CONFIG.exact_quantiles:
-        return F.percentile(c, F.lit(q))
-    return F.percentile_approx(c, q, 10000)
+def quantile(c, q: float) -> Column:
+    return F.percentile(c, F.lit(q))
 
 
 def share(cond: Column) -> Column:

@@ -38,10 +38,14 @@ def typed_listings(raw: DataFrame) -> DataFrame:
         cols.append(col.cast("long").alias(c))
     for c in _DOUBLE_COLUMNS:
         cols.append(as_double(F.col(c), _is_text(raw, c)).alias(c))
-    seq = F.col("ingest_seq") if "ingest_seq" in raw.columns else F.monotonically_increasing_id()
+    if "ingest_seq" not in raw.columns:
+        raise ValueError("listings need the order in which they were landed (ingest_seq)")
+    # Rows that don't come from files have no file name; their sequence orders them alone.
+    file = F.col("ingest_file") if "ingest_file" in raw.columns else F.lit("")
     return raw.select(
         *cols,
-        seq.cast("long").alias("ingest_seq"),
+        file.alias("ingest_file"),
+        F.col("ingest_seq").cast("long").alias("ingest_seq"),
         F.col("property_type").cast("string").alias("property_type"),
         F.col("room_type").cast("string").alias("room_type"),
         F.col("neighbourhood_cleansed").cast("string").alias("neighbourhood_cleansed"),
@@ -58,24 +62,24 @@ def typed_listings(raw: DataFrame) -> DataFrame:
     )
 
 
-def keep_first(df: DataFrame, key: str = "id", order: str = "ingest_seq") -> DataFrame:
+def keep_first(df: DataFrame, key: str = "id", order: tuple[str, ...] = ("ingest_file", "ingest_seq")) -> DataFrame:
     """First row per key in ingest order.
 
     ``row_number() = 1`` lets Spark insert a partial window-group limit
     before the shuffle, so each map task sends at most one row per key even
     when one key is very hot.
     """
-    w = Window.partitionBy(key).orderBy(F.col(order).asc())
+    w = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
 def clean_listings(raw: DataFrame, cfg: Config = CONFIG,
                    observation: Observation | None = None) -> DataFrame:
-    """Full cleaning plan; one row per priceable listing.
+    """Typed, priced and deduplicated listings, each with its tier.
 
-    Order matters: the price filter runs *before* keep-first dedup, so a
-    duplicate whose first copy is unpriceable survives through its second
-    copy.  Catalyst does not push this filter through the window.
+    Rows without a price in range go first and copies of an id second: an id
+    is kept if any of its copies has a price.  Catalyst leaves the filter
+    below the window.
     """
     t = cfg.target
     df = typed_listings(raw)

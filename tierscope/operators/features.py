@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierscope.config import CONFIG, Config
-from tierscope.functions.amenities import amenity_flags, parse_amenities
+from tierscope.config import CATEGORICAL_FEATURES, CONFIG, NUMERIC_FEATURES, Config
+from tierscope.functions.amenities import amenity_flags, flag_column, parse_amenities
 from tierscope.functions.buckets import host_experience, property_size
 from tierscope.functions.geo import haversine_km, nearest_point_km
 
@@ -39,8 +39,8 @@ def frequent_levels(df: DataFrame, column: str, min_count: int) -> DataFrame:
 def collapse_rare(df: DataFrame, column: str, min_count: int, other: str = "Other") -> DataFrame:
     """Research rule: levels seen fewer than ``min_count`` times -> 'Other'; nulls stay.
 
-    The frequent-level list is joined back with a broadcast hint only when
-    it is known to be small; otherwise the planner picks a shuffle join.
+    A level is frequent or not by one count a level; the planner chooses the
+    join by the size of that table.
     """
     levels = frequent_levels(df, column, min_count).withColumn("_keep", F.lit(True))
     joined = df.join(levels, on=column, how="left")
@@ -66,9 +66,9 @@ def engineer_features(cleaned: DataFrame, cfg: Config = CONFIG,
                       property_levels: list[str] | None = None) -> DataFrame:
     """Cleaned rows + model features; ``amenities`` is consumed.
 
-    ``property_levels`` is the fitted top-N property-type vocabulary; when
-    omitted it is fitted on ``cleaned`` itself (one small aggregation).
-    Serving passes the vocabulary stored with the model instead.
+    ``property_levels`` is the fitted top-N property-type vocabulary.  Without
+    it the vocabulary is fitted on all of ``cleaned``, before any split, as the
+    prepare job does it; serving passes the one stored with the model.
     """
     fc = cfg.features
     items = parse_amenities(F.col("amenities"))
@@ -92,6 +92,12 @@ def engineer_features(cleaned: DataFrame, cfg: Config = CONFIG,
                            host_experience(F.col("host_listings_count")).alias("host_experience")))
 
 
+def model_inputs(cfg: Config = CONFIG) -> tuple[list[str], list[str]]:
+    """Numeric inputs, the amenity flags among them, and categorical inputs of the models."""
+    flags = [flag_column(a) for a in cfg.features.key_amenities]
+    return [*NUMERIC_FEATURES, *flags], list(CATEGORICAL_FEATURES)
+
+
 def usable_features(df: DataFrame, numeric: list[str], categorical: list[str]):
     """Drop features with no observed value (one count() pass over all of them)."""
     present = [c for c in numeric + categorical if c in df.columns]

@@ -1,6 +1,6 @@
 """Exact stratified hold-out splits and k-fold assignment without single-task windows.
 
-Rows are ordered inside their class by a seeded 64-bit hash of the id.
+Rows are ordered inside their class by a seeded hash of the id.
 A plain ``row_number() over (partition by label)`` would put a whole class
 (possibly a third of the data) into one task, so the rank is computed in
 two levels:
@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierscope.config import CONFIG
+from tierscope.functions.hashing import HASH_BITS, stable_hash
 
 
 def class_ranks(df: DataFrame, label: str, key: str = "id", seed: int = CONFIG.model.random_state,
                 bits: int = CONFIG.model.split_bucket_bits) -> DataFrame:
     """Adds ``_rank`` (1-based, exact, within class) and ``_class_n``."""
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    hashed = df.withColumn("_h", h).withColumn("_b", F.shiftright(F.col("_h"), 64 - bits))
+    hashed = df.withColumn("_h", stable_hash(key, seed)).withColumn("_b", F.shiftright(F.col("_h"), HASH_BITS - bits))
     counts = hashed.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_bn"))
     w_before = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(

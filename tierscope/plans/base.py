@@ -21,20 +21,20 @@ from tierscope.operators.features import engineer_features
 from tierscope.plans.market import market_view
 from tierscope.session import checkpoint_dir
 from tierscope.sources.files import normalize_missing, read_snapshot, write_snapshot
-from tierscope.sources.tables import listings_raw, spread
+from tierscope.sources.tables import listings_raw
 
 _PREPARED: dict[tuple, tuple] = {}
 
 
 def landed_raw(spark: SparkSession, sf_dir: str, cfg: Config = CONFIG) -> DataFrame:
-    """The raw snapshot landed once as Parquet (spread on (id, ingest_seq), unique per row).
+    """The raw snapshot landed once as Parquet, dealt out by (id, ingest_seq), unique per row.
 
     Downstream jobs then scan plain string columns: pushed-down filters
     evaluate on stored values in parallel scan tasks, instead of
     re-deriving the raw strings inside one task per input file.
     """
     return _materialized(spark, "raw", sf_dir, cfg,
-                         lambda: spread(listings_raw(spark, sf_dir), ["id", "ingest_seq"]))
+                         lambda: listings_raw(spark, sf_dir).repartition("id", "ingest_seq"))
 
 
 def loaded_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +51,13 @@ def cleaned(spark: SparkSession, sf_dir: str, cfg: Config = CONFIG) -> DataFrame
     return clean_listings(loaded(spark, sf_dir), cfg)
 
 
+def landed_cleaned(spark: SparkSession, sf_dir: str, cfg: Config = CONFIG) -> DataFrame:
+    """The cleaned table written once: the feature job reads it to fit its vocabulary and again to apply it."""
+    return _materialized(spark, "cleaned", sf_dir, cfg, lambda: cleaned(spark, sf_dir, cfg))
+
+
 def features(spark: SparkSession, sf_dir: str, cfg: Config = CONFIG) -> DataFrame:
-    return engineer_features(cleaned(spark, sf_dir, cfg), cfg)
+    return engineer_features(landed_cleaned(spark, sf_dir, cfg), cfg)
 
 
 def prepare(spark: SparkSession, sf_dir: str, out: str, cfg: Config = CONFIG) -> None:

@@ -22,7 +22,7 @@ def confusion_matrix(pred: DataFrame, classes=TIER_ORDER) -> DataFrame:
     counts = pred.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
     grid = (_classes_frame(pred, classes).select(F.col("cls").alias("label"))
             .select("label", F.explode(F.array(*[F.lit(c) for c in classes])).alias("prediction")))
-    return (F.broadcast(grid).join(counts, ["label", "prediction"], "left")
+    return (grid.join(counts, ["label", "prediction"], "left")
             .select("label", "prediction", F.coalesce("n", F.lit(0)).alias("n")))
 
 

@@ -14,7 +14,9 @@ from tierscope.config import (
     CONFIG, DISTANCE_BAND_EDGES, DISTANCE_BAND_LABELS, DISTANCE_RING_EDGES,
     DISTANCE_RING_LABELS, TIER_MIDPOINTS, TIER_ORDER, Config,
 )
+from tierscope.functions.amenities import flag_column
 from tierscope.functions.buckets import right_closed_bins
+from tierscope.functions.hashing import stable_hash
 from tierscope.functions.stats import median, quantile, share
 from tierscope.operators.quantiles import _null_safe_join, exact_quantiles
 
@@ -89,10 +91,10 @@ def tier_counts(df: DataFrame) -> DataFrame:
     """Count and share per tier in fixed order; absent tiers show 0."""
     counts = df.groupBy("price_category").agg(F.count(F.lit(1)).alias("n"))
     total = df.select(F.count(F.lit(1))).scalar()
-    return (F.broadcast(tier_dimension(df)).join(counts, "price_category", "left")
+    return (tier_dimension(df).join(counts, "price_category", "left")
             .select("tier_pos", "price_category", F.coalesce("n", F.lit(0)).alias("n"))
             .select("tier_pos", "price_category", "n",
-                    (F.col("n") / total).alias("share")))
+                    F.try_divide(F.col("n"), total).alias("share")))
 
 
 def median_by_distance_band(df: DataFrame) -> DataFrame:
@@ -167,13 +169,14 @@ def tier_mix_by_room(df: DataFrame) -> DataFrame:
 def amenity_premiums(df: DataFrame, cfg: Config = CONFIG) -> DataFrame:
     """Median price with minus without each amenity flag; skipped when undefined.
 
-    The flags are unpivoted so one grouped aggregation covers all of them.
+    All medians are conditional aggregates of one pass; the one result row is
+    then unpivoted.
     """
-    flags = cfg.amenity_flag_columns()
-    long = df.select(_price(), *flags).unpivot("price_numeric", flags, "amenity", "flag")
-    out = long.groupBy("amenity").agg(
-        median(F.when(F.col("flag") == 1, _price())).alias("with_median"),
-        median(F.when(F.col("flag") == 0, _price())).alias("without_median"))
+    flags = [flag_column(a) for a in cfg.features.key_amenities]
+    row = df.agg(*[median(F.when(F.col(f) == v, _price())).alias(f"{f}_{v}") for f in flags for v in (0, 1)])
+    out = row.select(F.explode(F.array(*[F.struct(
+        F.lit(f).alias("amenity"), F.col(f"{f}_1").alias("with_median"), F.col(f"{f}_0").alias("without_median"))
+        for f in flags])).alias("r")).select("r.*")
     return (out.where(F.col("with_median").isNotNull() & F.col("without_median").isNotNull())
                .withColumn("premium", F.col("with_median") - F.col("without_median")))
 
@@ -206,9 +209,9 @@ def neighbourhood_tier_mix(df: DataFrame) -> DataFrame:
               .select("neighbourhood_cleansed",
                       F.explode(F.array(*[F.lit(t) for t in TIER_ORDER])).alias("price_category")))
     w = Window.partitionBy("neighbourhood_cleansed")
-    return (grid.join(counts, ["neighbourhood_cleansed", "price_category"], "left")
+    return (_null_safe_join(grid, counts, ["neighbourhood_cleansed", "price_category"], "left")
                 .withColumn("n", F.coalesce("n", F.lit(0)))
-                .withColumn("share", F.col("n") / F.sum("n").over(w)))
+                .withColumn("share", F.try_divide(F.col("n"), F.sum("n").over(w))))
 
 
 def comparables(df: DataFrame) -> DataFrame:
@@ -229,7 +232,7 @@ def representative_rate(df: DataFrame, min_comps: int = 10) -> DataFrame:
     comps = comparables(df).select("neighbourhood_cleansed", "room_type", "n", "median_price")
     keys = df.select("neighbourhood_cleansed", "room_type", "price_category").distinct()
     mid = F.create_map(*[x for t, v in TIER_MIDPOINTS.items() for x in (F.lit(t), F.lit(v))])
-    return (keys.join(comps, ["neighbourhood_cleansed", "room_type"], "left")
+    return (_null_safe_join(keys, comps, ["neighbourhood_cleansed", "room_type"], "left")
                 .select("neighbourhood_cleansed", "room_type", "price_category", "n",
                         F.when(F.col("n") >= min_comps, F.col("median_price"))
                          .otherwise(mid[F.col("price_category")]).alias("rate"),
@@ -253,15 +256,15 @@ def comps_standing(df: DataFrame) -> DataFrame:
     below = vc.select(*keys, "price_numeric",
                       F.coalesce(F.sum("cnt").over(w), F.lit(0)).alias("below"),
                       F.sum("cnt").over(Window.partitionBy(*keys)).alias("n"))
-    return (df.select("id", *keys, "price_numeric")
-              .join(below, keys + ["price_numeric"], "inner")
+    return (_null_safe_join(df.select("id", *keys, "price_numeric"), below, keys + ["price_numeric"])
               .select("id", (F.col("below") / F.col("n")).alias("share_below")))
 
 
 def farther_from_cbd_share(df: DataFrame, bits: int = 20) -> DataFrame:
-    """E17 for every listing: share of listings strictly farther from the CBD.
+    """E17 for every listing: share of all listings strictly farther from the CBD.
 
-    Exact and distributed: distances are collapsed to distinct values,
+    A listing without a distance is farther than none, and none is farther
+    than it.  Exact and distributed: distances are collapsed to distinct values,
     placed in at most 2^bits linear buckets between the min and max
     distance, counted per bucket (a table of bounded size whose running sum
     gives the rows in lower buckets), and ranked inside each bucket only.
@@ -282,10 +285,10 @@ def farther_from_cbd_share(df: DataFrame, bits: int = 20) -> DataFrame:
         .alias("before"))
     within = vc.withColumn("upto", F.sum("cnt").over(
         Window.partitionBy("bucket").orderBy(d).rowsBetween(Window.unboundedPreceding, 0)))
-    total = df.select(F.count(F.lit(1))).scalar()
+    n = df.select(F.struct(F.count(F.lit(1)).alias("all"), F.count(d).alias("placed"))).scalar()
     le = within.join(before, "bucket").select(d, (F.col("before") + F.col("upto")).alias("le"))
-    return (df.select("id", d).join(le, d)
-              .select("id", ((total - F.col("le")) / total).alias("farther_share")))
+    share_farther = (n.getField("placed") - F.col("le")) / n.getField("all")
+    return df.select("id", d).join(le, d, "left").select("id", F.coalesce(share_farther, F.lit(0.0)).alias("farther_share"))
 
 
 def superhost_gap(df: DataFrame) -> DataFrame:
@@ -322,14 +325,16 @@ def histogram(df: DataFrame, value: Column, bins: int, group: list[str] | None =
     """Equal-width histogram over [min, max] of ``value`` (per group if given).
 
     Bin index = floor((x - lo) * bins / (hi - lo)), last bin right-closed.
-    Ungrouped bounds are one scalar subquery; grouped bounds are a small
-    per-group aggregate joined back on the group key.
+    Ungrouped bounds are one scalar subquery.  With groups (null is one),
+    rows are first collapsed to distinct values, so the bounds join few rows
+    of a frequent group.
     """
     group = group or []
     v = df.select(*group, value.alias("_x")).where(F.col("_x").isNotNull())
+    v = v.groupBy(*group, "_x").agg(F.count(F.lit(1)).alias("_n"))
     if group:
         bounds = v.groupBy(*group).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-        v = v.join(bounds, group)
+        v = _null_safe_join(v, bounds, group)
         lo, hi = F.col("_lo"), F.col("_hi")
     else:
         b = v.select(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi"))).scalar()
@@ -337,10 +342,10 @@ def histogram(df: DataFrame, value: Column, bins: int, group: list[str] | None =
     span = hi - lo
     idx = F.when(span == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col("_x") - lo) * (F.lit(float(bins)) / span)).cast("int"), F.lit(bins - 1)))
-    out = v.select(*group, idx.alias("bin"),
+    out = v.select(*group, "_n", idx.alias("bin"),
                    (lo + idx * span / bins).alias("bin_lo"),
                    (lo + (idx + 1) * span / bins).alias("bin_hi"))
-    return out.groupBy(*group, "bin", "bin_lo", "bin_hi").agg(F.count(F.lit(1)).alias("n"))
+    return out.groupBy(*group, "bin", "bin_lo", "bin_hi").agg(F.sum("_n").alias("n"))
 
 
 def price_histogram(df: DataFrame, bins: int = 60, clip: float = 1500.0) -> DataFrame:
@@ -363,11 +368,16 @@ def comps_histogram(df: DataFrame, bins: int = 34, q: float = 0.98) -> DataFrame
     """Per comparable group, prices clipped at the group's p98, <= 34 bins."""
     keys = ["neighbourhood_cleansed", "room_type"]
     caps = df.groupBy(*keys).agg(quantile(_price(), q).alias("_cap"))
-    clipped = df.join(caps, keys).select(*keys, clip_upper(_price(), F.col("_cap")).alias("price_numeric"))
-    return histogram(clipped, _price(), bins, keys).drop("bin_lo", "bin_hi")
+    prices = _null_safe_join(_value_counts(df, keys, "price_numeric"), caps, keys)
+    clipped = prices.select(*keys, clip_upper(_price(), F.col("_cap")).alias("_x"), "cnt")
+    bounds = clipped.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    span = F.col("_hi") - F.col("_lo")
+    bin_ = F.when(span == 0, F.lit(0)).otherwise(
+        F.least(F.floor((F.col("_x") - F.col("_lo")) * (F.lit(float(bins)) / span)).cast("int"), F.lit(bins - 1)))
+    return _null_safe_join(clipped, bounds, keys).groupBy(*keys, bin_.alias("bin")).agg(F.sum("cnt").alias("n"))
 
 
 def map_sample(df: DataFrame, n: int = 4000, seed: int = 7) -> DataFrame:
     """Deterministic sample of min(n, rows) listings (hash order, exact size)."""
-    return (df.withColumn("_h", F.xxhash64(F.col("id"), F.lit(seed)))
+    return (df.withColumn("_h", stable_hash("id", seed))
               .orderBy("_h", "id").limit(n).drop("_h"))

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tierscope.config import CONFIG, TIER_ORDER, Config
 from tierscope.functions.buckets import tier_band
+from tierscope.functions.hashing import HASH_BITS, stable_hash
 
 
 def _q(name: str) -> str:
@@ -111,18 +112,18 @@ class Candidate:
     ovr_margin: bool = False   # OneVsRest raw margins -> probabilities
     weighted: bool = False
     random_baseline: bool = False
+    penalised: bool = False    # the penalty is one over the rows of the fit
 
 
-def candidates(cfg: Config = CONFIG, n_train: int = 1, seed: int = CONFIG.model.random_state) -> dict:
-    m = cfg.model
+def candidates(cfg: Config = CONFIG) -> dict:
+    m, seed = cfg.model, cfg.model.random_state
     lr = LogisticRegression(featuresCol="features", labelCol="label_idx", family="multinomial",
-                            regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False,
-                            maxIter=100, tol=1e-4)
+                            elasticNetParam=0.0, standardization=False, maxIter=m.logistic_iterations, tol=1e-6)
     rf = RandomForestClassifier(featuresCol="features", labelCol="label_idx", numTrees=m.forest_trees,
-                                minInstancesPerNode=2, maxDepth=8, weightCol="weight", seed=seed,
-                                featureSubsetStrategy="sqrt")
+                                minInstancesPerNode=2, maxDepth=m.forest_depth, weightCol="weight", seed=seed,
+                                featureSubsetStrategy="sqrt", maxMemoryInMB=1024)
     gbt = OneVsRest(classifier=GBTClassifier(maxIter=m.boosting_rounds, stepSize=0.06,
-                                             maxDepth=min(m.boosting_depth, 7), subsamplingRate=0.9,
+                                             maxDepth=m.boosting_depth, subsamplingRate=0.9,
                                              featureSubsetStrategy="0.8", seed=seed),
                     featuresCol="features", labelCol="label_idx", parallelism=3)
     nb = NaiveBayes(featuresCol="features", labelCol="label_idx", modelType="gaussian")
@@ -131,7 +132,7 @@ def candidates(cfg: Config = CONFIG, n_train: int = 1, seed: int = CONFIG.model.
     return {
         "baseline_majority": Candidate("baseline_majority", None),
         "baseline_random": Candidate("baseline_random", None, random_baseline=True),
-        "logistic_regression": Candidate("logistic_regression", lr),
+        "logistic_regression": Candidate("logistic_regression", lr, penalised=True),
         "random_forest": Candidate("random_forest", rf, weighted=True),
         "gradient_boosting": Candidate("gradient_boosting", gbt, ovr_margin=True),
         "naive_bayes": Candidate("naive_bayes", nb),
@@ -151,19 +152,23 @@ class FittedModel:
     categorical: list[str] = field(default_factory=list)
 
 
-def fit_candidate(cand: Candidate, train: DataFrame, numeric: list[str], categorical: list[str]) -> FittedModel:
-    stages = feature_stages(train, numeric, categorical)
+def fit_candidate(cand: Candidate, train: DataFrame, numeric: list[str], categorical: list[str],
+                  cfg: Config = CONFIG, stages: list | None = None) -> FittedModel:
+    """``stages``: preprocessing fitted on ``train`` already, to share among candidates."""
+    stages = feature_stages(train, numeric, categorical) if stages is None else stages
     if cand.estimator is None:
         counts = {r[0]: r[1] for r in train.groupBy("price_category").count().collect()}   # <= k rows
         model = Pipeline(stages=stages).fit(train)
         if cand.random_baseline:
             total = sum(counts.values())
             shares = [counts.get(c, 0) / total for c in TIER_ORDER]
-            return FittedModel(cand.name, model, class_shares=shares, numeric=numeric, categorical=categorical)
+            return FittedModel(cand.name, model, class_shares=shares, seed=cfg.model.random_state,
+                               numeric=numeric, categorical=categorical)
         majority = sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))[0][0]
         return FittedModel(cand.name, model, majority=majority, numeric=numeric, categorical=categorical)
     data = train.withColumn("weight", class_weights(train)) if cand.weighted else train
-    model = Pipeline(stages=[*stages, cand.estimator]).fit(data)
+    estimator = cand.estimator.copy({cand.estimator.regParam: 1.0 / max(train.count(), 1)}) if cand.penalised else cand.estimator
+    model = Pipeline(stages=[*stages, estimator]).fit(data)
     return FittedModel(cand.name, model, ovr_margin=cand.ovr_margin, numeric=numeric, categorical=categorical)
 
 
@@ -181,7 +186,7 @@ def predict(model: FittedModel, df: DataFrame, classes=TIER_ORDER) -> DataFrame:
         # seeded hash of the id (uniform in [0, 1), reproducible under any
         # partitioning) against the cumulative shares.
         probs = F.array(*[F.lit(float(p)) for p in model.class_shares])
-        u = F.xxhash64(F.col("id"), F.lit(model.seed)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+        u = stable_hash("id", model.seed) / F.lit(float(1 << HASH_BITS))
         cum, draw = 0.0, None
         for c, p in zip(classes, model.class_shares):
             cum += p
@@ -228,9 +233,9 @@ def score_batch(model: FittedModel, df: DataFrame, cfg: Config = CONFIG, classes
 # --------------------------------------------------------------------------- training jobs
 def training_frame(features: DataFrame, cfg: Config = CONFIG):
     """Usable feature lists (F13) and the split-annotated frame (J1 + J4)."""
-    from tierscope.operators.features import usable_features
+    from tierscope.operators.features import model_inputs, usable_features
     from tierscope.operators.split import stratified_split
-    numeric, categorical = cfg.feature_columns()
+    numeric, categorical = model_inputs(cfg)
     numeric, categorical, _ = usable_features(features, numeric, categorical)
     split = stratified_split(features, test_size=cfg.model.test_size, seed=cfg.model.random_state,
                              folds=cfg.model.cv_folds)
@@ -248,7 +253,7 @@ def evaluate(model: FittedModel, test: DataFrame) -> dict:
 
 
 def cross_validate(cand: Candidate, train: DataFrame, numeric, categorical, folds: int,
-                   parallelism: int | None = None) -> list[float]:
+                   cfg: Config = CONFIG, parallelism: int | None = None) -> list[float]:
     """Macro F1 per fold; preprocessing is refitted inside every fold.
 
     Folds are independent, so their jobs are submitted concurrently (as
@@ -259,7 +264,7 @@ def cross_validate(cand: Candidate, train: DataFrame, numeric, categorical, fold
     def one(k: int) -> float:
         fit_part = train.where(F.col("fold") != k)
         val_part = train.where(F.col("fold") == k)
-        return macro_f1(scored_frame(fit_candidate(cand, fit_part, numeric, categorical), val_part))
+        return macro_f1(scored_frame(fit_candidate(cand, fit_part, numeric, categorical, cfg), val_part))
     with ThreadPoolExecutor(max_workers=parallelism or folds) as pool:
         return list(pool.map(one, range(folds)))
 
@@ -286,21 +291,20 @@ def train_and_select(features: DataFrame, cfg: Config = CONFIG, names=None, fold
     split = split.checkpoint()   # reliable checkpoint in the shared folder; cuts lineage
     train = split.where(F.col("split") == "train")
     test = split.where(F.col("split") == "test")
-    n_train = train.count()
-    reg = candidates(cfg, n_train)
+    reg = candidates(cfg)
     names = list(names or cfg.model.candidates)
     folds = folds or cfg.model.cv_folds
     rows, fitted = [], {}
     for name in names:
         if name not in reg:
-            raise ValueError(f"Unknown model candidate '{name}' in config")
-        cv = cross_validate(reg[name], train, numeric, categorical, folds)
-        model = fit_candidate(reg[name], train, numeric, categorical)
+            raise ValueError(f"no candidate is called {name!r}; there are {', '.join(reg)}")
+        cv = cross_validate(reg[name], train, numeric, categorical, folds, cfg)
+        model = fit_candidate(reg[name], train, numeric, categorical, cfg)
         fitted[name] = model
         t = evaluate(model, test)
         rows.append({"model": name, "cv_mean": statistics.fmean(cv), "cv_std": statistics.pstdev(cv),
                      "cv_folds": len(cv), **{k: float(v) for k, v in t.items()}})
-    contenders = [r for r in rows if r["model"] != "baseline_majority"]
+    contenders = [r for r in rows if not r["model"].startswith("baseline_")]
     best = max(contenders, key=lambda r: r["cv_mean"])["model"] if contenders else names[0]
     best_test = max(rows, key=lambda r: r["accuracy"])["model"]   # J16: research rule
     for r in rows:
@@ -405,6 +409,7 @@ def artifact_metadata(spark, model: FittedModel, cfg: Config = CONFIG, metrics:
     from tierscope import __version__
     meta = {
         "best_model": model.name, "majority": model.majority, "ovr_margin": model.ovr_margin,
+        "class_shares": model.class_shares, "seed": model.seed,
         "numeric_features": model.numeric, "categorical_features": model.categorical,
         "snapshot_date": cfg.snapshot_date,
         "trained_at": datetime.datetime.now(datetime.timezone.utc).isoformat(timespec="seconds"),
@@ -425,7 +430,7 @@ def load_model(spark, path: str) -> FittedModel:
     import json
     meta = json.loads(spark.read.json(f"{path}/metadata").first()["metadata"])
     return FittedModel(meta["best_model"], PipelineModel.load(f"{path}/pipeline"), majority=meta["majority"],
-                       ovr_margin=meta["ovr_margin"], numeric=meta["numeric_features"],
+                       class_shares=meta["class_shares"], seed=meta["seed"], ovr_margin=meta["ovr_margin"], numeric=meta["numeric_features"],
                        categorical=meta["categorical_features"])
 
 
@@ -434,37 +439,44 @@ def stored_property_levels(model: FittedModel) -> list[str]:
     return [x for x in category_labels(model).get("property_type", []) if x != "Other"]
 
 
+# What a request must say, and what stands in for the rest, before features are derived.
+_REQUIRED = ("latitude", "longitude", "neighbourhood_cleansed")
+
+
+def _with_defaults(df: DataFrame, schema: dict[str, tuple[str, str | None]]) -> DataFrame:
+    """Every column of ``schema`` (name -> type, value if absent or null), beside the other columns."""
+    def column(name):
+        kind, value = schema[name]
+        given = F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+        return given if value is None else F.coalesce(given, F.lit(value).cast(kind))
+
+    return df.withColumns({name: column(name) for name in schema})
+
+
+_RAW_INPUTS = {"amenities": ("string", "[]"), "property_type": ("string", None), "accommodates": ("double", None),
+               "host_listings_count": ("double", None)}
+
+
 def prepare_requests(requests: DataFrame, model: FittedModel, cfg: Config = CONFIG,
                      property_levels: list[str] | None = None) -> DataFrame:
-    """J17 input handling: engineer features unless already engineered; require
-    location; default amenities to '[]'; absent model inputs become null."""
+    """J17 input handling: rows that have no features yet get them, then every input of the model exists.
+
+    Features need a place; the tier that the label stage expects is a stand-in.
+    """
     from tierscope.operators.features import engineer_features
     df = requests
     if "distance_from_cbd_km" not in df.columns:
-        for c in ("latitude", "longitude", "neighbourhood_cleansed"):
-            if c not in df.columns:
-                raise ValueError(f"Listing needs '{c}' to derive location features")
-        if "amenities" not in df.columns:
-            df = df.withColumn("amenities", F.lit("[]"))
-        df = df.withColumn("amenities", F.coalesce(F.col("amenities"), F.lit("[]")))
-        for c, t in (("property_type", "string"), ("accommodates", "double"), ("host_listings_count", "double")):
-            if c not in df.columns:
-                df = df.withColumn(c, F.lit(None).cast(t))
-        if property_levels is None:
-            property_levels = stored_property_levels(model)
-        df = engineer_features(df, cfg, property_levels=property_levels)
-    for c in model.numeric:
-        df = df.withColumn(c, F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double"))
-    for c in model.categorical:
-        if c not in df.columns:
-            df = df.withColumn(c, F.lit(None).cast("string"))
-    if "price_category" not in df.columns:
-        df = df.withColumn("price_category", F.lit(TIER_ORDER[0]))   # placeholder for the label stage
-    return df
+        absent = [c for c in _REQUIRED if c not in df.columns]
+        if absent:
+            raise ValueError(f"requests lack {', '.join(absent)}: no place, no location features")
+        levels = stored_property_levels(model) if property_levels is None else property_levels
+        df = engineer_features(_with_defaults(df, _RAW_INPUTS), cfg, property_levels=levels)
+    return _with_defaults(df, {c: ("double", None) for c in model.numeric} | {c: ("string", None) for c in model.categorical}
+                          | {"price_category": ("string", TIER_ORDER[0])})
 
 
 def tune_forest(train: DataFrame, numeric: list[str], categorical: list[str], mtry=(4, 6, 9),
-                trees: int = 500, seed: int = CONFIG.model.random_state, folds: int = CONFIG.model.cv_folds):
+                trees: int = 500, depth: int = CONFIG.model.forest_depth, seed: int = CONFIG.model.random_state, folds: int = CONFIG.model.cv_folds):
     """J9 (research variant): random forest tuned over features-per-split (mtry) by
     cross-validated accuracy, on the exact stratified folds (``foldCol``).
 
@@ -474,7 +486,7 @@ def tune_forest(train: DataFrame, numeric: list[str], categorical: list[str], mt
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
     rf = RandomForestClassifier(featuresCol="features", labelCol="label_idx", numTrees=trees,
-                                minInstancesPerNode=2, maxDepth=8, seed=seed)
+                                minInstancesPerNode=2, maxDepth=depth, seed=seed, maxMemoryInMB=1024)
     pipe = Pipeline(stages=[*feature_stages(train, numeric, categorical), rf])
     grid = ParamGridBuilder().addGrid(rf.featureSubsetStrategy, [str(m) for m in mtry]).build()
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, foldCol="fold", numFolds=folds, seed=seed,

@@ -9,6 +9,7 @@ pre-registered views, written in DuckDB's own dialect.
 from __future__ import annotations
 
 from tierscope.config import CONFIG, NA_STRINGS, RAW_COLUMNS, RESEARCH_POPULAR_AREAS
+from tierscope.functions.amenities import flag_column
 from tierscope.sources.tables import listings_raw_sql
 
 _T = CONFIG.target
@@ -100,7 +101,7 @@ ITEMS = """(CASE WHEN amenities IS NULL OR regexp_full_match(amenities, '\\s*')
   ELSE []::VARCHAR[] END)"""
 
 _flags = ",\n  ".join(
-    f"CAST(contains(lower(array_to_string(_items, ' | ')), {_q(a.lower())}) AS INTEGER) AS has_{a.lower().replace(' ', '_')}"
+    f"CAST(contains(lower(array_to_string(_items, ' | ')), {_q(a.lower())}) AS INTEGER) AS {flag_column(a)}"
     for a in _F.key_amenities)
 _beach = "least(" + ", ".join(_hav("latitude", "longitude", la, lo) for _, la, lo in _F.beaches) + ")"
 _base_cols = ", ".join(

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierscope.config import TIER_MIDPOINTS
+from tierscope.functions.hashing import HASH_BITS, stable_hash_sql
 from tierscope.plans import base, market as mk
+from tierscope.operators.quantiles import _null_safe_join
 from tierscope.plans.oracle import with_base
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -184,9 +186,9 @@ def e16(spark, sf):
 
 
 @register("e17_farther_from_cbd_share", with_base("""
-SELECT id, (count(*) OVER () - count(*) OVER (ORDER BY distance_from_cbd_km
-            RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) / count(*) OVER () AS farther_share
-FROM features"""))
+SELECT id, (SELECT count(*) FROM features g WHERE g.distance_from_cbd_km > f.distance_from_cbd_km)
+           / (SELECT count(*) FROM features) AS farther_share
+FROM features f"""))
 def e17(spark, sf):
     return mk.farther_from_cbd_share(base.prepared(spark, sf))
 
@@ -240,12 +242,14 @@ WITH caps AS (SELECT neighbourhood_cleansed, room_type, quantile_cont(price_nume
               FROM features GROUP BY 1, 2),
 v AS (SELECT f.neighbourhood_cleansed, f.room_type,
              CASE WHEN f.price_numeric > c.cap THEN c.cap ELSE f.price_numeric END AS x
-      FROM features f JOIN caps c ON f.neighbourhood_cleansed = c.neighbourhood_cleansed AND f.room_type = c.room_type),
+      FROM features f JOIN caps c ON f.neighbourhood_cleansed IS NOT DISTINCT FROM c.neighbourhood_cleansed
+        AND f.room_type IS NOT DISTINCT FROM c.room_type),
 b AS (SELECT neighbourhood_cleansed, room_type, min(x) AS lo, max(x) AS hi FROM v GROUP BY 1, 2)
 SELECT v.neighbourhood_cleansed, v.room_type,
   CASE WHEN hi - lo = 0 THEN 0 ELSE CAST(least(floor((x - lo) * (34.0e0 / (hi - lo))), 33) AS INTEGER) END AS bin,
   count(*) AS n
-FROM v JOIN b ON v.neighbourhood_cleansed = b.neighbourhood_cleansed AND v.room_type = b.room_type
+FROM v JOIN b ON v.neighbourhood_cleansed IS NOT DISTINCT FROM b.neighbourhood_cleansed
+  AND v.room_type IS NOT DISTINCT FROM b.room_type
 GROUP BY 1, 2, 3"""))
 def e36(spark, sf):
     return mk.comps_histogram(base.prepared(spark, sf))
@@ -273,7 +277,8 @@ def b12(spark, sf):
     return mk.keep_at_most_quantile(base.market(spark, sf)).select("id", "price_numeric")
 
 
-@register("g03_map_sample")
+@register("g03_map_sample", with_base(f"""
+SELECT id, latitude, longitude, price_category FROM market ORDER BY {stable_hash_sql("id", 7)}, id LIMIT 4000"""))
 def g03(spark, sf):
     return mk.map_sample(base.market(spark, sf)).select("id", "latitude", "longitude", "price_category")
 
@@ -306,8 +311,7 @@ FROM features f JOIN r ON f.neighbourhood_cleansed IS NOT DISTINCT FROM r.neighb
 def c25(spark, sf):
     f = base.prepared(spark, sf)
     keys = ["neighbourhood_cleansed", "room_type", "price_category"]
-    rates = f.select("id", *keys, "availability_365").join(
-        mk.representative_rate(f), keys, "inner")
+    rates = _null_safe_join(f.select("id", *keys, "availability_365"), mk.representative_rate(f), keys)
     return mk.revenue_outlook(rates, F.col("availability_365")).select(
         "id", "rate", "open_nights", "revenue_est", "revenue_low", "revenue_high")
 
@@ -594,7 +598,23 @@ def j04(spark, sf):
              .agg(F.count(F.lit(1)).alias("n")))
 
 
-@register("j05_repeated_folds")
+# Rows of each class in hash order: the first t_c are the test rows, the rest are dealt to the folds.
+def _split_rows_sql(share: float, seed: int, folds: int = 5) -> str:
+    return _ALLOC.format(share=share) + f""",
+k AS (SELECT p.*, t_c, row_number() OVER (PARTITION BY p.price_category ORDER BY {stable_hash_sql("id", seed)}, id) AS rk
+      FROM prepared p JOIN a ON a.price_category = p.price_category)
+SELECT id, price_category, CASE WHEN rk <= t_c THEN 'test' ELSE 'train' END AS split,
+  CAST(CASE WHEN rk > t_c THEN (rk - t_c - 1) % {folds} END AS INTEGER) AS fold FROM k"""
+
+
+@register("j01_split_rows", _prepared_cte(_split_rows_sql(0.2, 42)))
+def j01_rows(spark, sf):
+    return sp.stratified_split(base.prepared(spark, sf)).select("id", "price_category", "split", "fold")
+
+
+@register("j05_repeated_folds", _prepared_cte(" UNION ALL ".join(
+    f"SELECT fold, price_category, count(*) AS n, CAST({rep} AS INTEGER) AS repeat FROM ({_split_rows_sql(0.3, seed)}) "
+    f"WHERE split = 'train' GROUP BY 1, 2" for rep, seed in enumerate((42, 43, 44)))))
 def j05(spark, sf):
     """Repeated stratified k-fold (3 seeds x 5 folds): fold sizes per repeat."""
     df = base.prepared(spark, sf)
@@ -767,7 +787,7 @@ def _fitted(spark, sf, name: str):
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _MODELS:
         train, _, numeric, categorical = _split_parts(spark, sf)
-        _MODELS[key] = M.fit_candidate(M.candidates(n_train=train.count())[name], train, numeric, categorical)
+        _MODELS[key] = M.fit_candidate(M.candidates()[name], train, numeric, categorical)
     return _MODELS[key]
 
 
@@ -888,9 +908,9 @@ def d04(spark, sf):
                                      F.col("neighbourhood_cleansed").alias("level"))))
 
 
-from tierscope.config import CATEGORICAL_FEATURES, CONFIG  # noqa: E402
+from tierscope.operators.features import model_inputs  # noqa: E402
 
-_F13_COLS = CONFIG.feature_columns()[0] + list(CATEGORICAL_FEATURES)
+_F13_COLS = [c for part in model_inputs() for c in part]
 
 
 @register("f13_observed_feature_counts", with_base(

@@ -24,32 +24,27 @@ def normalize_missing(df: DataFrame, na_strings: list[str] = NA_STRINGS) -> Data
     ])
 
 
-def read_listings_csv(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+def read_listings_csv(spark: SparkSession, path: str) -> DataFrame:
     """Read a raw listings CSV (plain or gzip) by header, every column as text.
 
     An explicit schema would map fields by position, so the file is read
-    all-string and columns are later selected by name.  Gzip files are not
-    splittable: each one lands in a single task, so the rows are spread
-    with a round-robin repartition right after the scan.  ``ingest_seq``
-    records file order (partition id in the high bits) for keep-first
-    deduplication.
+    all-string and columns are later selected by name.  (``ingest_file``,
+    ``ingest_seq``) is the order of the rows: files by name, whatever order
+    the scan packs them in, and rows as they stand in the file (a multi-line
+    or gzip file is one task, which numbers its rows in order).  The rows are
+    then dealt out by that key, as one file would else stay one task.
     """
     df = (spark.read.option("header", True).option("multiLine", True)
           .option("escape", '"').csv(path))
-    df = df.withColumn("ingest_seq", F.monotonically_increasing_id())
-    if partitions:
-        df = df.repartition(partitions)
-    else:
-        from tierscope.sources.tables import spread
-        df = spread(df)
-    return normalize_missing(df)
+    df = df.select("*", F.col("_metadata.file_path").alias("ingest_file"), F.monotonically_increasing_id().alias("ingest_seq"))
+    return normalize_missing(df.repartition("ingest_file", "ingest_seq"))
 
 
 def require_columns(df: DataFrame, required: list[str] = RAW_COLUMNS) -> None:
     """Raise, naming every missing column, before any job runs."""
     missing = [c for c in required if c not in df.columns]
     if missing:
-        raise ValueError(f"Raw data is missing expected columns: {missing}")
+        raise ValueError(f"listings lack the columns {', '.join(missing)}")
 
 
 def write_snapshot(df: DataFrame, out: str, snapshot_date: str | None = None) -> None:
@@ -97,11 +92,6 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def blank_na_strings(df: DataFrame) -> DataFrame:
-    """Research loader: the literal "N/A" becomes an empty string in text columns."""
-    return df.replace("N/A", "", subset=_string_columns(df)) if _string_columns(df) else df
-
-
 def tf_columns(df: DataFrame) -> list[str]:
     """Text columns whose every value is 't' or 'f' (a missing value disqualifies).
 

@@ -26,7 +26,7 @@ select id, ingest_seq,
        when p >= 1000 then concat('$', cast(cast(floor(p / 1000) as bigint) as varchar(20)), ',', lpad(cast(p % 1000 as varchar(20)), 3, '0'), '.00')
        else concat('$', cast(p as varchar(20)), '.00') end as price,
   case when id % 61 = 0 then null when id % 20 < 12 then concat('Type ', cast(id % 5 as varchar(20))) else concat('Type ', cast(id % 23 as varchar(20))) end as property_type,
-  case pr when '1-URGENT' then 'Hotel room' when '2-HIGH' then 'Private room' when '3-MEDIUM' then 'Shared room' else 'Entire home/apt' end as room_type,
+  case when id % 59 = 0 then null when pr = '1-URGENT' then 'Hotel room' when pr = '2-HIGH' then 'Private room' when pr = '3-MEDIUM' then 'Shared room' else 'Entire home/apt' end as room_type,
   1 + id % 12 as accommodates,
   case when id % 19 = 0 then null else cast(id % 6 as double) end as bedrooms,
   case when id % 23 = 0 then null else cast(1 + id % 8 as double) end as beds,
@@ -34,8 +34,8 @@ select id, ingest_seq,
   case id % 6 when 0 then '1.5 shared baths' when 1 then '2 baths' when 2 then '1 bath' when 3 then 'Shared half-bath' when 4 then '3 baths' else null end as bathrooms_text,
   case id % 8 when 0 then '["Wifi", "Pool"]' when 1 then '["Dishwasher", "Kitchen"]' when 2 then '["Washer", "Gym", "Free parking on premises"]'
        when 3 then '[]' when 4 then null when 5 then 'not json [Kitchen, Pool]' when 6 then '{{"a": 1}}' else '["Air conditioning", "Washer", "Dishwasher", "Pool table"]' end as amenities,
-  hood as neighbourhood_cleansed,
-  -33.60 - (id % 500) / 1000.0e0 as latitude, 150.95 + (k % 400) / 1000.0e0 as longitude,
+  case when id % 53 = 0 then null else hood end as neighbourhood_cleansed,
+  case when id % 67 = 0 then null else -33.60 - (id % 500) / 1000.0e0 end as latitude, 150.95 + (k % 400) / 1000.0e0 as longitude,
   case when id % 31 = 0 then null when st = 'F' then 't' else 'f' end as host_is_superhost,
   case when id % 7 = 0 then 'N/A' else concat(cast(id % 101 as varchar(20)), '%') end as host_response_rate,
   case when id % 11 = 0 then null else concat(cast((id * 7) % 101 as varchar(20)), '%') end as host_acceptance_rate,
@@ -60,24 +60,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, unique_key: str | list[str] | None = None) -> DataFrame:
-    """Spread a scan that yields fewer partitions than the cluster has cores.
-
-    A single small file (or a gzip file) is one task; everything up to the
-    first shuffle would run on one core.  Large inputs already have far
-    more splits than cores, so for them this is a no-op and adds no shuffle.
-    With a unique key, hash partitioning is used (even by construction and
-    cheaper than round-robin, which sorts rows first to stay deterministic).
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    if not unique_key:
-        return df.repartition(target)
-    keys = [unique_key] if isinstance(unique_key, str) else list(unique_key)
-    return df.repartition(target, *keys)
-
-
 def listings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw listing rows (all 24 required columns plus ``ingest_seq``).
 
@@ -87,8 +69,8 @@ def listings_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     return spark.sql(
         LISTINGS_RAW_TEMPLATE,
-        orders=spread(read_table(spark, sf_dir, "orders").select(
-            "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_totalprice"), "o_orderkey"),
+        orders=read_table(spark, sf_dir, "orders").select(
+            "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_totalprice"),
         customer=read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"),
         nation=read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"),
     )
