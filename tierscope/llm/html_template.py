@@ -33,12 +33,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierscope.llm.common import map_rows
+from tierscope.llm.common import checkpoint, join_on_hot_keys, map_rows
 
 VALID_SHARE = 0.8     # a valid class occurs on this share of a host's pages, or more
 VALID_PAGES = 3       # and the host has so many pages
 MOST_TEXT = 0.7       # the article's slot holds this share of the running text, or more
-SALTS = 16
 
 # Fixed values of HTML.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -225,9 +224,10 @@ def main_text(page: str | None, slot: str | None, constant: list[str] | None) ->
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     p = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    found = templates(token_sums(p)).withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
-    salted = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    both = salted.join(found, ["host", "salt"], "left").select("page_id", "url", "html", "slot", "constant")
+    sums = checkpoint(token_sums(p))
+    # The html of frequent hosts stays where it is; their templates come to it.
+    hosts = checkpoint(sums.filter("token = ''").select("host", F.col("pages").alias("n")).join(templates(sums), "host", "left"))
+    both = join_on_hot_keys(p, hosts, "host", "n")
 
     def rows(batch):
         texts = [main_text(*x) for x in zip(batch["html"], batch["slot"], batch["constant"], strict=True)]
