@@ -82,6 +82,16 @@ def fit_preprocess(train: DataFrame, numeric: list[str], categorical: list[str])
     return SQLTransformer(statement="SELECT *, " + ", ".join(parts) + " FROM __THIS__")
 
 
+def numeric_statistics(prep: SQLTransformer, numeric: list[str]) -> tuple[dict, dict, dict]:
+    """Median, mean and deviation of each input, read from the fitted statement."""
+    import re
+    med, mean, std = {}, {}, {}
+    for c in numeric:
+        m = re.search(r"\(coalesce\(CAST\(" + re.escape(_q(c)) + r" AS DOUBLE\), (\S+)\) - (\S+)\) / (\S+) AS", prep.getStatement())
+        med[c], mean[c], std[c] = (None if x == "NULL" else float(x.rstrip("D")) for x in m.groups())
+    return med, mean, std
+
+
 def feature_stages(train: DataFrame, numeric: list[str], categorical: list[str]) -> list:
     prep = fit_preprocess(train, numeric, categorical)
     # One multi-column indexer: every vocabulary is fitted in a single pass.
@@ -153,7 +163,7 @@ class FittedModel:
 
 
 def fit_candidate(cand: Candidate, train: DataFrame, numeric: list[str], categorical: list[str],
-                  cfg: Config = CONFIG, stages: list | None = None) -> FittedModel:
+                  cfg: Config = CONFIG, stages: list | None = None, classes=TIER_ORDER) -> FittedModel:
     """``stages``: preprocessing fitted on ``train`` already, to share among candidates."""
     stages = feature_stages(train, numeric, categorical) if stages is None else stages
     if cand.estimator is None:
@@ -161,7 +171,7 @@ def fit_candidate(cand: Candidate, train: DataFrame, numeric: list[str], categor
         model = Pipeline(stages=stages).fit(train)
         if cand.random_baseline:
             total = sum(counts.values())
-            shares = [counts.get(c, 0) / total for c in TIER_ORDER]
+            shares = [counts.get(c, 0) / total for c in classes]
             return FittedModel(cand.name, model, class_shares=shares, seed=cfg.model.random_state,
                                numeric=numeric, categorical=categorical)
         majority = sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))[0][0]
@@ -213,9 +223,9 @@ def predict(model: FittedModel, df: DataFrame, classes=TIER_ORDER) -> DataFrame:
                       *[F.col("_p")[i].alias(f"score_{classes[i]}") for i in range(k)])
 
 
-def scored_frame(model: FittedModel, df: DataFrame) -> DataFrame:
+def scored_frame(model: FittedModel, df: DataFrame, classes=TIER_ORDER) -> DataFrame:
     """Evaluation input: label, prediction and per-class scores."""
-    return predict(model, df).withColumnRenamed("price_category", "label")
+    return predict(model, df, classes).withColumnRenamed("price_category", "label")
 
 
 def score_batch(model: FittedModel, df: DataFrame, cfg: Config = CONFIG, classes=TIER_ORDER) -> DataFrame:
@@ -242,6 +252,21 @@ def training_frame(features: DataFrame, cfg: Config = CONFIG):
     return split, numeric, categorical
 
 
+def written_split(split: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows, read back from one table partitioned by split and fold.
+
+    Every pass of the fits then reads the columns it needs and only its folds.
+    """
+    import uuid
+
+    from tierscope.session import checkpoint_dir
+    spark = split.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tierscope_split/{uuid.uuid4().hex}"
+    split.write.partitionBy("split", "fold").parquet(path)
+    back = spark.read.schema(split.schema).parquet(path)
+    return back.where(F.col("split") == "train"), back.where(F.col("split") == "test")
+
+
 def evaluate(model: FittedModel, test: DataFrame) -> dict:
     """J20 + J22 on a split: accuracy, macro P/R/F1, kappa, macro AUC, n (one small row each)."""
     from tierscope.plans.evaluation import auc_ovr, summary_metrics
@@ -252,8 +277,13 @@ def evaluate(model: FittedModel, test: DataFrame) -> dict:
     return m
 
 
-def cross_validate(cand: Candidate, train: DataFrame, numeric, categorical, folds: int,
-                   cfg: Config = CONFIG, parallelism: int | None = None) -> list[float]:
+def fold_stages(train: DataFrame, numeric, categorical, folds: int) -> list[list]:
+    """Preprocessing fitted on the training rows outside each fold, to share among candidates."""
+    return [feature_stages(train.where(F.col("fold") != k), numeric, categorical) for k in range(folds)]
+
+
+def cross_validate(cand: Candidate, train: DataFrame, numeric, categorical, folds: int, cfg: Config = CONFIG,
+                   parallelism: int | None = None, stages: list[list] | None = None) -> list[float]:
     """Macro F1 per fold; preprocessing is refitted inside every fold.
 
     Folds are independent, so their jobs are submitted concurrently (as
@@ -261,10 +291,12 @@ def cross_validate(cand: Candidate, train: DataFrame, numeric, categorical, fold
     """
     from concurrent.futures import ThreadPoolExecutor
 
+    stages = stages or fold_stages(train, numeric, categorical, folds)
+
     def one(k: int) -> float:
         fit_part = train.where(F.col("fold") != k)
         val_part = train.where(F.col("fold") == k)
-        return macro_f1(scored_frame(fit_candidate(cand, fit_part, numeric, categorical, cfg), val_part))
+        return macro_f1(scored_frame(fit_candidate(cand, fit_part, numeric, categorical, cfg, stages[k]), val_part))
     with ThreadPoolExecutor(max_workers=parallelism or folds) as pool:
         return list(pool.map(one, range(folds)))
 
@@ -283,27 +315,25 @@ def macro_f1(scored: DataFrame, classes=TIER_ORDER) -> float:
 
 def train_and_select(features: DataFrame, cfg: Config = CONFIG, names=None, folds: int | None = None):
     """Cross-validate each candidate on the training split, refit, test once;
-    the winner is the best CV macro F1 excluding the baseline."""
+    the winner is the best CV macro F1 excluding the baselines."""
     import statistics
-    from tierscope.session import checkpoint_dir
     split, numeric, categorical = training_frame(features, cfg)
-    checkpoint_dir(features.sparkSession)   # the session's folder, or a scratch one when unset
-    split = split.checkpoint()   # reliable checkpoint in the shared folder; cuts lineage
-    train = split.where(F.col("split") == "train")
-    test = split.where(F.col("split") == "test")
+    train, test = written_split(split)
     reg = candidates(cfg)
     names = list(names or cfg.model.candidates)
     folds = folds or cfg.model.cv_folds
+    shared = fold_stages(train, numeric, categorical, folds)
+    whole = feature_stages(train, numeric, categorical)
     rows, fitted = [], {}
     for name in names:
         if name not in reg:
             raise ValueError(f"no candidate is called {name!r}; there are {', '.join(reg)}")
-        cv = cross_validate(reg[name], train, numeric, categorical, folds, cfg)
-        model = fit_candidate(reg[name], train, numeric, categorical, cfg)
+        cv = cross_validate(reg[name], train, numeric, categorical, folds, cfg, stages=shared)
+        model = fit_candidate(reg[name], train, numeric, categorical, cfg, whole)
         fitted[name] = model
         t = evaluate(model, test)
         rows.append({"model": name, "cv_mean": statistics.fmean(cv), "cv_std": statistics.pstdev(cv),
-                     "cv_folds": len(cv), **{k: float(v) for k, v in t.items()}})
+                     "cv_folds": len(cv), "cv_scores": [float(x) for x in cv], **{k: float(v) for k, v in t.items()}})
     contenders = [r for r in rows if not r["model"].startswith("baseline_")]
     best = max(contenders, key=lambda r: r["cv_mean"])["model"] if contenders else names[0]
     best_test = max(rows, key=lambda r: r["accuracy"])["model"]   # J16: research rule
@@ -342,33 +372,40 @@ def category_labels(model: FittedModel) -> dict[str, list[str]]:
 
 
 # --------------------------------------------------------------------------- linear discriminant
+def lda_statistics(train: DataFrame, columns: list[str], label: str = "price_category") -> tuple[DataFrame, DataFrame]:
+    """(label, n, class means) and (a, b, value), the pooled within-class covariance.
+
+    Two distributed passes: one grouped aggregate, one sum of centred
+    products.  Rows with a missing input are left out.
+    """
+    data = train.select(label, *[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    means = data.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in columns])
+    # One row a class.
+    centred = data.join(F.broadcast(means.select(label, *[F.col(c).alias(f"_m_{c}") for c in columns])), label)
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    df = F.greatest(F.count(F.lit(1)) - F.count_distinct(label), F.lit(1))
+    row = centred.agg(*[(F.sum((F.col(a) - F.col(f"_m_{a}")) * (F.col(b) - F.col(f"_m_{b}"))) / df).alias(f"{i}")
+                        for i, (a, b) in enumerate(pairs)])
+    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{i}`").alias("value")) for i, (a, b) in enumerate(pairs)])
+    return means, row.select(F.explode(cells).alias("c")).select("c.*")
+
+
 def fit_lda(train: DataFrame, columns: list[str], label: str = "price_category", classes=TIER_ORDER):
-    """Class means and pooled within-class covariance in two distributed
-    passes (one grouped aggregate, one sum of centred products); the p x p
-    solve happens on the driver.  Rows with a missing input are dropped."""
+    """Weights and offset of each class's linear score; the p x p solve happens on the driver."""
     import numpy as np
-    data = train.select(label, *[F.col(c).cast("double").alias(c) for c in columns]).dropna()
-    means = data.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(c) for c in columns])
+    means, cov = lda_statistics(train, columns, label)
     mrows = {r[label]: r for r in means.collect()}
-    centred = data.join(F.broadcast(means.select(label, *[F.col(c).alias(f"_m_{c}") for c in columns])), label)
-    prods = [F.sum((F.col(a) - F.col(f"_m_{a}")) * (F.col(b) - F.col(f"_m_{b}"))).alias(f"{i}_{j}")
-             for i, a in enumerate(columns) for j, b in enumerate(columns) if j >= i]
-    srow = centred.agg(*prods).first()
-    p = len(columns)
-    n = sum(r["_n"] for r in mrows.values())
-    cov = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            cov[i, j] = cov[j, i] = srow[f"{i}_{j}"] / max(n - len(mrows), 1)
-    inv = np.linalg.pinv(cov)
+    at = {c: i for i, c in enumerate(columns)}
+    m = np.zeros((len(columns), len(columns)))
+    for r in cov.collect():
+        m[at[r["a"]], at[r["b"]]] = m[at[r["b"]], at[r["a"]]] = r["value"]
+    inv, n = np.linalg.pinv(m), sum(r["n"] for r in mrows.values())
     coefs = {}
     for cl in classes:
-        if cl not in mrows:
-            continue
-        mu = np.array([mrows[cl][c] for c in columns])
-        w = inv @ mu
-        b = -0.5 * float(mu @ w) + float(np.log(mrows[cl]["_n"] / n))
-        coefs[cl] = (w.tolist(), b)
+        if cl in mrows:
+            mu = np.array([mrows[cl][c] for c in columns])
+            w = inv @ mu
+            coefs[cl] = (w.tolist(), -0.5 * float(mu @ w) + float(np.log(mrows[cl]["n"] / n)))
     return coefs
 
 

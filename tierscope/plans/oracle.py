@@ -237,5 +237,5 @@ RESEARCH_CTES = {
 }
 
 
-def with_research(body: str) -> str:
-    return with_base(body, RESEARCH_CTES)
+def with_research(body: str, extra: dict[str, str] | None = None) -> str:
+    return with_base(body, RESEARCH_CTES | (extra or {}))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from tierscope.functions.hashing import HASH_BITS, stable_hash_sql
 from tierscope.plans import base, market as mk
 from tierscope.operators.quantiles import _null_safe_join
 from tierscope.plans.oracle import with_base
+from tierscope.session import checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -581,11 +583,6 @@ def j01(spark, sf):
     return sp.split_summary(sp.stratified_split(base.prepared(spark, sf)))
 
 
-@register("j02_stratified_split_70_30", _prepared_cte(_split_summary_sql(0.3)))
-def j02(spark, sf):
-    return sp.split_summary(sp.stratified_split(base.prepared(spark, sf), test_size=0.3, folds=None))
-
-
 @register("j04_stratified_folds", _prepared_cte(_ALLOC.format(share=0.2) + """
 , tr AS (SELECT price_category, n_c - t_c AS m FROM a),
 folds AS (SELECT * FROM range(5) r(fold))
@@ -599,11 +596,11 @@ def j04(spark, sf):
 
 
 # Rows of each class in hash order: the first t_c are the test rows, the rest are dealt to the folds.
-def _split_rows_sql(share: float, seed: int, folds: int = 5) -> str:
+def _split_rows_sql(share: float, seed: int, folds: int = 5, key: str = "id") -> str:
     return _ALLOC.format(share=share) + f""",
-k AS (SELECT p.*, t_c, row_number() OVER (PARTITION BY p.price_category ORDER BY {stable_hash_sql("id", seed)}, id) AS rk
+k AS (SELECT p.*, t_c, row_number() OVER (PARTITION BY p.price_category ORDER BY {stable_hash_sql(key, seed)}, {key}) AS rk
       FROM prepared p JOIN a ON a.price_category = p.price_category)
-SELECT id, price_category, CASE WHEN rk <= t_c THEN 'test' ELSE 'train' END AS split,
+SELECT {key}, {"" if key == "id" else "id, "}price_category, CASE WHEN rk <= t_c THEN 'test' ELSE 'train' END AS split,
   CAST(CASE WHEN rk > t_c THEN (rk - t_c - 1) % {folds} END AS INTEGER) AS fold FROM k"""
 
 
@@ -612,23 +609,6 @@ def j01_rows(spark, sf):
     return sp.stratified_split(base.prepared(spark, sf)).select("id", "price_category", "split", "fold")
 
 
-@register("j05_repeated_folds", _prepared_cte(" UNION ALL ".join(
-    f"SELECT fold, price_category, count(*) AS n, CAST({rep} AS INTEGER) AS repeat FROM ({_split_rows_sql(0.3, seed)}) "
-    f"WHERE split = 'train' GROUP BY 1, 2" for rep, seed in enumerate((42, 43, 44)))))
-def j05(spark, sf):
-    """Repeated stratified k-fold (3 seeds x 5 folds): fold sizes per repeat."""
-    df = base.prepared(spark, sf)
-    parts = []
-    for rep, seed in enumerate((42, 43, 44)):
-        s = sp.stratified_split(df, test_size=0.3, seed=seed)
-        parts.append(s.where(F.col("split") == "train").groupBy("fold", "price_category")
-                      .agg(F.count(F.lit(1)).alias("n")).withColumn("repeat", F.lit(rep)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 _PSEUDO = """
 SELECT id, price_category AS label,
   CASE WHEN room_type = 'Entire home/apt' THEN 'Premium' WHEN room_type = 'Hotel room' THEN 'Mid-Market'
@@ -761,82 +741,141 @@ def j30(spark, sf):
     return ev.tier_distance_errors(_pred(spark, sf))
 
 
-# ----------------------------------------------------------------------------- models (no SQL oracle)
+# ----------------------------------------------------------------------------- models
+from dataclasses import replace  # noqa: E402
+
+from tierscope.config import CONFIG, RESEARCH_TIER_ORDER, TIER_ORDER, Config  # noqa: E402
 from tierscope.plans import model as M  # noqa: E402
-from tierscope.session import checkpoint_dir  # noqa: E402
+from tierscope.plans import research_model as RM  # noqa: E402
 
+# The jobs train with the settings of CONFIG.  A registered query is one run
+# among many, so its ensembles are smaller: 600 rounds of boosting take a
+# quarter of an hour a fit at the smallest scale factors (see README).
+QUERY_CFG = Config(model=replace(CONFIG.model, forest_trees=100, forest_depth=12, boosting_rounds=20))
 
-_SPLITS: dict = {}
-_MODELS: dict = {}
+_KEPT: dict = {}
+
+
+def _once(spark, sf, name: str, make):
+    """Tables and fitted models that several queries read, made once a process."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
 
 
 def _split_parts(spark, sf):
-    """Train/test split of the prepared table, checkpointed once per process."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _SPLITS:
+    """(train, test, numeric, categorical) of the prepared table."""
+    def make():
         split, numeric, categorical = M.training_frame(base.prepared(spark, sf))
-        checkpoint_dir(spark)
-        split = split.checkpoint()
-        _SPLITS[key] = (split.where(F.col("split") == "train"), split.where(F.col("split") == "test"),
-                        numeric, categorical)
-    return _SPLITS[key]
+        return (*M.written_split(split), numeric, categorical)
+    return _once(spark, sf, "split", make)
+
+
+def _stages(spark, sf):
+    train, _, numeric, categorical = _split_parts(spark, sf)
+    return _once(spark, sf, "stages", lambda: M.feature_stages(train, numeric, categorical))
 
 
 def _fitted(spark, sf, name: str):
-    """A candidate fitted on the training split, trained once per process (an artifact)."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _MODELS:
-        train, _, numeric, categorical = _split_parts(spark, sf)
-        _MODELS[key] = M.fit_candidate(M.candidates()[name], train, numeric, categorical)
-    return _MODELS[key]
+    train, _, numeric, categorical = _split_parts(spark, sf)
+    return _once(spark, sf, f"model {name}", lambda: M.fit_candidate(
+        M.candidates(QUERY_CFG)[name], train, numeric, categorical, QUERY_CFG, _stages(spark, sf)))
 
 
-def _metrics_frame(spark, rows: list[dict]) -> DataFrame:
-    cols = ["model", "accuracy", "precision_macro", "recall_macro", "f1_macro", "kappa",
-            "roc_auc_ovr_macro", "n"]
-    return spark.createDataFrame([tuple(r.get(c) for c in cols) for r in rows],
-                                 "model string, accuracy double, precision_macro double, recall_macro double, "
-                                 "f1_macro double, kappa double, roc_auc_ovr_macro double, n long")
+def _scores(scored: DataFrame, classes) -> DataFrame:
+    return scored.select("id", "label", "prediction", *[F.col(f"score_{t}") for t in classes])
 
 
 def _fit_eval(name: str):
     def q(spark, sf):
-        _, test, _, _ = _split_parts(spark, sf)
-        return M.scored_frame(_fitted(spark, sf, name), test).select(
-            "id", "label", "prediction", *[F.col(f"score_{t}") for t in ("Budget", "Mid-Market", "Premium")])
+        return _scores(M.scored_frame(_fitted(spark, sf, name), _split_parts(spark, sf)[1]), TIER_ORDER)
     return q
 
 
-for _key, _name in [("j06_majority_baseline", "baseline_majority"), ("j07_random_baseline", "baseline_random"),
-                    ("j08_logistic_regression", "logistic_regression"),
-                    ("j09_random_forest", "random_forest"), ("j10_gradient_boosting", "gradient_boosting"),
-                    ("j12_naive_bayes", "naive_bayes"), ("j14_linear_svm", "linear_svm")]:
-    register(_key)(_fit_eval(_name))
+_TRAIN_COUNTS = f"""s AS ({_split_rows_sql(0.2, 42)}),
+n AS (SELECT price_category, count(*) AS n FROM s WHERE split = 'train' GROUP BY 1),
+m AS (SELECT price_category AS most FROM n ORDER BY n DESC, price_category LIMIT 1)"""
 
-_LDA_COLUMNS = ["accommodates", "bedrooms", "beds", "bathrooms", "review_scores_rating", "number_of_reviews",
-                "availability_365", "minimum_nights", "distance_from_cbd_km", "amenities_count"]
+_J06 = f"""WITH {_TRAIN_COUNTS}
+SELECT id, price_category AS label, most AS prediction,
+  {", ".join(f"CASE WHEN most = '{t}' THEN 1.0e0 ELSE 0.0e0 END AS " + chr(34) + f"score_{t}" + chr(34) for t in TIER_ORDER)}
+FROM s, m WHERE split = 'test'"""
 
+for _key, _name, _sql in [("j06_majority_baseline", "baseline_majority", _prepared_cte(_J06)),
+                          ("j08_logistic_regression", "logistic_regression", None),
+                          ("j09_random_forest", "random_forest", None), ("j10_gradient_boosting", "gradient_boosting", None)]:
+    register(_key, _sql)(_fit_eval(_name))
+
+
+# Each candidate's cross-validation is a job of its own that writes its fold scores.
+def _cv(spark, sf, name: str) -> DataFrame:
+    def make():
+        train, _, numeric, categorical = _split_parts(spark, sf)
+        folds = CONFIG.model.cv_folds
+        shared = _once(spark, sf, "fold stages", lambda: M.fold_stages(train, numeric, categorical, folds))
+        scores = M.cross_validate(M.candidates(QUERY_CFG)[name], train, numeric, categorical, folds, QUERY_CFG, stages=shared)
+        rows = spark.createDataFrame([(name, k, float(x)) for k, x in enumerate(scores)], "model string, fold int, f1_macro double")
+        path = f"{checkpoint_dir(spark).rstrip('/')}/tierscope_cv/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return spark.read.parquet(path)
+    return _once(spark, sf, f"cv {name}", make)
 
-@register("j11_linear_discriminant")
-def j11(spark, sf):
-    train, test, _, _ = _split_parts(spark, sf)
-    coefs = M.fit_lda(train, _LDA_COLUMNS)
-    return M.lda_predict(coefs, test.select("id", F.col("price_category").alias("label"), *_LDA_COLUMNS)
-                         .dropna(), _LDA_COLUMNS).select("id", "label", "prediction", "score_Budget",
-                                                          "score_Mid-Market", "score_Premium")
 
+def _cv_query(name: str):
+    return lambda spark, sf: _cv(spark, sf, name)
 
-_J15_CANDIDATES = ("baseline_majority", "logistic_regression", "naive_bayes")
+
+# The majority class of every fold's training rows, scored on the fold.
+_CV_MAJORITY = f"""WITH s AS ({_split_rows_sql(0.2, 42)}),
+k AS (SELECT * FROM range(5) r(fold)),
+n AS (SELECT k.fold, price_category, count(*) AS n FROM k JOIN s ON s.split = 'train' AND s.fold <> k.fold GROUP BY 1, 2),
+m AS (SELECT fold, price_category AS most FROM n QUALIFY row_number() OVER (PARTITION BY fold ORDER BY n DESC, price_category) = 1),
+v AS (SELECT s.fold, count(*) AS n, count(*) FILTER (WHERE price_category = most) AS tp
+      FROM s JOIN m ON m.fold = s.fold WHERE split = 'train' GROUP BY 1)
+SELECT 'baseline_majority' AS model, fold, (2 * tp / (tp + n)) / 3 AS f1_macro FROM v"""
+
+for _key, _name, _sql in [("j15_cv_majority", "baseline_majority", _prepared_cte(_CV_MAJORITY)),
+                          ("j15_cv_logistic", "logistic_regression", None),
+                          ("j15_cv_forest", "random_forest", None), ("j15_cv_boosting", "gradient_boosting", None)]:
+    register(_key, _sql)(_cv_query(_name))
+
+
+def _cv_scores(spark, sf) -> DataFrame:
+    parts = [_cv(spark, sf, name) for name in CONFIG.model.candidates]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("j24_cv_summary", _prepared_cte(f"""
+SELECT model, count(*) AS folds, avg(f1_macro) AS mean, stddev_pop(f1_macro) AS std FROM ({_CV_MAJORITY}) GROUP BY 1"""))
+def j24(spark, sf):
+    return ev.cv_summary(_cv(spark, sf, "baseline_majority"))
+
+
+def _tested(spark, sf, name: str) -> dict:
+    return _once(spark, sf, f"test {name}", lambda: M.evaluate(_fitted(spark, sf, name), _split_parts(spark, sf)[1]))
+
+
+def _selection(spark, sf) -> DataFrame:
+    """One row a candidate, the winners marked."""
+    tests = spark.createDataFrame(
+        [(name, float(t["accuracy"]), float(t["f1_macro"]), float(t["roc_auc_ovr_macro"]))
+         for name, t in ((n, _tested(spark, sf, n)) for n in CONFIG.model.candidates)],
+        "model string, accuracy double, f1_macro double, roc_auc_ovr_macro double")
+    rows = ev.cv_summary(_cv_scores(spark, sf)).join(tests, "model")
+    contender = F.when(~F.col("model").startswith("baseline_"), F.col("mean"))
+    best = rows.agg(F.max_by("model", contender).alias("cv"), F.max_by("model", "accuracy").alias("test")).select(F.struct("cv", "test")).scalar()
+    return rows.select("model", F.col("mean").alias("cv_mean"), F.col("std").alias("cv_std"), F.col("folds").cast("int").alias("cv_folds"),
+                       "accuracy", "f1_macro", "roc_auc_ovr_macro", (F.col("model") == best.getField("cv")).alias("selected"),
+                       (F.col("model") == best.getField("test")).alias("best_test_accuracy"))
 
 
 @register("j15_model_selection")
 def j15(spark, sf):
-    rows, _, _, _ = M.train_and_select(base.prepared(spark, sf), names=_J15_CANDIDATES)
-    return spark.createDataFrame(
-        [(r["model"], r["cv_mean"], r["cv_std"], r["cv_folds"], r["accuracy"], r["f1_macro"],
-          r["roc_auc_ovr_macro"], r["selected"], r["best_test_accuracy"]) for r in rows],
-        "model string, cv_mean double, cv_std double, cv_folds int, accuracy double, f1_macro double, "
-        "roc_auc_ovr_macro double, selected boolean, best_test_accuracy boolean")
+    return _selection(spark, sf)
 
 
 @register("j17_batch_scoring")
@@ -844,12 +883,175 @@ def j17(spark, sf):
     return M.score_batch(_fitted(spark, sf, "logistic_regression"), base.prepared(spark, sf))
 
 
+# What any fit must fulfil, whatever its numbers.
+@register("j17_scoring_invariants", _prepared_cte("""
+SELECT (SELECT count(*) FROM prepared) AS rows, (SELECT count(*) FROM prepared) AS sums_to_one,
+       (SELECT count(*) FROM prepared) AS confident_in_tier, (SELECT count(*) FROM prepared) AS has_band"""))
+def j17_invariants(spark, sf):
+    return j17(spark, sf).select(
+        F.aggregate(F.map_values("probabilities"), F.lit(0.0), lambda a, p: a + p).alias("total"),
+        (F.col("confidence") == F.element_at("probabilities", F.col("tier"))).alias("own"), "band").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.abs(F.col("total") - 1) < 1e-9).alias("sums_to_one"),
+        F.count_if("own").alias("confident_in_tier"), F.count("band").alias("has_band"))
+
+
+@register("j08_beats_majority", "SELECT true AS beats_majority")
+def j08_beats(spark, sf):
+    better = _tested(spark, sf, "logistic_regression")["f1_macro"] > _tested(spark, sf, "baseline_majority")["f1_macro"]
+    return spark.createDataFrame([(better,)], "beats_majority boolean")
+
+
 @register("j26_tree_importance")
 def j26(spark, sf):
     model = _fitted(spark, sf, "random_forest")
     return spark.createDataFrame(M.input_importances(model)[:15], "feature string, importance double")
 
 
+@register("j32_artifact_metadata", _prepared_cte(f"""WITH {_TRAIN_COUNTS}
+SELECT 'baseline_random' AS model, {CONFIG.model.random_state} AS seed, '{CONFIG.snapshot_date}' AS snapshot_date,
+  {", ".join(f"(SELECT n FROM n WHERE price_category = '{t}') / (SELECT sum(n) FROM n) AS " + chr(34) + f"share_{t}" + chr(34) for t in TIER_ORDER)}"""))
+def j32(spark, sf):
+    """A model saved, loaded and described: what it needs to score comes back."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tierscope_models/{uuid.uuid4().hex}"
+    M.save_model(spark, _fitted(spark, sf, "baseline_random"), path, QUERY_CFG)
+    back = M.load_model(spark, path)
+    meta = spark.read.json(f"{path}/metadata").select(F.get_json_object("metadata", "$.snapshot_date").alias("snapshot_date"))
+    return meta.select(F.lit(back.name).alias("model"), F.lit(back.seed).alias("seed"), "snapshot_date",
+                       *[F.lit(p).alias(f"share_{t}") for t, p in zip(TIER_ORDER, back.class_shares, strict=True)])
+
+
+# ----------------------------------------------------------------------------- fitted preprocessing
+from tierscope.config import CATEGORICAL_FEATURES, CONTINUOUS_FEATURES  # noqa: E402, F401
+from tierscope.operators.features import model_inputs  # noqa: E402
+
+_NUM, _CAT = model_inputs()
+_TRAIN_ROWS = f"s AS ({_split_rows_sql(0.2, 42)}),\ntr AS (SELECT p.* FROM prepared p JOIN s ON s.id = p.id WHERE s.split = 'train')"
+_STATS_SQL = " UNION ALL ".join(
+    f"""SELECT '{c}' AS feature, median(CAST({c} AS DOUBLE)) AS med,
+  avg(coalesce(CAST({c} AS DOUBLE), (SELECT median(CAST({c} AS DOUBLE)) FROM tr))) AS mean,
+  coalesce(nullif(stddev_pop(coalesce(CAST({c} AS DOUBLE), (SELECT median(CAST({c} AS DOUBLE)) FROM tr))), 0), 1) AS std
+FROM tr""" for c in _NUM if c != "instant_bookable")
+
+
+@register("f07_fitted_numeric_statistics", _prepared_cte(f"WITH {_TRAIN_ROWS}\n{_STATS_SQL}"))
+def f07(spark, sf):
+    """Median, mean and population deviation (1 for a constant) of every numeric input over the training rows."""
+    prep = _stages(spark, sf)[0]
+    train, _, numeric, _ = _split_parts(spark, sf)
+    med, mean, std = M.numeric_statistics(prep, numeric)
+    return spark.createDataFrame([(c, med[c], mean[c], std[c]) for c in numeric], "feature string, med double, mean double, std double")
+
+
+@register("f09_fitted_levels", _prepared_cte(f"WITH {_TRAIN_ROWS},\n" + """m AS (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, (SELECT {c} FROM tr WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS mode" for c in _CAT) + """),
+l AS (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, coalesce({c}, (SELECT mode FROM m WHERE feature = '{c}')) AS level, count(*) AS n FROM tr GROUP BY 2" for c in _CAT) + """)
+SELECT feature, level, CAST(row_number() OVER (PARTITION BY feature ORDER BY n DESC, level) - 1 AS INTEGER) AS position FROM l"""))
+def f09(spark, sf):
+    """levels of every categorical input, the mode standing in for nulls, in one-hot order."""
+    return spark.createDataFrame([(c, level, i) for c, levels in _level_order(spark, sf).items() for i, level in enumerate(levels)],
+                                 "feature string, level string, position int")
+
+
+def _level_order(spark, sf) -> dict[str, list[str]]:
+    return _once(spark, sf, "levels", lambda: M.category_labels(_fitted(spark, sf, "baseline_majority")))
+
+
+@register("f14_label_index", """SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS position
+FROM (VALUES ('Budget'), ('Mid-Market'), ('Premium')) t(label)""")
+def f14(spark, sf):
+    labels = _fitted(spark, sf, "baseline_majority").pipeline.stages[-1].labels
+    return spark.createDataFrame([(c, i) for i, c in enumerate(labels)], "label string, position int")
+
+
+# ----------------------------------------------------------------------------- research models
+_R_SPLIT = _split_rows_sql(RM.TEST_SIZE, RM.SEED, key="row_key")
+
+
+def _research_cte(body: str) -> str:
+    return with_research(body, {"prepared": f"SELECT *, concat_ws('|', id, CAST(price_numeric AS BIGINT)) AS row_key FROM research WHERE {' AND '.join(c + ' IS NOT NULL' for c in RM.INPUTS)}"})
+
+
+def _research(spark, sf):
+    return _once(spark, sf, "research split", lambda: M.written_split(RM.split(base.research_prepared(spark, sf))))
+
+
+@register("j02_stratified_split_70_30", _research_cte(_split_summary_sql(RM.TEST_SIZE)))
+def j02(spark, sf):
+    train, test = _research(spark, sf)
+    return sp.split_summary(train.unionByName(test))
+
+
+@register("j05_repeated_folds", _research_cte(" UNION ALL ".join(f"""
+SELECT CAST({rep} AS INTEGER) AS repeat, CAST((row_number() OVER (PARTITION BY price_category
+  ORDER BY {stable_hash_sql("row_key", seed)}, row_key) - 1) % {RM.FOLDS} AS INTEGER) AS fold, price_category, row_key
+FROM ({_R_SPLIT}) WHERE split = 'train'""" for rep, seed in enumerate(RM.REPEAT_SEEDS))))
+def j05(spark, sf):
+    """Repeated stratified k-fold (3 seeds x 5 folds) of the research training rows: every row's fold in each repeat."""
+    return RM.repeated_folds(_research(spark, sf)[0]).select("repeat", "fold", "price_category", "row_key")
+
+
+_R_COUNTS = f"""s AS ({_R_SPLIT}),
+n AS (SELECT price_category, count(*) AS n FROM s WHERE split = 'train' GROUP BY 1),
+h AS (SELECT (SELECT n FROM n WHERE price_category = 'Budget') / (SELECT sum(n) FROM n) AS p1,
+             (SELECT n FROM n WHERE price_category = 'MidMarket') / (SELECT sum(n) FROM n) AS p2,
+             (SELECT n FROM n WHERE price_category = 'Premium') / (SELECT sum(n) FROM n) AS p3)"""
+
+
+@register("j07_random_baseline", _research_cte(f"""WITH {_R_COUNTS}
+SELECT id, price_category AS label,
+  CASE WHEN u < p1 THEN 'Budget' WHEN u < p1 + p2 THEN 'MidMarket' ELSE 'Premium' END AS prediction,
+  p1 AS "score_Budget", p2 AS "score_MidMarket", p3 AS "score_Premium"
+FROM (SELECT *, CAST({stable_hash_sql("id", CONFIG.model.random_state)} AS DOUBLE) / {float(1 << HASH_BITS)!r} AS u FROM s WHERE split = 'test'), h"""))
+def j07(spark, sf):
+    return _research_fit(spark, sf, "baseline_random", RM.NUMERIC, [])
+
+
+def _research_fit(spark, sf, name, numeric, categorical) -> DataFrame:
+    train, test = _research(spark, sf)
+    fitted = _once(spark, sf, f"research {name}", lambda: M.fit_candidate(
+        M.candidates(QUERY_CFG)[name], train, numeric, categorical, QUERY_CFG, classes=RESEARCH_TIER_ORDER))
+    return _scores(M.scored_frame(fitted, test, RESEARCH_TIER_ORDER), RESEARCH_TIER_ORDER)
+
+
+@register("j12_naive_bayes")
+def j12(spark, sf):
+    return _research_fit(spark, sf, "naive_bayes", RM.NUMERIC, ["room_type"])
+
+
+@register("j14_linear_svm")
+def j14(spark, sf):
+    return _research_fit(spark, sf, "linear_svm", RM.NUMERIC, RM.CATEGORICAL)
+
+
+@register("j11_linear_discriminant")
+def j11(spark, sf):
+    train, test = _research(spark, sf)
+    coefs = M.fit_lda(train, RM.NUMERIC, classes=RESEARCH_TIER_ORDER)
+    rows = test.select("id", F.col("price_category").alias("label"), *RM.NUMERIC)
+    return _scores(M.lda_predict(coefs, rows, RM.NUMERIC, classes=RESEARCH_TIER_ORDER), RESEARCH_TIER_ORDER)
+
+
+_R_TRAIN = f"tr AS (SELECT p.* FROM prepared p JOIN ({_R_SPLIT}) s ON s.row_key = p.row_key WHERE s.split = 'train')"
+
+
+@register("j11_class_means", _research_cte(f"WITH {_R_TRAIN} " + " UNION ALL ".join(
+    f"SELECT price_category, '{c}' AS feature, count(*) AS n, avg(CAST({c} AS DOUBLE)) AS mean FROM tr GROUP BY 1" for c in RM.NUMERIC)))
+def j11_means(spark, sf):
+    means, _ = M.lda_statistics(_research(spark, sf)[0], RM.NUMERIC)
+    return means.unpivot(["price_category", "n"], RM.NUMERIC, "feature", "mean")
+
+
+@register("j11_pooled_covariance", _research_cte(f"""WITH {_R_TRAIN},
+c AS (SELECT price_category, {", ".join(f"CAST({c} AS DOUBLE) - avg(CAST({c} AS DOUBLE)) OVER (PARTITION BY price_category) AS {c}" for c in RM.NUMERIC)} FROM tr),
+d AS (SELECT count(*) - count(DISTINCT price_category) AS df FROM tr) """ + " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, (SELECT sum({a} * {b}) FROM c) / df AS value FROM d"
+    for i, a in enumerate(RM.NUMERIC) for b in RM.NUMERIC[i:])))
+def j11_covariance(spark, sf):
+    _, cov = M.lda_statistics(_research(spark, sf)[0], RM.NUMERIC)
+    return cov
+
+
 # ----------------------------------------------------------------------------- sources
 @register("a03_landed_raw_snapshot", with_base("SELECT * FROM listings_raw"))
 def a03(spark, sf):
@@ -859,9 +1061,10 @@ def a03(spark, sf):
 
 @register("j25_permutation_importance")
 def j25(spark, sf):
+    """Importance of the inputs of the selected model."""
     from tierscope.plans.importance import permutation_importance
-    _, test, _, _ = _split_parts(spark, sf)
-    return permutation_importance(_fitted(spark, sf, "logistic_regression"), test, repeats=5)
+    best = _selection(spark, sf).where("selected").first()["model"]
+    return permutation_importance(_fitted(spark, sf, best), _split_parts(spark, sf)[1], repeats=5)
 
 
 # ----------------------------------------------------------------------------- reports + vocabularies
@@ -908,8 +1111,6 @@ def d04(spark, sf):
                                      F.col("neighbourhood_cleansed").alias("level"))))
 
 
-from tierscope.operators.features import model_inputs  # noqa: E402
-
 _F13_COLS = [c for part in model_inputs() for c in part]
 
 
@@ -932,7 +1133,6 @@ SELECT tp_sum / n AS accuracy, precision_macro, recall_macro, f1_macro,
   CAST(n AS BIGINT) AS n FROM s"""))
 def a05(spark, sf):
     """A5 + A7: metrics written as a JSON report under the checkpoint folder and read back."""
-    from tierscope.session import checkpoint_dir
     from tierscope.sources.files import read_json_report, write_json_report
     path = f"{checkpoint_dir(spark).rstrip('/')}/tierscope_reports/metrics"
     write_json_report(ev.summary_metrics(_pred(spark, sf)), path)
