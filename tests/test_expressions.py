@@ -92,3 +92,11 @@ def test_buckets(spark):
     df = spark.createDataFrame([(x,) for x in [1.0, 2.0, 5.0, 6.0, None]], "v double")
     assert [r[0] for r in df.select(host_experience(F.col("v"))).collect()] == [
         "Single Property", "Small Portfolio", "Small Portfolio", "Large Portfolio", None]
+
+
+def test_malformed_amenities(spark):
+    """Lists that are not valid JSON are cut at commas, whatever a lenient parser would make of them."""
+    cases = {"['A, B', 'C']": ["'A", "B'", "'C'"], '["Wifi"] x': ['Wifi"] x'], '["a"], ["b"]': ["a\"]", '["b'], '1, 2': ["1", "2"],
+             '["a", "b"]': ["a", "b"], '{"a": 1}': [], '"text"': [], "7": []}
+    df = _col(spark, list(cases))
+    assert {r.v: r.items_ for r in df.select("v", parse_amenities(F.col("v")).alias("items_")).collect()} == cases

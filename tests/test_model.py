@@ -79,6 +79,34 @@ def test_request_scoring_with_missing_optional_inputs(spark, tmp_dir):
     assert {r.request_id for r in spark.read.parquet(sink).collect()} == {"r1", "r2"}
 
 
+def test_a_restarted_stream_loses_nothing(spark, tmp_dir):
+    """Two runs over one sink and checkpoint, one new file each."""
+    from tierscope.streaming.scoring import start_scoring
+    train, _, numeric, categorical = _train(spark)
+    model = M.fit_candidate(M.candidates()["baseline_majority"], train, numeric, categorical)
+    os.makedirs(tmp_dir + "/in")
+    for run in ("a", "b", "c"):
+        with open(f"{tmp_dir}/in/{run}.json", "w") as fh:
+            fh.write(json.dumps({"request_id": run, "latitude": -33.8, "longitude": 151.1, "neighbourhood_cleansed": "x"}) + "\n")
+        q = start_scoring(spark, model, tmp_dir + "/in", tmp_dir + "/out", tmp_dir + "/state", trigger_once=True)
+        q.awaitTermination(120)
+    assert sorted(r.request_id for r in spark.read.parquet(tmp_dir + "/out").collect()) == ["a", "b", "c"]
+
+
+def test_every_candidate_is_saved_and_loaded(spark, tmp_dir):
+    from dataclasses import replace
+
+    from tierscope.config import CONFIG, Config
+    cfg = Config(model=replace(CONFIG.model, forest_trees=3, forest_depth=4, boosting_rounds=2, boosting_depth=3))
+    train, test, numeric, categorical = _train(spark)
+    stages = M.feature_stages(train, numeric, categorical)
+    for name, cand in M.candidates(cfg).items():
+        model = M.fit_candidate(cand, train, numeric, categorical, cfg, stages)
+        M.save_model(spark, model, f"{tmp_dir}/{name}", cfg)
+        back = M.load_model(spark, f"{tmp_dir}/{name}")
+        assert {(r.id, r.tier) for r in M.score_batch(back, test).collect()} == {(r.id, r.tier) for r in M.score_batch(model, test).collect()}
+
+
 def test_location_required(spark):
     import pytest
     train, _, numeric, categorical = _train(spark)
@@ -94,6 +122,9 @@ def test_end_to_end_jobs(spark, tmp_dir):
     assert res["best_model"] == "logistic_regression"
     metrics = spark.read.json(out + "/reports/metrics")
     assert metrics.count() == 2 and metrics.where("selected").count() == 1
+    row = metrics.where("selected").first()
+    assert len(row.cv_scores) == 2 and len(row.per_class) == 3 and sum(c.n for c in row.confusion) == row.n
+    assert json.loads(row.metadata)["snapshot_date"]
     imp = spark.read.json(out + "/reports/feature_importance")
     assert imp.count() > 0 and "importance" in imp.columns
     feats = spark.read.parquet(out + "/listings_features").limit(5).drop("snapshot_date")

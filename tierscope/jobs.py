@@ -8,12 +8,15 @@ one wrote, so a failed job restarts from the last written table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierscope.config import CONFIG, Config
 from tierscope.plans import base
 from tierscope.plans import model as M
+from tierscope.plans.evaluation import model_report
 from tierscope.sources.files import read_snapshot, write_json_report, write_snapshot
 
 
@@ -32,12 +35,15 @@ def train_job(spark: SparkSession, features_path: str, out: str, cfg: Config = C
     feats = read_snapshot(spark, features_path, cfg.snapshot_date).drop("snapshot_date")
     rows, fitted, best, (train, test, _, _) = M.train_and_select(feats, cfg, names=names, folds=folds)
     M.save_model(spark, fitted[best], f"{out}/model", cfg, metrics=rows)
-    metrics = spark.createDataFrame(
-        [(r["model"], r["cv_mean"], r["cv_std"], r["accuracy"], r["f1_macro"], r["precision_macro"],
-          r["recall_macro"], r["kappa"], r["roc_auc_ovr_macro"], r["selected"]) for r in rows],
-        "model string, cv_mean double, cv_std double, accuracy double, f1_macro double, "
-        "precision_macro double, recall_macro double, kappa double, roc_auc_ovr_macro double, "
-        "selected boolean")
+    # One row a candidate: fold scores, test figures, per-class table, confusion matrix and where they come from.
+    stamp = M.artifact_metadata(spark, fitted[best], cfg).first()["metadata"]
+    parts = []
+    for r in rows:
+        cv = spark.createDataFrame([(r["model"], r["cv_mean"], r["cv_std"], r["cv_scores"], r["roc_auc_ovr_macro"], r["selected"], stamp)],
+                                   "model string, cv_mean double, cv_std double, cv_scores array<double>, roc_auc_ovr_macro double, "
+                                   "selected boolean, metadata string")
+        parts.append(cv.crossJoin(F.broadcast(model_report(M.scored_frame(fitted[r["model"]], test)))))   # one row each
+    metrics = reduce(DataFrame.unionByName, parts)
     write_json_report(metrics, f"{out}/reports/metrics")
     return {"best_model": best, "metrics": rows}
 

@@ -26,6 +26,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tierscope.session import checkpoint_dir
+
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
@@ -46,7 +48,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, fl
         return out.drop("_all")
     nb = 1 << bits
     v = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    vc = v.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    # Stats, buckets and candidates all read the collapsed table: it is made once.
+    checkpoint_dir(df.sparkSession)
+    vc = v.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")).checkpoint()
     stats = vc.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
                                   F.sum("_c").alias("_n"))
     vb = _null_safe_join(vc, stats, keys).withColumn(

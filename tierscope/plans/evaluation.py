@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tierscope.operators.prefix import sums_before
 from tierscope.config import TIER_ORDER
 
 
@@ -86,29 +87,9 @@ def _score_long(pred: DataFrame, classes) -> DataFrame:
         F.count_if(F.col("label") != F.col("class")).alias("neg"))
 
 
-def _cumulative(vc: DataFrame, bits: int = 16) -> DataFrame:
-    """Running sums of pos/neg over scores *below* each distinct score, per class.
-
-    Two levels (score buckets, then inside a bucket) so no single window
-    holds all distinct scores of a class.
-    """
-    lo_hi = vc.groupBy("class").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
-    nb = 1 << bits
-    v = vc.join(F.broadcast(lo_hi), "class").withColumn(
-        "_b", F.when(F.col("_hi") > F.col("_lo"),
-                     F.least(F.floor((F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * nb),
-                             F.lit(nb - 1))).otherwise(F.lit(0)).cast("long"))
-    per_b = v.groupBy("class", "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    wb = Window.partitionBy("class").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    off = per_b.select("class", "_b", F.coalesce(F.sum("_bp").over(wb), F.lit(0)).alias("_op"),
-                       F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_on"))
-    wi = Window.partitionBy("class", "_b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    inner = v.select("class", "_b", "score", "pos", "neg",
-                     F.coalesce(F.sum("pos").over(wi), F.lit(0)).alias("_ip"),
-                     F.coalesce(F.sum("neg").over(wi), F.lit(0)).alias("_in"))
-    return inner.join(off, ["class", "_b"]).select(
-        "class", "score", "pos", "neg",
-        (F.col("_op") + F.col("_ip")).alias("pos_below"), (F.col("_on") + F.col("_in")).alias("neg_below"))
+def _cumulative(vc: DataFrame) -> DataFrame:
+    """Running sums of pos/neg over scores *below* each distinct score, per class."""
+    return sums_before(vc, ["class"], "score", {"pos_below": "pos", "neg_below": "neg"})
 
 
 def auc_ovr(pred: DataFrame, classes=TIER_ORDER) -> DataFrame:
@@ -138,6 +119,16 @@ def roc_points(pred: DataFrame, classes=TIER_ORDER) -> DataFrame:
         ((F.col("_p") - F.col("pos_below")) / F.col("_p")).alias("tpr"))
 
 
+def model_report(pred: DataFrame, classes=TIER_ORDER) -> DataFrame:
+    """One row: the summary, the per-class table and the confusion matrix as nested columns."""
+    per = per_class_metrics(pred, classes)
+    cells = confusion_matrix(pred, classes)
+    return summary_metrics(pred, classes).select(
+        "*",
+        per.select(F.array_sort(F.collect_list(F.struct("class", "precision", "recall", "f1", "support")))).scalar().alias("per_class"),
+        cells.select(F.array_sort(F.collect_list(F.struct("label", "prediction", "n")))).scalar().alias("confusion"))
+
+
 def cv_summary(fold_metrics: DataFrame, metric: str = "f1_macro") -> DataFrame:
     """Per model: folds, mean and population std of a per-fold metric."""
     return fold_metrics.groupBy("model").agg(

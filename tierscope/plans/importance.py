@@ -51,8 +51,7 @@ def permutation_importance(model: FittedModel, test: DataFrame, repeats: int = 5
     rows = rows.withColumn("_feature", F.explode(F.array(*[F.lit(c) for c in inputs])))
     permuted = rows.select(key, "price_category", "_repeat", "_feature", *[
         F.when(F.col("_feature") == c, F.col(f"_donor.{c}")).otherwise(F.col(c)).alias(c) for c in inputs])
-    scored = predict(model, permuted).withColumnRenamed("price_category", "price_category")
-    per = _macro_f1_by(scored, ["_repeat", "_feature"])
+    per = _macro_f1_by(predict(model, permuted), ["_repeat", "_feature"])
     reference = _macro_f1_by(predict(model, base).withColumn("_k", one), ["_k"]).select(
         F.col("f1_macro").alias("_ref"))
     ref = reference.select(F.first("_ref")).scalar()

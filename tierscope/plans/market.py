@@ -18,6 +18,7 @@ from tierscope.functions.amenities import flag_column
 from tierscope.functions.buckets import right_closed_bins
 from tierscope.functions.hashing import stable_hash
 from tierscope.functions.stats import median, quantile, share
+from tierscope.operators.prefix import sums_before
 from tierscope.operators.quantiles import _null_safe_join, exact_quantiles
 
 
@@ -260,35 +261,19 @@ def comps_standing(df: DataFrame) -> DataFrame:
               .select("id", (F.col("below") / F.col("n")).alias("share_below")))
 
 
-def farther_from_cbd_share(df: DataFrame, bits: int = 20) -> DataFrame:
+def farther_from_cbd_share(df: DataFrame) -> DataFrame:
     """E17 for every listing: share of all listings strictly farther from the CBD.
 
     A listing without a distance is farther than none, and none is farther
-    than it.  Exact and distributed: distances are collapsed to distinct values,
-    placed in at most 2^bits linear buckets between the min and max
-    distance, counted per bucket (a table of bounded size whose running sum
-    gives the rows in lower buckets), and ranked inside each bucket only.
+    than it.  Distances are collapsed to distinct values with counts, whose
+    running sums say how many listings are at most as far.
     """
     d = "distance_from_cbd_km"
-    nb = 1 << bits
-    rng = df.select(F.struct(F.min(d).alias("lo"), F.max(d).alias("hi"))).scalar()
-    lo, hi = rng.getField("lo"), rng.getField("hi")
-    vc = df.groupBy(d).agg(F.count(F.lit(1)).alias("cnt")).where(F.col(d).isNotNull()).withColumn(
-        "bucket", F.when(hi > lo, F.least(F.floor((F.col(d) - lo) / (hi - lo) * nb), F.lit(nb - 1)))
-                   .otherwise(F.lit(0)).cast("long"))
-    per_bucket = vc.groupBy("bucket").agg(F.sum("cnt").alias("bucket_cnt"))
-    # At most 2^bits rows: the only unpartitioned window, bounded by construction.
-    before = per_bucket.select(
-        "bucket",
-        F.coalesce(F.sum("bucket_cnt").over(
-            Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        .alias("before"))
-    within = vc.withColumn("upto", F.sum("cnt").over(
-        Window.partitionBy("bucket").orderBy(d).rowsBetween(Window.unboundedPreceding, 0)))
+    counts = _value_counts(df.where(F.col(d).isNotNull()), [], d)
+    le = sums_before(counts, [], d, {"nearer": "cnt"}).select(d, (F.col("nearer") + F.col("cnt")).alias("le"))
     n = df.select(F.struct(F.count(F.lit(1)).alias("all"), F.count(d).alias("placed"))).scalar()
-    le = within.join(before, "bucket").select(d, (F.col("before") + F.col("upto")).alias("le"))
-    share_farther = (n.getField("placed") - F.col("le")) / n.getField("all")
-    return df.select("id", d).join(le, d, "left").select("id", F.coalesce(share_farther, F.lit(0.0)).alias("farther_share"))
+    farther = (n.getField("placed") - F.col("le")) / n.getField("all")
+    return df.select("id", d).join(le, d, "left").select("id", F.coalesce(farther, F.lit(0.0)).alias("farther_share"))
 
 
 def superhost_gap(df: DataFrame) -> DataFrame:

@@ -137,11 +137,12 @@ def box_stats(df: DataFrame, features: list[str] = BOX_FEATURES) -> DataFrame:
          .withColumn("_hi", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     v = F.col("value")
     inside = (v >= F.col("_lo")) & (v <= F.col("_hi"))
-    stats = _null_safe_join(long, q, keys).groupBy(*keys, "q1", "median", "q3").agg(
+    # Fences are one row a tier and feature; values meet them once each, with their counts.
+    counts = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_n"))
+    return _null_safe_join(counts, F.broadcast(q), keys).groupBy(*keys, "q1", "median", "q3").agg(
         F.min(F.when(inside, v)).alias("whisker_low"),
         F.max(F.when(inside, v)).alias("whisker_high"),
-        F.count_if(~inside).alias("n_outliers"))
-    return stats
+        F.coalesce(F.sum(F.when(~inside, F.col("_n"))), F.lit(0)).alias("n_outliers"))
 
 
 def price_correlations(df: DataFrame, features: list[str] = CORRELATION_FEATURES) -> DataFrame:
@@ -154,14 +155,10 @@ def price_correlations(df: DataFrame, features: list[str] = CORRELATION_FEATURES
 
 
 def correlation_matrix(df: DataFrame, features: list[str] = CORRELATION_FEATURES) -> DataFrame:
-    """Full Pearson matrix (complete cases) via MLlib, as (row, column, value)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
+    """Full Pearson matrix (complete cases) as (row, col, value): all pairs in one aggregate."""
     cc = df.select(*[F.col(c).cast("double").alias(c) for c in features]).dropna()
-    vec = VectorAssembler(inputCols=features, outputCol="_v").transform(cc).select("_v")
-    m = Correlation.corr(vec, "_v").first()[0].toArray()
-    rows = [(a, b, float(m[i][j])) for i, a in enumerate(features) for j, b in enumerate(features)]
-    return df.sparkSession.createDataFrame(rows, "row string, col string, value double")
+    cells = F.array(*[F.struct(F.lit(a).alias("row"), F.lit(b).alias("col"), F.corr(a, b).alias("value")) for a in features for b in features])
+    return cc.agg(cells.alias("cells")).select(F.explode("cells").alias("c")).select("c.*")
 
 
 def top_neighbourhoods(df: DataFrame, k: int = 15) -> DataFrame:
@@ -181,8 +178,8 @@ def top_neighbourhood_prices(df: DataFrame, k: int = 15) -> DataFrame:
               .orderBy(F.desc("median_price"), "neighbourhood_cleansed"))
 
 
-def feature_type_summary(df: DataFrame) -> list[tuple[str, int]]:
-    """Numeric vs categorical column counts, from the schema (no job)."""
+def feature_type_summary(df: DataFrame) -> DataFrame:
+    """Numeric and categorical column counts, from the schema alone."""
     from pyspark.sql import types as T
     numeric = sum(isinstance(f.dataType, T.NumericType) for f in df.schema.fields)
-    return [("numeric", numeric), ("categorical", len(df.schema.fields) - numeric)]
+    return df.sparkSession.createDataFrame([("numeric", numeric), ("categorical", len(df.schema.fields) - numeric)], "kind string, columns int")

@@ -1059,6 +1059,86 @@ def a03(spark, sf):
     return base.landed_raw(spark, sf)
 
 
+@register("a05_report_confusion", _eval_sql("WITH " + _CM + " SELECT * FROM cm"))
+def a05_confusion(spark, sf):
+    """The nested metrics report written, read back and opened."""
+    return _report(spark, sf).select(F.explode("confusion").alias("c")).select("c.label", "c.prediction", "c.n")
+
+
+@register("a05_report_per_class", _eval_sql("WITH " + _PC + " SELECT class, precision, recall, f1, support FROM pc"))
+def a05_per_class(spark, sf):
+    return _report(spark, sf).select(F.explode("per_class").alias("c")).select("c.class", "c.precision", "c.recall", "c.f1", "c.support")
+
+
+def _report(spark, sf) -> DataFrame:
+    from tierscope.sources.files import read_json_report, write_json_report
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tierscope_reports/{uuid.uuid4().hex}"
+    report = ev.model_report(_pred(spark, sf))
+    write_json_report(report, path)
+    return read_json_report(spark, path, report.schema)
+
+
+@register("a01_csv_round_trip", with_base("SELECT * FROM cleaned"))
+def a01(spark, sf):
+    """The raw listings exported as CSV in landing order, read back by name, checked and cleaned."""
+    from tierscope.operators.clean import clean_listings
+    from tierscope.sources.files import read_listings_csv, require_columns, write_csv
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tierscope_csv/{uuid.uuid4().hex}"
+    write_csv(base.landed_raw(spark, sf).orderBy("ingest_seq", "id").drop("ingest_seq"), path)
+    back = read_listings_csv(spark, path)
+    require_columns(back)
+    return clean_listings(back)
+
+
+@register("a12_scoring_requests", with_base("""
+SELECT CAST(id AS VARCHAR) AS request_id, property_type, room_type, neighbourhood_cleansed, CAST(accommodates AS DOUBLE) AS accommodates,
+  latitude, longitude, host_is_superhost, review_scores_rating FROM features"""))
+def a12(spark, sf):
+    """Requests written as JSON lines and read with their fixed schema."""
+    from tierscope.sources.files import read_scoring_requests
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tierscope_requests/{uuid.uuid4().hex}"
+    base.prepared(spark, sf).withColumn("request_id", F.col("id").cast("string")).write.json(path)
+    return read_scoring_requests(spark, path).select(
+        "request_id", "property_type", "room_type", "neighbourhood_cleansed", "accommodates", "latitude", "longitude",
+        "host_is_superhost", "review_scores_rating")
+
+
+_SLICE = "neighbourhood_cleansed = 'NATION_3' AND room_type = 'Private room'"
+
+
+@register("b08_equality_slice", with_base(f"SELECT id, price_numeric FROM market WHERE {_SLICE}"))
+def b08(spark, sf):
+    return mk.slice_equal(base.market(spark, sf), neighbourhood_cleansed="NATION_3", room_type="Private room").select("id", "price_numeric")
+
+
+@register("b13_empty_views", with_base(f"""
+SELECT 'slice' AS view, EXISTS (SELECT 1 FROM market WHERE {_SLICE}) AS has_rows
+UNION ALL SELECT 'nowhere', EXISTS (SELECT 1 FROM market WHERE neighbourhood_cleansed = 'nowhere')"""))
+def b13(spark, sf):
+    view = base.market(spark, sf)
+    slices = {"slice": mk.slice_equal(view, neighbourhood_cleansed="NATION_3", room_type="Private room"),
+              "nowhere": mk.slice_equal(view, neighbourhood_cleansed="nowhere")}
+    return spark.createDataFrame([(k, mk.has_rows(v)) for k, v in slices.items()], "view string, has_rows boolean")
+
+
+@register("e31_correlation_matrix", with_research(f"""
+WITH cc AS (SELECT {_CORR_COLS} FROM research WHERE {" AND ".join(c + " IS NOT NULL" for c in pf.CORRELATION_FEATURES)})
+""" + " UNION ALL ".join(f"SELECT '{a}' AS row, '{b}' AS col, corr({a}, {b}) AS value FROM cc"
+                         for a in pf.CORRELATION_FEATURES for b in pf.CORRELATION_FEATURES)))
+def e31_matrix(spark, sf):
+    return pf.correlation_matrix(base.research_prepared(spark, sf))
+
+
+_R_TYPES = "(SELECT [" + ", ".join(f"typeof({c})" for c in [*RM.NUMERIC, *RM.CATEGORICAL, "price_category"]) + "] AS t FROM research LIMIT 1)"
+
+
+@register("e39_feature_types", with_research(f"""
+SELECT 'numeric' AS kind, CAST(len(list_filter(t, lambda x: x NOT IN ('VARCHAR', 'BOOLEAN'))) AS INTEGER) AS columns FROM {_R_TYPES}
+UNION ALL SELECT 'categorical', CAST(len(list_filter(t, lambda x: x IN ('VARCHAR', 'BOOLEAN'))) AS INTEGER) FROM {_R_TYPES}"""))
+def e39(spark, sf):
+    return pf.feature_type_summary(base.research_prepared(spark, sf).select(*RM.INPUTS))
+
+
 @register("j25_permutation_importance")
 def j25(spark, sf):
     """Importance of the inputs of the selected model."""

@@ -89,7 +89,7 @@ def read_json_report(spark: SparkSession, path: str, schema: T.StructType | str
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def tf_columns(df: DataFrame) -> list[str]:
