@@ -9,6 +9,7 @@ from tierscope.config import CATEGORICAL_FEATURES, CONFIG, NUMERIC_FEATURES, Con
 from tierscope.functions.amenities import amenity_flags, flag_column, parse_amenities
 from tierscope.functions.buckets import host_experience, property_size
 from tierscope.functions.geo import haversine_km, nearest_point_km
+from tierscope.operators.skew import join_on_hot_keys
 
 
 def top_levels(df: DataFrame, column: str, n: int) -> DataFrame:
@@ -39,16 +40,15 @@ def frequent_levels(df: DataFrame, column: str, min_count: int) -> DataFrame:
 def collapse_rare(df: DataFrame, column: str, min_count: int, other: str = "Other") -> DataFrame:
     """Research rule: levels seen fewer than ``min_count`` times -> 'Other'; nulls stay.
 
-    A level is frequent or not by one count a level; the planner chooses the
-    join by the size of that table.
+    Levels come back to the rows by a join that broadcasts those holding many
+    rows, so a frequent level is not one task; null levels are not joined.
     """
-    levels = frequent_levels(df, column, min_count).withColumn("_keep", F.lit(True))
-    joined = df.join(levels, on=column, how="left")
-    return joined.select(*[
-        (F.when(F.col(column).isNull() | F.col("_keep"), F.col(column)).otherwise(F.lit(other))
-         .alias(column)) if c == column else F.col(c)
-        for c in df.columns
-    ])
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    levels = counts.select(column, "_n", (F.col("_n") >= min_count).alias("_keep"))
+    known = join_on_hot_keys(df.where(F.col(column).isNotNull()), levels, column, "_n")
+    kept = known.select(*[F.when(F.col("_keep"), F.col(column)).otherwise(F.lit(other)).alias(column) if c == column else F.col(c)
+                          for c in df.columns])
+    return kept.unionByName(df.where(F.col(column).isNull()))
 
 
 def location_columns(cfg: Config = CONFIG) -> list[Column]:

@@ -27,9 +27,11 @@ def pct_round2(count: Column, total: Column) -> Column:
 def price_summary(df: DataFrame) -> DataFrame:
     """Min, q1, median, mean, q3, max of price (missing skipped) + missing count."""
     p = F.col("price_numeric")
-    return df.agg(F.min(p).alias("min"), quantile(p, 0.25).alias("q1"), median(p).alias("median"),
-                  F.avg(p).alias("mean"), quantile(p, 0.75).alias("q3"), F.max(p).alias("max"),
-                  F.count_if(p.isNull()).alias("n_missing"))
+    # Raw prices are unbounded: their quantiles come from the collapsed table, not from one map.
+    q = exact_quantiles(df, [], "price_numeric", {"q1": 0.25, "median": 0.5, "q3": 0.75}).select(F.struct("q1", "median", "q3")).scalar()
+    return df.agg(F.min(p).alias("min"), F.avg(p).alias("mean"), F.max(p).alias("max"),
+                  F.count_if(p.isNull()).alias("n_missing")).select(
+        "min", q.getField("q1").alias("q1"), q.getField("median").alias("median"), "mean", q.getField("q3").alias("q3"), "max", "n_missing")
 
 
 def missing_profile(df: DataFrame) -> DataFrame:
@@ -59,8 +61,8 @@ def completeness(df: DataFrame) -> DataFrame:
 def outlier_count(df: DataFrame, lo_q: float = 0.01, hi_q: float = 0.99) -> DataFrame:
     """Rows with price outside [p1, p99] (exact quantiles as one scalar subquery)."""
     p = F.col("price_numeric")
-    qs = df.select(F.percentile(p, F.array(F.lit(lo_q), F.lit(hi_q)))).scalar()
-    return df.agg(F.count_if((p > qs[1]) | (p < qs[0])).alias("price_outliers"))
+    qs = exact_quantiles(df, [], "price_numeric", {"lo": lo_q, "hi": hi_q}).select(F.struct("lo", "hi")).scalar()
+    return df.agg(F.count_if((p > qs.getField("hi")) | (p < qs.getField("lo"))).alias("price_outliers"))
 
 
 def cardinality(df: DataFrame) -> DataFrame:
