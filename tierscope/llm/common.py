@@ -32,8 +32,12 @@ def map_rows(df: DataFrame, schema: str, rows: Callable[[dict[str, list]], dict[
     return df.mapInArrow(run, schema)
 
 
-def append_columns(df: DataFrame, schema: str, inputs: list[str], rows: Callable[..., dict[str, list]]) -> DataFrame:
-    """``df`` with further columns that ``rows`` computes, per Arrow batch, from the input columns' lists."""
+def append_columns(df: DataFrame, schema: str, inputs: list[str], task: Callable[[], Callable[..., dict[str, list]]]) -> DataFrame:
+    """``df`` with further columns, per Arrow batch.
+
+    ``task`` is called once in each task and gives the function that computes
+    the columns from the lists of the input columns.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -41,6 +45,7 @@ def append_columns(df: DataFrame, schema: str, inputs: list[str], rows: Callable
     whole = StructType(df.schema.fields + _parse_datatype_string(schema).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = task()
         for batch in batches:
             out = rows(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in inputs])
             arrays = [pa.array(out[f.name], f.type) for f in more]

@@ -205,7 +205,7 @@ def train(docs: DataFrame) -> Broadcast:
         out = [_logits(t, shared_raw.value) for t in texts]
         return {"logits": [None if x is None else x.tolist() for x in out]}
 
-    calibration = [r for r in append_columns(held.select("text", "lang"), "logits array<double>", ["text"], rows)
+    calibration = [r for r in append_columns(held.select("text", "lang"), "logits array<double>", ["text"], lambda: rows)
                    .drop("text").collect() if r["logits"] is not None]
     if calibration:
         raw = raw._replace(temperature=_temperature(np.array([r["logits"] for r in calibration]),
@@ -228,7 +228,7 @@ def predict(docs: DataFrame, model: Broadcast) -> DataFrame:
             scores.append(float(p.max() / p.sum()))
         return {"lang_pred": langs, "score": scores}
 
-    return append_columns(docs, "lang_pred string, score double", ["text"], rows)
+    return append_columns(docs, "lang_pred string, score double", ["text"], lambda: rows)
 
 
 def identify(docs: DataFrame) -> DataFrame:

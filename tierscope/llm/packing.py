@@ -38,7 +38,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE) ->
 
     def rows(batch):
         out = defaultdict(list)
-        texts = [t or "" for t in batch["text"]]
+        texts = (t or "" for t in batch["text"])
         for doc_id, ids in zip(batch["doc_id"], encoder(byte_level, content.value).encode(texts), strict=True):
             ids = np.append(ids, end)
             n = len(ids)

@@ -296,6 +296,6 @@ def redact(docs: DataFrame) -> DataFrame:
         new = [t if t is None else redacted(t, spans(t, accepted.value)) for t in texts]
         return {"_text": new, "_n": [None if t is None else len(t) for t in new]}
 
-    out = append_columns(docs, "_text string, _n long", ["text"], rows)
+    out = append_columns(docs, "_text string, _n long", ["text"], lambda: rows)
     n = F.when(F.col("text") == F.col("_text"), F.col("n_chars")).otherwise(F.col("_n"))
     return out.withColumn("n_chars", n).withColumn("text", F.col("_text")).select(*docs.columns)

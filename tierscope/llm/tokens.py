@@ -18,8 +18,9 @@ import json
 import re
 import struct
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -48,7 +49,7 @@ class WordEncoder:
     has: many new words are encoded as one text, and cut at that id.
     """
 
-    WORDS, IDS = 1_000_000, 20_000_000   # remembered; beyond them memory starts anew
+    WORDS, IDS = 400_000, 10_000_000     # remembered; beyond them memory starts anew
     GROUP = 1_000_000                    # characters encoded at a time
 
     def __init__(self, tokenizer, words: Callable, plain: Callable, separator: str, separator_id: int):
@@ -59,61 +60,60 @@ class WordEncoder:
     def _forget(self) -> None:
         self.number, self.used = _Numbered(), 0
         self.ids = np.empty(1 << 16, "<u4")
-        self.starts, self.lengths = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.starts, self.lengths = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            yield np.array(e.ids, "<u4")
+
+    def _keep(self, ids: np.ndarray) -> int:
+        """Appends to the remembered ids; where they start."""
+        while len(self.ids) < self.used + len(ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.used += len(ids)
+        return self.used - len(ids)
 
     def _learn(self) -> None:
         """Encodes the words that were numbered since the last call."""
         new, self.number.new = self.number.new, []
-        if not new:
-            return
+        known = len(self.number) - len(new)
+        while len(self.starts) < len(self.number):
+            self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
+            self.lengths = np.concatenate([self.lengths, np.empty_like(self.lengths)])
         joined = [i for i, w in enumerate(new) if self.plain(w)]
-        alone = [i for i, w in enumerate(new) if not self.plain(w)]
-        lists: list = [None] * len(new)
         chunks = [joined[i:i + 2000] for i in range(0, len(joined), 2000)]
         for chunk, ids in zip(chunks, self._encode([self.separator.join([new[i] for i in c]) for c in chunks]), strict=True):
-            at = np.flatnonzero(ids == self.separator_id)
-            for i, a, b in zip(chunk, [0, *(at + 1)], [*at, len(ids)], strict=True):
-                lists[i] = ids[a:b]
+            cuts = np.flatnonzero(ids == self.separator_id)
+            starts, row = np.concatenate([[0], cuts + 1]), np.array(chunk) + known
+            self.lengths[row] = np.append(cuts, len(ids)) - starts
+            self.starts[row] = starts + self._keep(ids)
+        alone = [i for i, w in enumerate(new) if not self.plain(w)]
         for i, ids in zip(alone, self._encode([new[i] for i in alone]), strict=True):
-            lists[i] = ids
-        known, more = len(self.number) - len(new), np.concatenate(lists)
-        while len(self.ids) < self.used + len(more):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while len(self.starts) < len(self.number):
-            self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
-            self.lengths = np.concatenate([self.lengths, np.empty_like(self.lengths)])
-        n = np.array([len(x) for x in lists])
-        self.ids[self.used:self.used + len(more)] = more
-        self.lengths[known:known + len(new)] = n
-        self.starts[known:known + len(new)] = self.used + np.cumsum(n) - n
-        self.used += len(more)
+            self.lengths[known + i], self.starts[known + i] = len(ids), self._keep(ids)
 
-    def _group(self, texts: list[str]) -> list[np.ndarray]:
+    def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
         if len(self.number) > self.WORDS or self.used > self.IDS:
             self._forget()
         find, number = self.words, self.number.__getitem__
-        rows = [np.array([*map(number, find(t))], np.int64) for t in texts]
+        rows = [np.array([*map(number, find(t))], np.int32) for t in texts]
         self._learn()
-        out = []
         for r in rows:
-            n = self.lengths[r]
+            n = self.lengths[r].astype(np.int64)
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(r) else 0
-            out.append(self.ids[np.repeat(self.starts[r] - ends + n, n) + np.arange(total)])
-        return out
+            yield self.ids[np.repeat(self.starts[r] - ends + n, n) + np.arange(total)]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out, group, chars = [], [], 0
+    def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order; a group of texts is encoded at a time."""
+        group, chars = [], 0
         for t in texts:
             group.append(t)
             chars += len(t)
             if chars > self.GROUP:
-                out += self._group(group)
+                yield from self._group(group)
                 group, chars = [], 0
-        return out + self._group(group)
+        yield from self._group(group)
 
 
 _WORKER: dict[tuple, WordEncoder] = {}
@@ -292,7 +292,7 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
 
     def rows(batch):
         words = encoder(metaspace, content.value)
-        ids = words.encode([t or "" for t in batch["text"]])
+        ids = [*words.encode([t or "" for t in batch["text"]])]
         decoded = [x for i in range(0, len(ids), 100)
                    for x in words.tokenizer.decode_batch([x.tolist() for x in ids[i:i + 100]], skip_special_tokens=False)]
         return {"doc_id": batch["doc_id"], "ids": ids, "decoded": decoded}
@@ -306,15 +306,17 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
 
     def rows(batch):
         words = encoder(metaspace, content.value)
+        out = {"doc_id": batch["doc_id"], "n_tokens": [], "ids_crc32": [], "decoded_crc32": [], "round_trip": []}
         texts = [t or "" for t in batch["text"]]
-        ids = words.encode(texts)
-        same, sums = [], []
-        for i in range(0, len(ids), 100):
-            part = words.tokenizer.decode_batch([x.tolist() for x in ids[i:i + 100]], skip_special_tokens=False)
-            same += [a == b.replace(MARK, " ") for a, b in zip(part, texts[i:i + 100], strict=True)]
-            sums += [zlib.crc32(x.encode()) for x in part]
-        return {"doc_id": batch["doc_id"], "n_tokens": [len(x) for x in ids], "ids_crc32": [zlib.crc32(x) for x in ids],
-                "decoded_crc32": sums, "round_trip": same}
+        coded = words.encode(texts)
+        for i in range(0, len(texts), 100):
+            ids = [*islice(coded, 100)]
+            back = words.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+            out["n_tokens"] += [len(x) for x in ids]
+            out["ids_crc32"] += [zlib.crc32(x) for x in ids]
+            out["decoded_crc32"] += [zlib.crc32(x.encode()) for x in back]
+            out["round_trip"] += [a == b.replace(MARK, " ") for a, b in zip(back, texts[i:i + 100], strict=True)]
+        return out
 
     return map_rows(docs.select("doc_id", "text"),
                     "doc_id long, n_tokens long, ids_crc32 long, decoded_crc32 long, round_trip boolean", rows)
