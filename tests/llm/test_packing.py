@@ -25,7 +25,19 @@ def test_encoder_parity():
         e = tokens.byte_level(f.read())
     rng = random.Random(3)
     texts = TEXTS + ["".join(rng.choice("ab,. \n\t'1é\xa0") for _ in range(rng.randint(1, 60))) for _ in range(3000)]
-    e.GROUP, e.WORDS = 500, 300   # many groups, memory started anew
+    e.GROUP, e.WORDS = 500, 300   # many groups, memory trimmed
+    assert [x.tolist() for x in e.encode(texts)] == reference(texts)
+
+
+def test_encoder_keeps_frequent_words():
+    with open(PATH) as f:
+        e = tokens.byte_level(f.read())
+    e.GROUP, e.WORDS = 200, 50
+    rng = random.Random(6)
+    texts = [" ".join(f"w{int(rng.expovariate(0.05))}" for _ in range(30)) for _ in range(300)]
+    assert [x.tolist() for x in e.encode(texts)] == reference(texts)
+    assert " w0" in e.number and len(e.number) < 120
+    e.IDS = 10
     assert [x.tolist() for x in e.encode(texts)] == reference(texts)
 
 

@@ -24,7 +24,6 @@ from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tierscope.llm.common import map_rows
 
@@ -49,7 +48,7 @@ class WordEncoder:
     has: many new words are encoded as one text, and cut at that id.
     """
 
-    WORDS, IDS = 400_000, 10_000_000     # remembered; beyond them memory starts anew
+    WORDS, IDS = 1_000_000, 20_000_000   # remembered; beyond them the rarest words go
     GROUP = 1_000_000                    # characters encoded at a time
 
     def __init__(self, tokenizer, words: Callable, plain: Callable, separator: str, separator_id: int):
@@ -61,6 +60,33 @@ class WordEncoder:
         self.number, self.used = _Numbered(), 0
         self.ids = np.empty(1 << 16, "<u4")
         self.starts, self.lengths = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
+        self.seen = np.zeros(1 << 14, np.int32)
+
+    def _gather(self, row: np.ndarray) -> np.ndarray:
+        """The ids of the words of these numbers, joined."""
+        n = self.lengths[row].astype(np.int64)
+        ends = np.cumsum(n)
+        return self.ids[np.repeat(self.starts[row] - ends + n, n) + np.arange(int(ends[-1]) if len(row) else 0)]
+
+    def _trim(self) -> None:
+        """Keeps the words seen most often, half of the limits at most."""
+        words, often = list(self.number), 2
+        seen = self.seen[:len(words)]
+        while (kept := np.flatnonzero(seen >= often)).size > self.WORDS // 2 or self.lengths[kept].sum() > self.IDS // 2:
+            often *= 2
+        ids, n = self._gather(kept), self.lengths[kept]
+        self._forget()
+        self.number.update((words[i], k) for k, i in enumerate(kept.tolist()))
+        self._room()
+        self.lengths[:len(n)], self.starts[:len(n)] = n, np.cumsum(n) - n
+        self._keep(ids)
+
+    def _room(self) -> None:
+        """Places for every numbered word."""
+        while len(self.starts) < len(self.number):
+            self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
+            self.lengths = np.concatenate([self.lengths, np.empty_like(self.lengths)])
+            self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
 
     def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
@@ -78,9 +104,7 @@ class WordEncoder:
         """Encodes the words that were numbered since the last call."""
         new, self.number.new = self.number.new, []
         known = len(self.number) - len(new)
-        while len(self.starts) < len(self.number):
-            self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
-            self.lengths = np.concatenate([self.lengths, np.empty_like(self.lengths)])
+        self._room()
         joined = [i for i, w in enumerate(new) if self.plain(w)]
         chunks = [joined[i:i + 2000] for i in range(0, len(joined), 2000)]
         for chunk, ids in zip(chunks, self._encode([self.separator.join([new[i] for i in c]) for c in chunks]), strict=True):
@@ -94,15 +118,14 @@ class WordEncoder:
 
     def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
         if len(self.number) > self.WORDS or self.used > self.IDS:
-            self._forget()
+            self._trim()
         find, number = self.words, self.number.__getitem__
-        rows = [np.array([*map(number, find(t))], np.int32) for t in texts]
+        rows = [np.fromiter(map(number, find(t)), np.int32) for t in texts]
         self._learn()
+        if rows:
+            self.seen[:len(self.number)] += np.bincount(np.concatenate(rows), minlength=len(self.number)).astype(np.int32)
         for r in rows:
-            n = self.lengths[r].astype(np.int64)
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(r) else 0
-            yield self.ids[np.repeat(self.starts[r] - ends + n, n) + np.arange(total)]
+            yield self._gather(r)
 
     def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in order; a group of texts is encoded at a time."""
@@ -142,7 +165,11 @@ def byte_level(tokenizer_json: str) -> WordEncoder:
     t = Tokenizer.from_str(tokenizer_json)
     t.encode_special_tokens = True
     (line_feed,) = t.encode("\n", add_special_tokens=False).ids
-    return WordEncoder(t, re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+").findall, re.compile(f" ?[^{_WS}]").match, "\n", line_feed)
+
+    def plain(word: str) -> bool:   # Python's white space includes all of the tokeniser's
+        return not word[:2].isspace() and (word[0] == " " or not word[0].isspace())
+
+    return WordEncoder(t, re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+").findall, plain, "\n", line_feed)
 
 
 def metaspace(tokenizer_json: str) -> WordEncoder:
