@@ -5,7 +5,8 @@ import pytest
 import xxhash
 
 from tierscope.llm import simhash
-from tierscope.llm.common import connected_components, join_on_hot_keys
+from tierscope.llm.common import connected_components
+from tierscope.operators.skew import join_on_hot_keys
 
 
 def brute_fingerprint(text):

@@ -54,20 +54,6 @@ def append_columns(df: DataFrame, schema: str, inputs: list[str], task: Callable
     return df.mapInArrow(run, whole)
 
 
-def join_on_hot_keys(rows: DataFrame, table: DataFrame, key: str, n: str, share: int = 1000) -> DataFrame:
-    """Inner join of ``rows`` with ``table`` (one row a key; ``n``: the key's rows) that no hot key slows.
-
-    Keys that hold a ``share``-th of all rows or more are at most ``share``,
-    so they are broadcast; every other key is too small to skew the shuffle.
-    """
-    total = table.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
-    hot = checkpoint(table.filter(F.col(n) * share >= total))
-    heavy = rows.join(F.broadcast(hot.drop(n)), key)
-    light = (rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-             .join(table.filter(F.col(n) * share < total).drop(n), key))
-    return heavy.unionByName(light)
-
-
 SALTS = 8
 
 

@@ -29,7 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierscope.llm.common import checkpoint, connected_components, join_on_hot_keys
+from tierscope.llm.common import checkpoint, connected_components
+from tierscope.operators.skew import join_on_hot_keys
 
 COSINE = 0.98
 CELL = 4096          # classes a cell should hold

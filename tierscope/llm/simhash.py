@@ -26,7 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierscope.llm.common import checkpoint, connected_components, join_on_hot_keys, map_rows
+from tierscope.llm.common import checkpoint, connected_components, map_rows
+from tierscope.operators.skew import join_on_hot_keys
 
 SHINGLE = 3
 MAX_BITS = 3

@@ -22,7 +22,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierscope.llm.common import SALTS, checkpoint, join_on_hot_keys
+from tierscope.llm.common import SALTS, checkpoint
+from tierscope.operators.skew import join_on_hot_keys
 
 DAMPING = 0.85
 ROUNDS = 20
