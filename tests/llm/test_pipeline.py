@@ -98,6 +98,12 @@ def test_run_and_empty_and_odd_rows(spark, docs, tmp_path):
     out = P.run(spark, str(tmp_path)).collect()
     ids = [r.doc_id for r in out]
     assert ids.count(1) == 1 and ids.count(None) == 1 and 5 not in ids and 3 not in ids and 4 not in ids and 6 in ids
+    clash = ("score", "lm_chars", "_text", "fp", "lang_pred", "n")
+    wide = table.selectExpr("*", *[f"doc_id * {k} as {c}" for k, c in enumerate(clash, 2)])
+    for _, f in P.STAGES[:-1]:
+        got = f(spark, wide, str(tmp_path))
+        assert got.columns == wide.columns
+        assert all(r.score == r.doc_id * 2 and r.n == r.doc_id * 7 for r in got.where("doc_id is not null").collect())
     d = table.limit(0)
     for _, f in P.STAGES:
         d = f(spark, d, str(tmp_path))
