@@ -131,7 +131,7 @@ def candidates(cfg: Config = CONFIG) -> dict:
                             elasticNetParam=0.0, standardization=False, maxIter=m.logistic_iterations, tol=1e-6)
     rf = RandomForestClassifier(featuresCol="features", labelCol="label_idx", numTrees=m.forest_trees,
                                 minInstancesPerNode=2, maxDepth=m.forest_depth, weightCol="weight", seed=seed,
-                                featureSubsetStrategy="sqrt", maxMemoryInMB=1024)
+                                featureSubsetStrategy="sqrt")
     gbt = OneVsRest(classifier=GBTClassifier(maxIter=m.boosting_rounds, stepSize=0.06,
                                              maxDepth=m.boosting_depth, subsamplingRate=0.9,
                                              featureSubsetStrategy="0.8", seed=seed),
@@ -523,7 +523,7 @@ def tune_forest(train: DataFrame, numeric: list[str], categorical: list[str], mt
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
     rf = RandomForestClassifier(featuresCol="features", labelCol="label_idx", numTrees=trees,
-                                minInstancesPerNode=2, maxDepth=depth, seed=seed, maxMemoryInMB=1024)
+                                minInstancesPerNode=2, maxDepth=depth, seed=seed)
     pipe = Pipeline(stages=[*feature_stages(train, numeric, categorical), rf])
     grid = ParamGridBuilder().addGrid(rf.featureSubsetStrategy, [str(m) for m in mtry]).build()
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, foldCol="fold", numFolds=folds, seed=seed,

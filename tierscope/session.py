@@ -21,6 +21,9 @@ def build_session(master: str | None = None, app_name: str = "tierscope",
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+        if master.startswith("local["):
+            # Driver and executors are one process here; the default is one gigabyte.
+            builder = builder.config("spark.driver.memory", "8g")
     cores = os.cpu_count() or 8
     builder = (
         builder
