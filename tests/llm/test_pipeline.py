@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-from llm import test_pii, test_simhash
+from llm import test_language_id, test_pii, test_simhash
 from tierscope.llm import language_id, quality_lm
 from tierscope.session import checkpoint_dir
 
@@ -108,3 +108,13 @@ def test_run_and_empty_and_odd_rows(spark, docs, tmp_path):
     for _, f in P.STAGES:
         d = f(spark, d, str(tmp_path))
         assert d.collect() == []
+
+
+def test_unlearned_languages_go(spark, docs):
+    clean = test_language_id.corpus(2400)
+    other = ["Miehen talo on kaupungissa ja se oli hyvä päivä ihmisille.", "Dom tego człowieka stoi w mieście i był to dobry dzień.",
+             "Дом человека стоит в городе.", "qzx vkj wqp"]
+    out = P.language(spark, docs(clean + [(10000 + i, t, None) for i, t in enumerate(other)]), SF).collect()
+    kept = {r.doc_id for r in out}
+    assert not [t for i, t in enumerate(other) if 10000 + i in kept]
+    assert len(kept) >= 0.995 * len(clean)

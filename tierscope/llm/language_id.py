@@ -9,6 +9,12 @@ doc_id): shards of the sample run follow-the-regularised-leader with
 elastic-net penalties, and their weights are averaged.  A temperature,
 fitted on learning documents kept out of that, calibrates the scores.
 
+The same documents give each language a cut, under which a text may be of a
+language that was not learned: half-way from even odds to the ``LOW`` quantile
+of the scores of texts that were rightly recognised.  Where fewer than
+``LEAST`` were, and at least everywhere, it is ``MARGIN`` of the way from even
+odds to 1.  A single language has nothing to be told from and keeps all texts.
+
 Defined results: text that is null or has no letter is ``und`` with score 0,
 as is every text if nothing can be learned; ties go to the language first in
 the alphabet; rows without doc_id are not learned from; repeated rows get
@@ -35,6 +41,7 @@ SHARDS = 8
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.001, 0.01   # learning rate, its offset, penalties
 UNKNOWN = "und"
+LOW, LEAST, MARGIN = 0.01, 100, 0.15
 
 _LETTER = np.zeros(1 << 16, bool)
 for _cp in range(1 << 16):
@@ -115,6 +122,7 @@ class Model(NamedTuple):
     idf: np.ndarray
     weights: np.ndarray
     temperature: float
+    cuts: tuple[float, ...] = ()
 
 
 def _logits(text: str | None, model: Model) -> np.ndarray | None:
@@ -146,6 +154,16 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+def _cuts(logits: np.ndarray, y: np.ndarray, temperature: float, classes: int) -> tuple[float, ...]:
+    """The least score of each language."""
+    even = 1 / classes
+    least = even + MARGIN * (1 - even)
+    p = np.exp((logits - logits.max(axis=1, keepdims=True)) / temperature)
+    score, found = p.max(axis=1) / p.sum(axis=1), logits.argmax(axis=1)
+    right = [score[(found == k) & (y == k)] for k in range(classes)]
+    return tuple(max(least, (even + float(np.quantile(x, LOW))) / 2) if len(x) >= LEAST else least for x in right)
+
+
 def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(4))
 
@@ -207,9 +225,11 @@ def train(docs: DataFrame) -> Broadcast:
 
     calibration = [r for r in append_columns(held.select("text", "lang"), "logits array<double>", ["text"], lambda: rows)
                    .drop("text").collect() if r["logits"] is not None]
+    logits = np.array([r["logits"] for r in calibration]).reshape(-1, len(languages))
+    y = np.array([number[r["lang"]] for r in calibration], int)
     if calibration:
-        raw = raw._replace(temperature=_temperature(np.array([r["logits"] for r in calibration]),
-                                                    np.array([number[r["lang"]] for r in calibration])))
+        raw = raw._replace(temperature=_temperature(logits, y))
+    raw = raw._replace(cuts=_cuts(logits, y, raw.temperature, len(languages)))
     return spark.sparkContext.broadcast(raw)
 
 
