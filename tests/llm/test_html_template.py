@@ -73,3 +73,15 @@ def test_copies_of_an_article_stay(spark):
     page = f"{HEAD}{MENU}<article><h1>Same</h1><p>text</p></article>{FOOT}"
     table = spark.createDataFrame([(i, "http://h.example/", page) for i in range(6)], "page_id long, url string, html string")
     assert {r.text for r in H.extract(table).collect()} == {"Same\n\ntext"}
+
+
+def test_copies_in_a_layout_without_article_stay(spark):
+    rows = [(i, "http://h.example/", soup(1, 3)) for i in range(6)] + [(9, "http://h.example/9", soup(9, 2))]
+    out = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    for r in out:
+        i, n = (9, 2) if r.page_id == 9 else (1, 3)
+        assert f"Head {i}" in r.text and r.text.count(f"Story {i} part") == n
+    # Copies beside enough distinct pages: the template goes, the copied article stays.
+    rows += [(20 + i, f"http://h.example/{20 + i}", soup(20 + i, 2)) for i in range(3)]
+    for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert r.text.startswith("Head ") and "Story" in r.text and "Welcome" not in r.text

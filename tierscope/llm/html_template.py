@@ -5,6 +5,7 @@ whole text blocks.  The occurrence vector of a token holds its count on each
 page of the host; vectors are compared by their sums of per-page hashes, so
 tokens of one equivalence class get equal sums and the vectors themselves
 are never gathered (a host with a third of all pages is summed in parts).
+Copies of a page say nothing of a template, so each html of a host counts once.
 Classes that occur on most pages are valid; they nest by path, and the class
 with one occurrence a page is the root of the host's template.  Its
 containers delimit the slots; the slot with the article is the deepest one
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from collections import defaultdict
 
 import pandas as pd
@@ -37,7 +39,7 @@ from tierscope.llm.common import checkpoint, map_rows
 from tierscope.operators.skew import join_on_hot_keys
 
 VALID_SHARE = 0.8     # a valid class occurs on this share of a host's pages, or more
-VALID_PAGES = 3       # and the host has so many pages
+VALID_PAGES = 3       # and the host has so many distinct pages
 MOST_TEXT = 0.7       # the article's slot holds this share of the running text, or more
 
 # Fixed values of HTML.
@@ -148,6 +150,19 @@ def host_of(url: Column) -> Column:
 _SUMS = ("pages", "low", "high", "once", "running")
 
 
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """(host, html) with each html of a host once; null is as empty.  The html is shuffled compressed."""
+    def pack(batch):
+        texts = [(page or "").encode("utf-8", "surrogatepass") for page in batch["html"]]
+        return {"host": batch["host"], "digest": [xxhash.xxh128_digest(t) for t in texts], "packed": [zlib.compress(t) for t in texts]}
+
+    def unpack(batch):
+        return {"host": batch["host"], "html": [zlib.decompress(t).decode("utf-8", "surrogatepass") for t in batch["packed"]]}
+
+    packed = map_rows(pages.select("host", "html"), "host string, digest binary, packed binary", pack)
+    return map_rows(packed.groupBy("host", "digest").agg(F.first("packed").alias("packed")), "host string, html string", unpack)
+
+
 def token_sums(pages: DataFrame) -> DataFrame:
     """Per host and token: pages that hold it, sums of its vector's hashes, pages with one of it, running text inside."""
     def rows(batch):
@@ -225,9 +240,10 @@ def main_text(page: str | None, slot: str | None, constant: list[str] | None) ->
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     p = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    sums = checkpoint(token_sums(p))
+    sums = checkpoint(token_sums(distinct_pages(p)))
+    n = p.groupBy("host").agg(F.count("*").alias("n"))
     # The html of frequent hosts stays where it is; their templates come to it.
-    hosts = checkpoint(sums.filter("token = ''").select("host", F.col("pages").alias("n")).join(templates(sums), "host", "left"))
+    hosts = checkpoint(n.join(templates(sums), "host", "left"))
     both = join_on_hot_keys(p, hosts, "host", "n")
 
     def rows(batch):
