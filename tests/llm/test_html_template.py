@@ -85,3 +85,21 @@ def test_copies_in_a_layout_without_article_stay(spark):
     rows += [(20 + i, f"http://h.example/{20 + i}", soup(20 + i, 2)) for i in range(3)]
     for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
         assert r.text.startswith("Head ") and "Story" in r.text and "Welcome" not in r.text
+
+
+def test_articles_of_several_containers_stay_whole(spark):
+    def page(i):
+        return (f'{HEAD}<div class="top"><p>Welcome to our site</p></div><div class="story"><div class="intro"><p>Intro {i} of the story.</p></div>'
+                f'<div class="body">{"".join(f"<p>Body {i} part {k} with many words of text.</p>" for k in range(4))}</div>'
+                f'<div class="more"><p>End {i}.</p></div></div><div class="end"><p>All rights reserved</p></div>')
+
+    odd = (f'{HEAD}<div class="top"><p>Welcome to our site</p></div><div class="story"><p>Short.</p></div>'
+           f'<div class="other-place"><p>{"The text of this page lies elsewhere. " * 5}</p></div><div class="end"><p>All rights reserved</p></div>')
+    rows = [(i, "http://h.example/", page(i)) for i in range(10)]
+    for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        body = [f"Body {r.page_id} part {k} with many words of text." for k in range(4)]
+        assert r.text == "\n\n".join([f"Intro {r.page_id} of the story.", *body, f"End {r.page_id}."])
+    out = H.extract(spark.createDataFrame([*rows, (99, "http://h.example/", odd)], "page_id long, url string, html string")).collect()
+    got = {r.page_id: r.text for r in out}
+    assert "lies elsewhere" in got[99] and "Short." in got[99] and "Welcome" not in got[99]
+    assert all(got[i].startswith(f"Intro {i}") and got[i].endswith(f"End {i}.") for i in range(10))

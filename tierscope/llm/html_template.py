@@ -8,14 +8,15 @@ are never gathered (a host with a third of all pages is summed in parts).
 Copies of a page say nothing of a template, so each html of a host counts once.
 Classes that occur on most pages are valid; they nest by path, and the class
 with one occurrence a page is the root of the host's template.  Its
-containers delimit the slots; the slot with the article is the deepest one
-that holds most of the running text, and text blocks of the root class are
-template text.  Each page then gives the blocks of that slot.
+containers delimit the slots, and text blocks of valid classes are template
+text.  The slot with the article is the deepest one that leaves nothing but
+template text outside, or an ``article`` or ``main`` with most of the running
+text.  Each page then gives the blocks of that slot.
 
 Regions that are no article by their tag or class (menus, forms, adverts,
 comments ...) count as no text in any slot.  Pages of hosts without a valid
-class, or without the slot, give their ``article``, ``main`` or else whole
-body.
+class, or without the slot or with too little of their text in it, give their
+``article``, ``main`` or else whole body.
 
 Defined results: null or empty html gives an empty text; a null url or one
 without ``://`` belongs to the host ''; repeated rows give equal texts; a page
@@ -40,7 +41,7 @@ from tierscope.operators.skew import join_on_hot_keys
 
 VALID_SHARE = 0.8     # a valid class occurs on this share of a host's pages, or more
 VALID_PAGES = 3       # and the host has so many distinct pages
-MOST_TEXT = 0.7       # the article's slot holds this share of the running text, or more
+MOST_TEXT = 0.7       # a slot of an article tag holds this share of the running text or more, and so does the slot of a page
 
 # Fixed values of HTML.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -180,6 +181,8 @@ def token_sums(pages: DataFrame) -> DataFrame:
                 if not b.article:
                     token = _text_token(b)
                     counts[token] = counts.get(token, 0) + 1
+                    if not b.other:
+                        running[token] += len(b.text) - b.linked
             seed = xxhash.xxh64_intdigest((page or "").encode("utf-8", "surrogatepass"))
             for token, n in counts.items():
                 h = xxhash.xxh64_intdigest(n.to_bytes(8, "little"), seed)
@@ -199,15 +202,23 @@ def deduce(tokens: pd.DataFrame) -> tuple[str | None, list[str]]:
     # Valid: on most pages, with one occurrence a page; the largest such class is the root.
     valid = [c for _, c in classes if (c["once"] == c["pages"]).all() and c["pages"].iloc[0] >= VALID_SHARE * whole["pages"]]
     valid.sort(key=lambda c: (-c["pages"].iloc[0], -len(c)))
-    best, constant = None, []
-    for c in valid:
-        for t, running in zip(c["token"], c["running"], strict=True):
-            if "\t" in t:
-                constant.append(t)
-            elif t and running >= MOST_TEXT * whole["running"]:
-                # Nested classes: deeper containers of the same text come later; an article is never left for less.
-                if best is None or _inside(t, best) and not re.search(r">(article|main)\b[^>]*$", best):
-                    best = t
+    kept = [(t, running) for c in valid for t, running in zip(c["token"], c["running"], strict=True)]
+    texts = {t: running for t, running in kept if "\t" in t}
+    constant = list(texts)
+    fixed = defaultdict(int)                  # running text of the template inside each container
+    for t, running in texts.items():
+        path = t.partition("\t")[0]
+        while path:
+            fixed[path] += running
+            path = path.rpartition(">")[0]
+    best, rest = None, whole["running"] - sum(texts.values())
+    # From the outside in: a container is left for one inside it if what stays behind is template text alone, or if that one
+    # is an article by its tag and holds most of the text; an article is never left for less.
+    for t, running in sorted((x for x in kept if x[0] and "\t" not in x[0]), key=lambda x: (x[0].count(">"), x[0])):
+        semantic = re.search(r">(article|main)\b[^>]*$", t)
+        enough = running - fixed[t] >= rest or semantic and running >= MOST_TEXT * whole["running"]
+        if running and enough and (best is None or _inside(t, best) and not re.search(r">(article|main)\b[^>]*$", best)):
+            best, rest = t, running - fixed[t]
     return best, constant
 
 
@@ -225,6 +236,12 @@ def templates(sums: DataFrame) -> DataFrame:
 
 def main_text(page: str | None, slot: str | None, constant: list[str] | None) -> str:
     blocks, opened = parse(page or "")
+    template = set(constant or ())
+    if slot:
+        own = [b for b in blocks if not b.other and (b.article or not template or _text_token(b) not in template)]
+        held = sum(len(b.text) - b.linked for b in own if _inside(b.path, slot))
+        if held < MOST_TEXT * sum(len(b.text) - b.linked for b in own):
+            slot = None
     if not slot or slot not in opened:
         last = [re.match(r"[^.]*", p.rpartition(">")[2])[0] for p in opened]
         tag = next((t for t in ("article", "main") if t in last), "")
@@ -233,7 +250,6 @@ def main_text(page: str | None, slot: str | None, constant: list[str] | None) ->
             inside = blocks
     else:
         inside = [b for b in blocks if _inside(b.path, slot)]
-    template = set(constant or ())
     return "\n\n".join(b.text for b in inside if not b.other and (b.article or not template or _text_token(b) not in template))
 
 
