@@ -103,3 +103,18 @@ def test_articles_of_several_containers_stay_whole(spark):
     got = {r.page_id: r.text for r in out}
     assert "lies elsewhere" in got[99] and "Short." in got[99] and "Welcome" not in got[99]
     assert all(got[i].startswith(f"Intro {i}") and got[i].endswith(f"End {i}.") for i in range(10))
+
+
+@pytest.mark.parametrize("page", [
+    '<body class="has-sidebar"><article class="post comments-open"><p>The text.</p></article></body>',
+    '<body><div class="social-science"><p>The text.</p></div><div class="share"><p>x</p></div></body>',
+    '<main id="search"><p>The text.</p></main>'])
+def test_words_do_not_strike_the_article(page):
+    assert H.main_text(page, None, None) == "The text."
+
+
+def test_repeated_notice_in_articles_goes(spark):
+    rows = [(i, "http://h.example/", f'{HEAD}<article><h1>Head {i}</h1><p class="x">Written for our readers.</p><p>Text {i} of the story.</p></article>')
+            for i in range(6)]
+    for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert r.text == f"Head {r.page_id}\n\nText {r.page_id} of the story."

@@ -13,8 +13,10 @@ text.  The slot with the article is the deepest one that leaves nothing but
 template text outside, or an ``article`` or ``main`` with most of the running
 text.  Each page then gives the blocks of that slot.
 
-Regions that are no article by their tag or class (menus, forms, adverts,
-comments ...) count as no text in any slot.  Pages of hosts without a valid
+Template text is dropped inside articles, too.  Regions that are no article by
+their tag or a word of their class (menus, forms, adverts, comments ...) count
+as no text in any slot; a word never strikes ``html``, ``body``, ``main``,
+``article`` or a region with most of the page's running text.  Pages of hosts without a valid
 class, or without the slot or with too little of their text in it, give their
 ``article``, ``main`` or else whole body.
 
@@ -54,6 +56,7 @@ OTHER_TAGS = set("nav header footer aside form script style noscript template if
 OTHER_WORDS = set("""ad ads adv advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent gdpr notice
     sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments reply replies disqus respond
     share sharing social related newsletter subscribe popup modal widget toolbar pagination pager login signup search""".split())
+NEVER_OTHER = {"html", "body", "main", "article"}   # by a word
 IN_ARTICLE_TOO = {"header", "masthead"}   # an article's own head belongs to it
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
@@ -124,15 +127,29 @@ def parse(page: str) -> tuple[list[Block], dict[str, int]]:
         _, path, other, article = stack[-1]
         names = [n.lower() for _, *v in _NAMES.findall(attrs) for n in "".join(v).split()] if "=" in attrs else []
         words = {w for n in names for w in re.split(r"[^a-z0-9]+", n)}
-        hit = ({tag} & OTHER_TAGS) | (words & OTHER_WORDS)
-        other = other or bool(hit - IN_ARTICLE_TOO if article else hit)
+        hit = ({tag} & OTHER_TAGS) | (set() if tag in NEVER_OTHER else words & OTHER_WORDS)
+        hit = hit - IN_ARTICLE_TOO if article else hit
         path = f"{path}>{tag}{''.join('.' + n for n in sorted(names))}"
         opened[path] += 1
+        if hit and not other:
+            # Regions by a word alone may turn out to hold most of the text.
+            other = path if not hit & OTHER_TAGS else True
+        elif hit & OTHER_TAGS:
+            other = True
         if attrs.endswith("/") and tag == "svg":
             continue
-        stack.append((tag, path, other, article or tag == "article" and not other))
+        stack.append((tag, path, other, article or tag == "article" and other is not True))
     add(page[at:])
     flush()
+    struck, running = defaultdict(int), 0
+    for b in blocks:
+        if b.other is not True:
+            n = len(b.text) - b.linked
+            running += n
+            struck[b.other] += n
+    for b in blocks:
+        b.other = b.other is True or bool(b.other) and struck[b.other] < MOST_TEXT * running
+        b.article = b.article and not b.other
     return blocks, opened
 
 
@@ -178,11 +195,10 @@ def token_sums(pages: DataFrame) -> DataFrame:
                         running[path] += n
                         path = path.rpartition(">")[0]
                     running[""] += n
-                if not b.article:
-                    token = _text_token(b)
-                    counts[token] = counts.get(token, 0) + 1
-                    if not b.other:
-                        running[token] += len(b.text) - b.linked
+                token = _text_token(b)
+                counts[token] = counts.get(token, 0) + 1
+                if not b.other:
+                    running[token] += len(b.text) - b.linked
             seed = xxhash.xxh64_intdigest((page or "").encode("utf-8", "surrogatepass"))
             for token, n in counts.items():
                 h = xxhash.xxh64_intdigest(n.to_bytes(8, "little"), seed)
@@ -238,7 +254,7 @@ def main_text(page: str | None, slot: str | None, constant: list[str] | None) ->
     blocks, opened = parse(page or "")
     template = set(constant or ())
     if slot:
-        own = [b for b in blocks if not b.other and (b.article or not template or _text_token(b) not in template)]
+        own = [b for b in blocks if not b.other and (not template or _text_token(b) not in template)]
         held = sum(len(b.text) - b.linked for b in own if _inside(b.path, slot))
         if held < MOST_TEXT * sum(len(b.text) - b.linked for b in own):
             slot = None
@@ -250,7 +266,7 @@ def main_text(page: str | None, slot: str | None, constant: list[str] | None) ->
             inside = blocks
     else:
         inside = [b for b in blocks if _inside(b.path, slot)]
-    return "\n\n".join(b.text for b in inside if not b.other and (b.article or not template or _text_token(b) not in template))
+    return "\n\n".join(b.text for b in inside if not b.other and (not template or _text_token(b) not in template))
 
 
 def extract(pages: DataFrame) -> DataFrame:
