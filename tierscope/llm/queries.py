@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierscope.llm import cover_tree, html_template, language_id, packing, pii, quality_lm, quality_rules, simhash, tokens, url_graph
+from tierscope.llm import cover_tree, html_template, language_id, merkle, packing, pii, quality_lm, quality_rules, simhash, tokens, url_graph
 from tierscope.sources.tables import read_table
 
 def vocabulary(name: str) -> str:
@@ -92,3 +92,11 @@ r(a, b) as (select vec_id, vec_id from v union select r.a, l.b from r join l on
 c as (select a, min(b) as component_id from r group by a)
 select vec_id, (select count(*) from l where l.a = v.vec_id) as n_links, component_id, vec_id = component_id as kept from v join c on c.a = v.vec_id
 """
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(read_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_merkle_manifest"] = merkle.oracle_sql()
