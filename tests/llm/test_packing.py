@@ -16,28 +16,23 @@ TEXTS = ["The cat sat.", "", " ", "a  b", "a   b \n  c  ", "\x1c!\x1cb", "  lead
 
 def reference(texts):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_encoder_parity():
-    with open(PATH) as f:
-        e = tokens.byte_level(f.read())
+@pytest.mark.parametrize("fast", [True, False])
+def test_encoder_parity(fast):
+    content, ranked = tokens.load_byte_level(PATH)
+    assert ranked
     rng = random.Random(3)
     texts = TEXTS + ["".join(rng.choice("ab,. \n\t'1é\xa0") for _ in range(rng.randint(1, 60))) for _ in range(3000)]
-    e.GROUP, e.WORDS = 500, 300   # many groups, memory trimmed
-    assert [x.tolist() for x in e.encode(texts)] == reference(texts)
+    texts += ["a" * 50_000, " " * 50_000 + "x", "\n" * 20_000, "ab" * 20_000 + "<|endoftext|>", "hello <|endoftext|> world"]
+    got = [x.tolist() for x in tokens.TextEncoder(content, fast).encode(texts)]
+    assert got == reference(texts) and got[-1] == [31373, 220, 50256, 995]
 
 
-def test_encoder_keeps_frequent_words():
-    with open(PATH) as f:
-        e = tokens.byte_level(f.read())
-    e.GROUP, e.WORDS = 200, 50
-    rng = random.Random(6)
-    texts = [" ".join(f"w{int(rng.expovariate(0.05))}" for _ in range(30)) for _ in range(300)]
-    assert [x.tolist() for x in e.encode(texts)] == reference(texts)
-    assert " w0" in e.number and len(e.number) < 120
-    e.IDS = 10
+def test_every_code_point_is_encoded_alike():
+    e = tokens.TextEncoder(tokens.load_byte_level(PATH)[0])
+    texts = ["".join(f"a{chr(c)}b {chr(c)} 1{chr(c)}" for c in range(start, start + 512) if not 0xD800 <= c < 0xE000) for start in range(0, 0x30000, 512)]
     assert [x.tolist() for x in e.encode(texts)] == reference(texts)
 
 

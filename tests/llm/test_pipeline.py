@@ -78,7 +78,6 @@ def test_personal_data(stages):
 def test_packing(stages):
     docs = rows(stages[4])
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     n = {i: len(t.encode(r.text, add_special_tokens=False).ids) + 1 for i, r in docs.items()}
     by_doc, by_bin = {}, {}
     for r in stages[5].collect():

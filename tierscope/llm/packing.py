@@ -25,21 +25,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierscope.llm.common import checkpoint, map_rows
-from tierscope.llm.tokens import byte_level, encoder
+from tierscope.llm.tokens import byte_level, load_byte_level
 
 SIZE = 2048
 SHARDS = 64
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32; only documents over ``size`` ids are cut."""
-    with open(tokenizer_path, encoding="utf-8") as f:
-        content = docs.sparkSession.sparkContext.broadcast(f.read())
+    content = docs.sparkSession.sparkContext.broadcast(load_byte_level(tokenizer_path))
     end = np.zeros(1, "<u4")
 
     def rows(batch):
         out = defaultdict(list)
         texts = (t or "" for t in batch["text"])
-        for doc_id, ids in zip(batch["doc_id"], encoder(byte_level, content.value).encode(texts), strict=True):
+        for doc_id, ids in zip(batch["doc_id"], byte_level(content.value).encode(texts), strict=True):
             ids = np.append(ids, end)
             n = len(ids)
             cuts = [0, *range(n % size or size, n, size), n]
