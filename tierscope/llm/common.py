@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,21 @@ def map_rows(df: DataFrame, schema: str, rows: Callable[[dict[str, list]], dict[
     return df.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 23, rows: int = 60_000) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch of ``rows`` rows and ``most`` bytes of ``column`` (a longer value is a part of its own)."""
+    offsets = offsets_of(batch.column(column))
+    start = 0
+    while start < len(batch):
+        end = min(start + rows, max(start + 1, int(np.searchsorted(offsets, int(offsets[start]) + most, "right")) - 1))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def offsets_of(a: pa.Array) -> np.ndarray:
+    """Where the values of a string or binary array start, and the last ends."""
+    return np.frombuffer(a.buffers()[1], np.int32)[a.offset:a.offset + len(a) + 1] if len(a) else np.zeros(1, np.int32)
+
+
 def append_columns(df: DataFrame, schema: str, inputs: list[str], task: Callable[[], Callable[..., dict[str, list]]]) -> DataFrame:
     """``df`` with further columns, per Arrow batch.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierscope.llm import cover_tree, html_template, language_id, merkle, packing, pii, quality_lm, quality_rules, retrieval_packing, simhash, tokens, url_graph
+from tierscope.llm import collocations, cover_tree, html_template, language_id, merkle, packing, pii, quality_lm, quality_rules, retrieval_packing, simhash, tokens, url_graph
 from tierscope.sources.tables import read_table
 
 def vocabulary(name: str) -> str:
@@ -94,6 +94,14 @@ select vec_id, (select count(*) from l where l.a = v.vec_id) as n_links, compone
 """
 
 
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_collocations"] = collocations.oracle_sql()
+
+
 @query
 def op12_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval_packing.digests(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))

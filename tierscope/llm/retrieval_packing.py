@@ -28,7 +28,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierscope.llm.common import stored
+from tierscope.llm.common import offsets_of, slices, stored
 from tierscope.llm.tokens import byte_level, load_byte_level
 
 SIZE = 1024
@@ -61,23 +61,9 @@ def kind(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 23, rows: int = BLOCK_DOCS) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch of ``rows`` rows and ``most`` bytes of ``column`` (a longer value is a part of its own)."""
-    offsets = _offsets(batch.column(column))
-    start = 0
-    while start < len(batch):
-        end = min(start + rows, max(start + 1, int(np.searchsorted(offsets, int(offsets[start]) + most, "right")) - 1))
-        yield batch.slice(start, end - start)
-        start = end
-
-
-def _offsets(a: pa.Array) -> np.ndarray:
-    return np.frombuffer(a.buffers()[1], np.int32)[a.offset:a.offset + len(a) + 1] if len(a) else np.zeros(1, np.int32)
-
-
 def _ids(a: pa.Array, form: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a binary column, and where each row's start (and the last ends)."""
-    starts = _offsets(a).astype(np.int64)
+    starts = offsets_of(a).astype(np.int64)
     data = np.frombuffer(a.buffers()[2] or b"", np.uint8)[starts[0]:starts[-1]] if len(a) else np.zeros(0, np.uint8)
     return data.view(form), (starts - starts[0]) // np.dtype(form).itemsize
 
@@ -298,7 +284,7 @@ def pack(docs: DataFrame, model: Bm25, size: int = SIZE, block_ids: int = BLOCK_
         width = np.dtype(kind(len(shared.value.idf))).itemsize
         for batch in batches:
             for part in slices(batch, 1, width * block_ids, BLOCK_DOCS):
-                n = int(np.ptp(_offsets(part.column(1)))) // width
+                n = int(np.ptp(offsets_of(part.column(1)))) // width
                 if waiting and (held + n > block_ids or rows + len(part) > BLOCK_DOCS):
                     yield from packed(out, waiting)
                     waiting, held, rows = [], 0, 0
