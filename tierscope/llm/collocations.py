@@ -42,8 +42,8 @@ from tierscope.llm.common import checkpoint, slices
 LONGEST = 5
 LEAST = 100          # occurrences of a candidate
 TOP = 2000           # rows of a language
-RUN = 4_000_000      # windows sorted at a time
-RANGE = 1_000_000    # windows of a range, about
+RUN = 1_500_000      # windows sorted at a time
+RANGE = 1_500_000    # windows of a range, about
 SAMPLED = 50         # windows of the sample for each range
 SHARDS = 64
 
@@ -115,21 +115,23 @@ class Run:
     """Windows gathered by a task until they are sorted; ``slices`` cuts them at the boundaries."""
 
     def __init__(self):
-        self.words, self.pieces, self.langs, self.size, self.base = [], [], [], 0, 0
+        self.words, self.pieces, self.langs, self.known, self.size, self.base = [], [], [], {}, 0, 0
 
     def add(self, texts: pa.Array, langs: pa.Array) -> None:
         words, piece, row = words_of(texts)
         self.words.append(words)
-        self.pieces.append(piece + self.base)
-        self.base += (piece[-1] if len(piece) else 0) + 2
-        self.langs.append(pc.take(langs.cast(pa.binary()), pa.array(row)))
+        self.pieces.append((piece + self.base).astype(np.int32))
+        self.base += int(piece[-1] if len(piece) else 0) + 2
+        self.langs.append(np.array([self.known.setdefault(x.encode(), len(self.known)) for x in langs.to_pylist()], np.int32)[row])
         self.size += len(words)
 
     def sorted(self) -> tuple[list[bytes], list[bytes], list[np.ndarray], np.ndarray]:
         """(languages, words, columns: language and words of the window, counts)."""
         words, code = ranked(pa.concat_arrays(self.words))
-        langs, lang = ranked(pa.concat_arrays(self.langs))
-        columns = [lang, *windows(code, np.concatenate(self.pieces))]
+        self.words = []
+        langs, place = ranked(pa.array([*self.known], pa.binary()))
+        columns = [place[np.concatenate(self.langs)], *windows(code, np.concatenate(self.pieces))]
+        self.langs, self.pieces = [], []
         return langs, words, *merged(columns, np.ones(len(code), np.int64), max(len(words), len(langs)))
 
 
