@@ -1052,6 +1052,40 @@ def j11_covariance(spark, sf):
     return cov
 
 
+# Neighbours: scaled coordinates and level weights in whole numbers, then every pair of test and training row.
+_KNN_X = [f"CAST(floor(CAST({c} AS DOUBLE) / (SELECT {c} FROM sd) * {RM.GRID} + 0.5) AS BIGINT) AS x_{c}" for c in RM.NUMERIC]
+_KNN_W = [f"coalesce((SELECT w FROM lv WHERE col = '{c}' AND level = p.{c}), 0) AS w_{c}, CAST({c} AS VARCHAR) AS c_{c}" for c in RM.CATEGORICAL]
+
+
+def _knn_sql(rows: str, nearest: int) -> str:
+    """CTEs up to nn: (query, label, k nearest {{squared, key, label}} in order); ``rows``: p with row_key, price_category, asks, holds, part."""
+    apart = " + ".join([f"(q.x_{c} - t.x_{c}) * (q.x_{c} - t.x_{c})" for c in RM.NUMERIC]
+                       + [f"CASE WHEN q.c_{c} <> t.c_{c} THEN q.w_{c} + t.w_{c} ELSE 0 END" for c in RM.CATEGORICAL])
+    return f"""WITH {_R_TRAIN},
+sd AS (SELECT count(*) AS n, {", ".join(f"stddev_samp(CAST({c} AS DOUBLE)) AS {c}" for c in RM.NUMERIC)} FROM tr),
+lc AS ({" UNION ALL ".join(f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS level, count(*) AS m FROM tr GROUP BY 2" for c in RM.CATEGORICAL)}),
+lv AS (SELECT col, level, CASE WHEN row_number() OVER (PARTITION BY col ORDER BY level) = 1 OR m = n THEN 0
+         ELSE CAST(floor({RM.GRID * RM.GRID} * (CAST(n * (n - 1) AS DOUBLE) / (m * (n - m))) + 0.5) AS BIGINT) END AS w FROM lc, sd),
+placed AS (SELECT row_key, price_category, asks, holds, part, {", ".join(_KNN_X + _KNN_W)} FROM ({rows}) p),
+nn AS (SELECT q.row_key, q.price_category AS label, q.part, list_sort(min({{'d': {apart}, 'key': t.row_key, 'label': t.price_category}}, {nearest})) AS near
+       FROM placed q JOIN placed t ON q.asks AND t.holds AND (q.part IS NULL OR q.part <> t.part) GROUP BY 1, 2, 3)"""
+
+
+_KNN_VOTES = f""",
+v AS (SELECT row_key, label, part, k, list_transform(['{"', '".join(RESEARCH_TIER_ORDER)}'], lambda c: len(list_filter(near[1:k], lambda x: x.label = c))) AS n,
+        CAST(least(k, len(near)) AS DOUBLE) AS total FROM nn, (VALUES {", ".join(f"({k})" for k in RM.NEIGHBOURS)}) t(k))"""
+_KNN_BEST = "(['" + "', '".join(RESEARCH_TIER_ORDER) + "'])[list_position(n, list_max(n))]"
+
+
+@register("j13_knn", _research_cte(_knn_sql(
+    f"SELECT p.*, s.split = 'test' AS asks, s.split = 'train' AS holds, CAST(NULL AS INTEGER) AS part FROM prepared p JOIN ({_R_SPLIT}) s ON s.row_key = p.row_key",
+    max(RM.NEIGHBOURS)) + _KNN_VOTES + f"""
+SELECT row_key, label, k, {_KNN_BEST} AS prediction, {", ".join(f'n[{i}] / total AS "score_{c}"' for i, c in enumerate(RESEARCH_TIER_ORDER, 1))} FROM v"""))
+def j13(spark, sf):
+    """The research test rows classified by their k nearest training rows, for every k."""
+    return RM.knn_predict(*_research(spark, sf))
+
+
 # ----------------------------------------------------------------------------- sources
 @register("a03_landed_raw_snapshot", with_base("SELECT * FROM listings_raw"))
 def a03(spark, sf):
