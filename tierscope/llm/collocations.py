@@ -42,8 +42,9 @@ from tierscope.llm.common import checkpoint, slices
 LONGEST = 5
 LEAST = 100          # occurrences of a candidate
 TOP = 2000           # rows of a language
-RUN = 1_500_000      # windows sorted at a time
-RANGE = 1_500_000    # windows of a range, about
+RUN = 1_000_000      # windows sorted at a time
+RANGE = 1_000_000    # windows of a range, about
+SLICE = 1 << 21      # bytes of text cut into words at a time (a longer text is cut by itself)
 SAMPLED = 50         # windows of the sample for each range
 SHARDS = 64
 
@@ -195,7 +196,7 @@ def boundaries(docs: DataFrame, run_range: int = RANGE) -> list[list[bytes]]:
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(7)
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, SLICE):
                 words, piece, row = words_of(part.column(0))
                 at = np.flatnonzero(rng.random(len(words)) < each)
                 langs = part.column(1).to_pylist()
@@ -232,7 +233,7 @@ def count_phrases(docs: DataFrame, least: int = LEAST, run_range: int = RANGE, r
 
         gathered = Run()
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, SLICE):
                 gathered.add(part.column(0), part.column(1))
                 if gathered.size >= run:
                     yield rows()
