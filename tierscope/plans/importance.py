@@ -1,61 +1,71 @@
 """Permutation importance on input columns as one distributed job.
 
-For each repeat a permutation of the test rows is built from two exact
-hash ranks (position order and donor order, see ``operators.split``): the
-row at position p receives the feature values of the row whose donor rank
-is p.  Every (repeat, feature) copy of the test split -- with only that
-feature replaced -- is scored in a single ``transform``; macro F1 per
-(repeat, feature) comes from grouped confusion counts.  Importance = F1 on
-the intact split minus the mean permuted F1, sorted descending.
+The test rows get a position by hash, and for each repeat a donor rank by
+another hash: the row at position p receives the value of the row whose donor
+rank is p.  Every (repeat, feature) copy of the test split, with only that
+feature replaced, is scored in a single pass; macro F1 per (repeat, feature)
+comes from grouped confusion counts.  Importance is F1 on the intact split
+minus the mean permuted F1, sorted descending.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierscope.config import TIER_ORDER
 from tierscope.operators.split import class_ranks
 from tierscope.plans.model import FittedModel, predict
+from tierscope.session import checkpoint_dir
+
+POSITION, DONOR = 1000, 2000   # added to the seed
 
 
 def _macro_f1_by(scored: DataFrame, keys: list[str], classes=TIER_ORDER) -> DataFrame:
     """Macro F1 (0 for undefined classes) per group of ``keys``."""
-    lab, pred = F.col("price_category"), F.col("prediction")
-    per = scored.select(*keys, lab.alias("label"), pred.alias("pred"),
-                        F.explode(F.array(*[F.lit(c) for c in classes])).alias("cls"))
-    counts = per.groupBy(*keys, "cls").agg(
-        F.count_if((F.col("label") == F.col("cls")) & (F.col("pred") == F.col("cls"))).alias("tp"),
-        F.count_if((F.col("label") != F.col("cls")) & (F.col("pred") == F.col("cls"))).alias("fp"),
-        F.count_if((F.col("label") == F.col("cls")) & (F.col("pred") != F.col("cls"))).alias("fn"))
-    f1 = F.when(2 * F.col("tp") + F.col("fp") + F.col("fn") > 0,
-                2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).otherwise(F.lit(0.0))
-    return counts.groupBy(*keys).agg(F.avg(f1).alias("f1_macro"))
+    cells = scored.groupBy(*keys, F.col("price_category").alias("label"), F.col("prediction").alias("pred")).agg(F.count(F.lit(1)).alias("n"))
 
+    def f1(c):
+        def n(condition):
+            return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
 
-def permutation_importance(model: FittedModel, test: DataFrame, repeats: int = 5, seed: int = 42,
-                           key: str = "id") -> DataFrame:
-    inputs = model.numeric + model.categorical
-    base = test.select(key, "price_category", *inputs)
-    one = F.lit(1)
-    copies = []
-    for r in range(repeats):
-        pos = class_ranks(base.withColumn("_all", one), "_all", key, seed=seed + 1000 + r) \
-            .select(key, F.col("_rank").alias("_pos"))
-        donor = class_ranks(base.withColumn("_all", one), "_all", key, seed=seed + 2000 + r) \
-            .select(F.col("_rank").alias("_pos"), F.struct(*inputs).alias("_donor"))
-        copies.append(base.join(pos, key).join(donor, "_pos").withColumn("_repeat", F.lit(r)))
-    rows = copies[0]
-    for c in copies[1:]:
-        rows = rows.unionByName(c)
+        hit, is_label, is_pred = n((F.col("label") == c) & (F.col("pred") == c)), n(F.col("label") == c), n(F.col("pred") == c)
+        return F.when(is_label + is_pred > 0, 2 * hit / (is_label + is_pred)).otherwise(F.lit(0.0))
+
+    return cells.groupBy(*keys).agg((reduce(lambda a, b: a + b, [f1(c) for c in classes]) / len(classes)).alias("f1_macro"))
+
+
+def _ranked(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    return class_ranks(rows.withColumn("_all", F.lit(1)), "_all", key, seed=seed).drop("_all", "_class_n")
+
+
+def permuted_copies(test: DataFrame, inputs: list[str], repeats: int, seed: int, key: str) -> DataFrame:
+    """Every row once for each (_repeat, _feature), that feature's value taken from the row's donor."""
+    checkpoint_dir(test.sparkSession)
+    base = _ranked(test.select(key, "price_category", *inputs), key, seed + POSITION).withColumnRenamed("_rank", "_pos").checkpoint()
+    donors = [_ranked(base.select(key, *inputs), key, seed + DONOR + r).select(
+        F.col("_rank").alias("_pos"), F.lit(r).alias("_repeat"), F.struct(*inputs).alias("_donor")) for r in range(repeats)]
+    rows = base.join(reduce(DataFrame.unionByName, donors), "_pos").drop("_pos")
     rows = rows.withColumn("_feature", F.explode(F.array(*[F.lit(c) for c in inputs])))
-    permuted = rows.select(key, "price_category", "_repeat", "_feature", *[
+    return rows.select(key, "price_category", "_repeat", "_feature", *[
         F.when(F.col("_feature") == c, F.col(f"_donor.{c}")).otherwise(F.col(c)).alias(c) for c in inputs])
-    per = _macro_f1_by(predict(model, permuted), ["_repeat", "_feature"])
-    reference = _macro_f1_by(predict(model, base).withColumn("_k", one), ["_k"]).select(
-        F.col("f1_macro").alias("_ref"))
-    ref = reference.select(F.first("_ref")).scalar()
+
+
+def score_importance(score: Callable[[DataFrame], DataFrame], inputs: list[str], test: DataFrame, repeats: int = 5, seed: int = 42,
+                     key: str = "id") -> DataFrame:
+    """(feature, importance, importance_std) of whatever adds ``prediction`` to rows with the ``inputs``."""
+    per = _macro_f1_by(score(permuted_copies(test, inputs, repeats, seed, key)), ["_repeat", "_feature"])
+    whole = score(test.select(key, "price_category", *inputs)).withColumn("_k", F.lit(1))
+    ref = _macro_f1_by(whole, ["_k"]).select(F.first("f1_macro")).scalar()
     return (per.groupBy(F.col("_feature").alias("feature"))
                .agg((ref - F.avg("f1_macro")).alias("importance"),
                     F.stddev_pop("f1_macro").alias("importance_std"))
                .orderBy(F.desc("importance"), "feature"))
+
+
+def permutation_importance(model: FittedModel, test: DataFrame, repeats: int = 5, seed: int = 42,
+                           key: str = "id") -> DataFrame:
+    return score_importance(lambda rows: predict(model, rows), model.numeric + model.categorical, test, repeats, seed, key)

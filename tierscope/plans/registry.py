@@ -745,8 +745,10 @@ def j30(spark, sf):
 from dataclasses import replace  # noqa: E402
 
 from tierscope.config import CONFIG, RESEARCH_TIER_ORDER, TIER_ORDER, Config  # noqa: E402
+from tierscope.plans import importance as IMP  # noqa: E402
 from tierscope.plans import model as M  # noqa: E402
 from tierscope.plans import research_model as RM  # noqa: E402
+from tierscope.plans.kept import fingerprint, kept, kept_table, shared_root  # noqa: E402
 
 # The jobs train with the settings of CONFIG.  A registered query is one run
 # among many, so its ensembles are smaller: 600 rounds of boosting take a
@@ -777,10 +779,20 @@ def _stages(spark, sf):
     return _once(spark, sf, "stages", lambda: M.feature_stages(train, numeric, categorical))
 
 
+def _data_key(spark, sf) -> str:
+    """Fingerprint of the split rows: what is kept from other rows or settings is another entry."""
+    train, test, *_ = _split_parts(spark, sf)
+    return _once(spark, sf, "fingerprint", lambda: fingerprint(train.unionByName(test), QUERY_CFG))
+
+
 def _fitted(spark, sf, name: str):
-    train, _, numeric, categorical = _split_parts(spark, sf)
-    return _once(spark, sf, f"model {name}", lambda: M.fit_candidate(
-        M.candidates(QUERY_CFG)[name], train, numeric, categorical, QUERY_CFG, _stages(spark, sf)))
+    def make(folder):
+        train, _, numeric, categorical = _split_parts(spark, sf)
+        model = M.fit_candidate(M.candidates(QUERY_CFG)[name], train, numeric, categorical, QUERY_CFG, _stages(spark, sf))
+        M.save_model(spark, model, folder, QUERY_CFG)
+
+    return _once(spark, sf, f"model {name}", lambda: kept(
+        spark, shared_root(spark), f"model-{name}", _data_key(spark, sf), make, lambda folder: M.load_model(spark, folder)))
 
 
 def _scores(scored: DataFrame, classes) -> DataFrame:
@@ -815,11 +827,9 @@ def _cv(spark, sf, name: str) -> DataFrame:
         folds = CONFIG.model.cv_folds
         shared = _once(spark, sf, "fold stages", lambda: M.fold_stages(train, numeric, categorical, folds))
         scores = M.cross_validate(M.candidates(QUERY_CFG)[name], train, numeric, categorical, folds, QUERY_CFG, stages=shared)
-        rows = spark.createDataFrame([(name, k, float(x)) for k, x in enumerate(scores)], "model string, fold int, f1_macro double")
-        path = f"{checkpoint_dir(spark).rstrip('/')}/tierscope_cv/{uuid.uuid4().hex}"
-        rows.write.parquet(path)
-        return spark.read.parquet(path)
-    return _once(spark, sf, f"cv {name}", make)
+        return spark.createDataFrame([(name, k, float(x)) for k, x in enumerate(scores)], "model string, fold int, f1_macro double")
+
+    return _once(spark, sf, f"cv {name}", lambda: kept_table(spark, shared_root(spark), f"cv-{name}", _data_key(spark, sf), make))
 
 
 def _cv_query(name: str):
@@ -1173,12 +1183,44 @@ def e39(spark, sf):
     return pf.feature_type_summary(base.research_prepared(spark, sf).select(*RM.INPUTS))
 
 
-@register("j25_permutation_importance")
+# A rule stands in for a model, so that donors, copies and drops have an oracle.
+_RULE = """CASE WHEN accommodates + coalesce(bedrooms, 0) >= 12 THEN 'Premium'
+  WHEN room_type IN ('Hotel room', 'Private room') OR amenities_count >= 3 THEN 'Mid-Market' ELSE 'Budget' END"""
+_RULE_INPUTS = ["accommodates", "bedrooms", "room_type", "amenities_count", "review_scores_rating"]
+
+
+def _importance_sql(repeats: int, seed: int = 42) -> str:
+    def rank(add):
+        return f"row_number() OVER (ORDER BY {stable_hash_sql('id', seed + add)}, id)"
+
+    def copy(c):
+        columns = ", ".join(f"d.{x} AS {x}" if x == c else f"p.{x} AS {x}" for x in _RULE_INPUTS)
+        return f"SELECT r, '{c}' AS feature, p.price_category, {columns} FROM te p JOIN dn d ON d.rk = p.pos"
+
+    donors = " UNION ALL ".join(f"SELECT {r} AS r, {rank(IMP.DONOR + r)} AS rk, {', '.join(_RULE_INPUTS)} FROM te" for r in range(repeats))
+    f1 = " + ".join(f"""CASE WHEN count(*) FILTER (WHERE price_category = '{t}') + count(*) FILTER (WHERE prediction = '{t}') > 0
+      THEN 2 * count(*) FILTER (WHERE price_category = '{t}' AND prediction = '{t}')
+        / (count(*) FILTER (WHERE price_category = '{t}') + count(*) FILTER (WHERE prediction = '{t}')) ELSE 0 END""" for t in TIER_ORDER)
+    return f"""WITH s AS ({_split_rows_sql(0.2, 42)}),
+te AS (SELECT p.id, p.price_category, {", ".join(f"p.{c}" for c in _RULE_INPUTS)}, row_number() OVER (ORDER BY {stable_hash_sql("p.id", seed + IMP.POSITION)}, p.id) AS pos
+       FROM prepared p JOIN s ON s.id = p.id WHERE s.split = 'test'),
+dn AS ({donors}),
+c AS ({" UNION ALL ".join(copy(c) for c in _RULE_INPUTS)}),
+per AS (SELECT r, feature, ({f1}) / 3 AS f1 FROM (SELECT *, {_RULE} AS prediction FROM c) GROUP BY 1, 2),
+whole AS (SELECT ({f1}) / 3 AS f1 FROM (SELECT *, {_RULE} AS prediction FROM te))
+SELECT feature, (SELECT f1 FROM whole) - avg(f1) AS importance, stddev_pop(f1) AS importance_std FROM per GROUP BY 1"""
+
+
+@register("j25_permutation_importance", _prepared_cte(_importance_sql(5)))
 def j25(spark, sf):
-    """Importance of the inputs of the selected model."""
-    from tierscope.plans.importance import permutation_importance
-    best = _selection(spark, sf).where("selected").first()["model"]
-    return permutation_importance(_fitted(spark, sf, best), _split_parts(spark, sf)[1], repeats=5)
+    """Permutation importance of the stand-in rule's inputs on the test rows."""
+    return IMP.score_importance(lambda rows: rows.withColumn("prediction", F.expr(_RULE)), _RULE_INPUTS, _split_parts(spark, sf)[1])
+
+
+@register("j25_model_importance")
+def j25_model(spark, sf):
+    """Permutation importance of a trained model: the logistic regression, kept where a process fitted it before."""
+    return IMP.permutation_importance(_fitted(spark, sf, "logistic_regression"), _split_parts(spark, sf)[1], repeats=5)
 
 
 # ----------------------------------------------------------------------------- reports + vocabularies
