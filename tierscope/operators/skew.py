@@ -16,7 +16,7 @@ def join_on_hot_keys(rows: DataFrame, table: DataFrame, key: str, n: str, share:
     """
     checkpoint_dir(rows.sparkSession)
     total = table.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
-    hot = table.filter(F.col(n) * share >= total).checkpoint()
+    hot = table.filter(F.col(n) * share >= total).coalesce(1).checkpoint()
     heavy = rows.join(F.broadcast(hot.drop(n)), key)
     light = (rows.join(F.broadcast(hot.select(key)), key, "left_anti")
              .join(table.filter(F.col(n) * share < total).drop(n), key))
