@@ -89,3 +89,11 @@ def test_hot_keys(spark):
     table = rows.groupBy("k").count().withColumnRenamed("count", "n").withColumn("w", -rows.k)
     out = join_on_hot_keys(rows, table, "k", "n").collect()
     assert len(out) == rows.count() and all(r.w == -r.k for r in out)
+
+
+def test_no_second_bucket_is_passed_on(spark):
+    """All fingerprints of the bits that stay open: as many as a bucket can hold."""
+    assert simhash.most_open(3) == 18 and simhash.most_open(1) == 16
+    rows = spark.createDataFrame([(0, 5, fp, fp) for fp in range(1 << 8)], "part long, key long, fp long, id long")
+    out = simhash._link(rows, 1, 1 << 8).collect()
+    assert len(out) == (1 << 8) - 1 and all(r["a"] is not None and r["b"] == 0 for r in out)

@@ -87,14 +87,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Rounds of minimum labels over the edges and a pointer jump; the rows of a
     node are salted in both joins, so a hub is not one task.  Each round is
-    checkpointed.
+    checkpointed, tables of few rows in few files.
     """
     def salted(df: DataFrame) -> DataFrame:
         return df.withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
 
     both = edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct()
     both = checkpoint(both.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")))
-    labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")))
+    files = 1 + both.count() // 100_000
+    labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")).coalesce(files))
     while True:
         near = (both.join(salted(labels).withColumnRenamed("node", "a"), ["a", "salt"])
                 .groupBy(F.col("b").alias("node")).agg(F.min("component").alias("near")))
@@ -103,7 +104,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         step = step.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
         jump = salted(labels.select(F.col("node").alias("parent"), F.col("component").alias("up")))
         new = checkpoint(step.join(jump, ["parent", "salt"]).select(
-            "node", "old", F.least("parent", "up").alias("component")))
+            "node", "old", F.least("parent", "up").alias("component")).coalesce(files))
         if not new.filter("component <> old").limit(1).count():
             return new.select("node", "component")
         labels = new.select("node", "component")

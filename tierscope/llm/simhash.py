@@ -8,8 +8,9 @@ blocks (20 tables of 32-bit keys, so buckets stay small at any size).  Inside
 a bucket every fingerprint reaches the others by breadth-first search with
 verified Hamming distances, and one row per member names the smallest id it
 reaches: no pairs are emitted.  A bucket of more than ``BUCKET`` members is
-passed on and cut once more by the same scheme over its 32 open bits; 48 bits
-are then fixed, so no bucket can hold more than 2^16 fingerprints.
+passed on and cut once more by the same scheme over its open bits; the bits
+that are then open (18 at most for three differing bits) bound the distinct
+fingerprints of a bucket, so every one is searched.
 
 Defined results: null and empty texts have fingerprint zero and link like any
 other; repeated rows get the same component; a row without doc_id links
@@ -149,6 +150,12 @@ def _explode(rows: DataFrame, masks: list[int]) -> DataFrame:
     return rows.select("*", F.explode(keys).alias("k")).select("k.part", "k.key", *rows.columns)
 
 
+def most_open(max_bits: int) -> int:
+    """Bits that a choice of blocks and one more over its open bits can leave open."""
+    masks = _tables(list(range(64)), max_bits)
+    return max(64 - (m | m2).bit_count() for m in masks for m2 in _tables([b for b in range(64) if not m >> b & 1], max_bits))
+
+
 def links(distinct: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) between ids of distinct fingerprints (fp, id); connected as the full link graph is."""
     masks = _tables(list(range(64)), max_bits)
@@ -163,7 +170,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) -
     large = (first.filter("fp is not null").select(F.col("part").alias("p"), "fp", "id")
              .select("p", "fp", "id", F.posexplode(by_part[F.col("p").cast("int")]).alias("i", "m"))
              .select((F.col("p") * 100 + F.col("i")).alias("part"), F.col("fp").bitwiseAND(F.col("m")).alias("key"), "fp", "id"))
-    second = _link(large, max_bits, 1 << 17)
+    second = _link(large, max_bits, 1 << most_open(max_bits))
     return first.filter("a is not null").select("a", "b").union(second.select("a", "b")).distinct()
 
 
