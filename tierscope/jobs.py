@@ -33,7 +33,7 @@ def train_job(spark: SparkSession, features_path: str, out: str, cfg: Config = C
               names=None, folds: int | None = None) -> dict:
     """Cross-validate candidates, select, refit, test; save the winner and the metrics report."""
     feats = read_snapshot(spark, features_path, cfg.snapshot_date).drop("snapshot_date")
-    rows, fitted, best, (train, test, _, _) = M.train_and_select(feats, cfg, names=names, folds=folds)
+    rows, fitted, best, (train, test, _, _) = M.train_and_select(feats, cfg, names=names, folds=folds, keep=f"{out}/kept")
     M.save_model(spark, fitted[best], f"{out}/model", cfg, metrics=rows)
     # One row a candidate: fold scores, test figures, per-class table, confusion matrix and where they come from.
     stamp = M.artifact_metadata(spark, fitted[best], cfg).first()["metadata"]

@@ -18,9 +18,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier,
-)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -29,6 +27,7 @@ from pyspark.sql import functions as F
 from tierscope.config import CONFIG, TIER_ORDER, Config
 from tierscope.functions.buckets import tier_band
 from tierscope.functions.hashing import HASH_BITS, stable_hash
+from tierscope.plans import trees as T
 
 
 def _q(name: str) -> str:
@@ -123,6 +122,7 @@ class Candidate:
     weighted: bool = False
     random_baseline: bool = False
     penalised: bool = False    # the penalty is one over the rows of the fit
+    ensemble: bool = False     # trees that are trained piece by piece (``plans.trees``)
 
 
 def candidates(cfg: Config = CONFIG) -> dict:
@@ -132,10 +132,7 @@ def candidates(cfg: Config = CONFIG) -> dict:
     rf = RandomForestClassifier(featuresCol="features", labelCol="label_idx", numTrees=m.forest_trees,
                                 minInstancesPerNode=2, maxDepth=m.forest_depth, weightCol="weight", seed=seed,
                                 featureSubsetStrategy="sqrt")
-    gbt = OneVsRest(classifier=GBTClassifier(maxIter=m.boosting_rounds, stepSize=0.06,
-                                             maxDepth=m.boosting_depth, subsamplingRate=0.9,
-                                             featureSubsetStrategy="0.8", seed=seed),
-                    featuresCol="features", labelCol="label_idx", parallelism=3)
+    boosting = T.Boosting(rounds=m.boosting_rounds, depth=m.boosting_depth, seed=seed)
     nb = NaiveBayes(featuresCol="features", labelCol="label_idx", modelType="gaussian")
     svm = OneVsRest(classifier=LinearSVC(maxIter=100, regParam=0.01), featuresCol="features",
                     labelCol="label_idx", parallelism=3)
@@ -143,8 +140,8 @@ def candidates(cfg: Config = CONFIG) -> dict:
         "baseline_majority": Candidate("baseline_majority", None),
         "baseline_random": Candidate("baseline_random", None, random_baseline=True),
         "logistic_regression": Candidate("logistic_regression", lr, penalised=True),
-        "random_forest": Candidate("random_forest", rf, weighted=True),
-        "gradient_boosting": Candidate("gradient_boosting", gbt, ovr_margin=True),
+        "random_forest": Candidate("random_forest", rf, weighted=True, ensemble=True),
+        "gradient_boosting": Candidate("gradient_boosting", boosting, ensemble=True),
         "naive_bayes": Candidate("naive_bayes", nb),
         "linear_svm": Candidate("linear_svm", svm, ovr_margin=True),
     }
@@ -160,11 +157,18 @@ class FittedModel:
     ovr_margin: bool = False
     numeric: list[str] = field(default_factory=list)
     categorical: list[str] = field(default_factory=list)
+    trees: T.Trees | None = None
+    margins: bool = False                    # the trees' sums are margins of a softmax, not probabilities
+    importances: list[float] | None = None   # of the trees' inputs
 
 
 def fit_candidate(cand: Candidate, train: DataFrame, numeric: list[str], categorical: list[str],
-                  cfg: Config = CONFIG, stages: list | None = None, classes=TIER_ORDER) -> FittedModel:
-    """``stages``: preprocessing fitted on ``train`` already, to share among candidates."""
+                  cfg: Config = CONFIG, stages: list | None = None, classes=TIER_ORDER, folder: str | None = None,
+                  key: str = "id") -> FittedModel:
+    """``stages``: preprocessing fitted on ``train`` already, to share among candidates.
+
+    ``folder``: where an ensemble keeps its pieces; a fit of the same rows that was cut off goes on there.
+    """
     stages = feature_stages(train, numeric, categorical) if stages is None else stages
     if cand.estimator is None:
         counts = {r[0]: r[1] for r in train.groupBy("price_category").count().collect()}   # <= k rows
@@ -177,11 +181,36 @@ def fit_candidate(cand: Candidate, train: DataFrame, numeric: list[str], categor
         majority = sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))[0][0]
         return FittedModel(cand.name, model, majority=majority, numeric=numeric, categorical=categorical)
     data = train.withColumn("weight", class_weights(train)) if cand.weighted else train
+    if cand.ensemble:
+        return _fit_ensemble(cand, data, numeric, categorical, stages, classes, folder or scratch(train.sparkSession, "trees"), key)
     estimator = cand.estimator.copy({cand.estimator.regParam: 1.0 / max(train.count(), 1)}) if cand.penalised else cand.estimator
     model = Pipeline(stages=[*stages, estimator]).fit(data)
     return FittedModel(cand.name, model, ovr_margin=cand.ovr_margin, numeric=numeric, categorical=categorical)
 
 
+def scratch(spark, name: str) -> str:
+    """A new folder's path beside the session's checkpoints."""
+    import uuid
+
+    from tierscope.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/tierscope_{name}/{uuid.uuid4().hex}"
+
+
+def _fit_ensemble(cand: Candidate, data: DataFrame, numeric, categorical, stages: list, classes, folder: str, key: str) -> FittedModel:
+    pipeline = Pipeline(stages=stages).fit(data)
+    # Every pass of the fit reads assembled vectors.
+    path = scratch(data.sparkSession, "vectors")
+    pipeline.transform(data).select(F.col(key).alias("key"), "features", "label_idx", *["weight"] * cand.weighted).write.parquet(path)
+    vectors = data.sparkSession.read.parquet(path)
+    out = FittedModel(cand.name, pipeline, numeric=numeric, categorical=categorical)
+    if isinstance(cand.estimator, T.Boosting):
+        out.trees, out.margins = T.fit_boosting(vectors, cand.estimator, folder, len(classes)), True
+    else:
+        parts = T.fit_forest(vectors, cand.estimator, folder, T.part_size(cand.estimator.getMaxDepth()))
+        out.trees, out.importances = T.forest_trees(data.sparkSession, parts), T.forest_importances(data.sparkSession, parts).tolist()
+    return out
+
+
 def predict(model: FittedModel, df: DataFrame, classes=TIER_ORDER) -> DataFrame:
     """Adds ``prediction`` (tier), ``probability`` array (tier order) and ``score_<tier>``.
 
@@ -208,6 +237,9 @@ def predict(model: FittedModel, df: DataFrame, classes=TIER_ORDER) -> DataFrame:
                           *[F.col("_p")[i].alias(f"score_{classes[i]}") for i in range(k)])
     if model.majority is not None:
         probs = F.array(*[F.lit(1.0 if c == model.majority else 0.0) for c in classes])
+    elif model.trees is not None:
+        out = out.withColumn("_m", T.summed(model.trees, df.sparkSession)(vector_to_array(F.col("features"))))
+        probs = F.array(*T.softmax([F.col("_m")[i] for i in range(k)])) if model.margins else F.col("_m")
     elif model.ovr_margin:
         raw = vector_to_array(F.col("rawPrediction"))
         sig = F.transform(raw, lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
@@ -313,23 +345,42 @@ def macro_f1(scored: DataFrame, classes=TIER_ORDER) -> float:
     return sum(f1s) / len(f1s)
 
 
-def train_and_select(features: DataFrame, cfg: Config = CONFIG, names=None, folds: int | None = None):
+def train_and_select(features: DataFrame, cfg: Config = CONFIG, names=None, folds: int | None = None, keep: str | None = None):
     """Cross-validate each candidate on the training split, refit, test once;
-    the winner is the best CV macro F1 excluding the baselines."""
+    the winner is the best CV macro F1 excluding the baselines.
+
+    ``keep``: a folder for fold scores, fitted models and the pieces of
+    ensembles; a run of the same rows and settings goes on from what is there.
+    """
     import statistics
+
+    from tierscope.plans.kept import fingerprint, kept, kept_table
     split, numeric, categorical = training_frame(features, cfg)
     train, test = written_split(split)
-    reg = candidates(cfg)
+    spark, reg = features.sparkSession, candidates(cfg)
     names = list(names or cfg.model.candidates)
     folds = folds or cfg.model.cv_folds
-    shared = fold_stages(train, numeric, categorical, folds)
+    keep = keep or scratch(spark, "kept")
+    key = fingerprint(train.unionByName(test), cfg, folds)
+    shared = None
     whole = feature_stages(train, numeric, categorical)
     rows, fitted = [], {}
     for name in names:
         if name not in reg:
             raise ValueError(f"no candidate is called {name!r}; there are {', '.join(reg)}")
-        cv = cross_validate(reg[name], train, numeric, categorical, folds, cfg, stages=shared)
-        model = fit_candidate(reg[name], train, numeric, categorical, cfg, whole)
+
+        def scores(name=name):
+            nonlocal shared
+            shared = shared or fold_stages(train, numeric, categorical, folds)
+            found = cross_validate(reg[name], train, numeric, categorical, folds, cfg, stages=shared)
+            return spark.createDataFrame(list(enumerate(found)), "fold int, f1_macro double")
+
+        def fit(folder, name=name):
+            pieces = f"{keep}/pieces-{name}/{key}"
+            save_model(spark, fit_candidate(reg[name], train, numeric, categorical, cfg, whole, folder=pieces), folder, cfg)
+
+        cv = [r["f1_macro"] for r in kept_table(spark, keep, f"cv-{name}", key, scores).orderBy("fold").collect()]
+        model = kept(spark, keep, f"model-{name}", key, fit, lambda folder: load_model(spark, folder))
         fitted[name] = model
         t = evaluate(model, test)
         rows.append({"model": name, "cv_mean": statistics.fmean(cv), "cv_std": statistics.pstdev(cv),
@@ -345,10 +396,9 @@ def train_and_select(features: DataFrame, cfg: Config = CONFIG, names=None, fold
 
 def input_importances(model: FittedModel) -> list[tuple[str, float]]:
     """Tree importances mapped back through the assembler to input columns."""
-    est = model.pipeline.stages[-1]
-    if not hasattr(est, "featureImportances"):
+    if model.importances is None:
         return []
-    imp = est.featureImportances.toArray()
+    imp = model.importances
     out, pos = {}, 0
     for c in model.numeric:
         out[c] = out.get(c, 0.0) + float(imp[pos])
@@ -356,7 +406,7 @@ def input_importances(model: FittedModel) -> list[tuple[str, float]]:
     vocab = category_labels(model)
     for c in model.categorical:
         width = len(vocab.get(c, []))   # dropLast removes the unseen slot: one column per known level
-        out[c] = out.get(c, 0.0) + float(imp[pos:pos + width].sum())
+        out[c] = out.get(c, 0.0) + float(sum(imp[pos:pos + width]))
         pos += width
     return sorted(out.items(), key=lambda kv: -kv[1])
 
@@ -447,6 +497,7 @@ def artifact_metadata(spark, model: FittedModel, cfg: Config = CONFIG, metrics:
     meta = {
         "best_model": model.name, "majority": model.majority, "ovr_margin": model.ovr_margin,
         "class_shares": model.class_shares, "seed": model.seed,
+        "trees": model.trees is not None, "margins": model.margins, "importances": model.importances,
         "numeric_features": model.numeric, "categorical_features": model.categorical,
         "snapshot_date": cfg.snapshot_date,
         "trained_at": datetime.datetime.now(datetime.timezone.utc).isoformat(timespec="seconds"),
@@ -460,6 +511,8 @@ def artifact_metadata(spark, model: FittedModel, cfg: Config = CONFIG, metrics:
 def save_model(spark, model: FittedModel, path: str, cfg: Config = CONFIG, metrics=None) -> None:
     """Fitted pipeline via MLlib persistence + metadata as a JSON-lines file."""
     model.pipeline.write().overwrite().save(f"{path}/pipeline")
+    if model.trees is not None:
+        T.save_trees(spark, model.trees, f"{path}/trees")
     artifact_metadata(spark, model, cfg, metrics).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
 
 
@@ -468,7 +521,8 @@ def load_model(spark, path: str) -> FittedModel:
     meta = json.loads(spark.read.json(f"{path}/metadata").first()["metadata"])
     return FittedModel(meta["best_model"], PipelineModel.load(f"{path}/pipeline"), majority=meta["majority"],
                        class_shares=meta["class_shares"], seed=meta["seed"], ovr_margin=meta["ovr_margin"], numeric=meta["numeric_features"],
-                       categorical=meta["categorical_features"])
+                       categorical=meta["categorical_features"], trees=T.load_trees(spark, f"{path}/trees") if meta["trees"] else None,
+                       margins=meta["margins"], importances=meta["importances"])
 
 
 def stored_property_levels(model: FittedModel) -> list[str]:

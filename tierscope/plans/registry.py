@@ -1024,24 +1024,11 @@ def _research_fit(spark, sf, name, numeric, categorical) -> DataFrame:
     return _scores(M.scored_frame(fitted, test, RESEARCH_TIER_ORDER), RESEARCH_TIER_ORDER)
 
 
-@register("j12_naive_bayes")
-def j12(spark, sf):
-    return _research_fit(spark, sf, "naive_bayes", RM.NUMERIC, ["room_type"])
-
-
 @register("j14_linear_svm")
 def j14(spark, sf):
     return _research_fit(spark, sf, "linear_svm", RM.NUMERIC, RM.CATEGORICAL)
 
 
-@register("j11_linear_discriminant")
-def j11(spark, sf):
-    train, test = _research(spark, sf)
-    coefs = M.fit_lda(train, RM.NUMERIC, classes=RESEARCH_TIER_ORDER)
-    rows = test.select("id", F.col("price_category").alias("label"), *RM.NUMERIC)
-    return _scores(M.lda_predict(coefs, rows, RM.NUMERIC, classes=RESEARCH_TIER_ORDER), RESEARCH_TIER_ORDER)
-
-
 _R_TRAIN = f"tr AS (SELECT p.* FROM prepared p JOIN ({_R_SPLIT}) s ON s.row_key = p.row_key WHERE s.split = 'train')"
 
 
@@ -1062,6 +1049,87 @@ def j11_covariance(spark, sf):
     return cov
 
 
+# Closed forms in SQL, for groups g of training rows (gtr) and of rows to score (gte).
+_X = [f"CAST({c} AS DOUBLE)" for c in RM.NUMERIC]
+_P = len(_X)
+_ONE_GROUP = f"""gtr AS (SELECT 0 AS g, * FROM tr),
+gte AS (SELECT 0 AS g, p.* FROM prepared p JOIN ({_R_SPLIT}) s ON s.row_key = p.row_key WHERE s.split = 'test')"""
+_FOLD_GROUPS = "rr AS (" + " UNION ALL ".join(f"""
+SELECT {rep} AS repeat, (row_number() OVER (PARTITION BY price_category ORDER BY {stable_hash_sql("row_key", seed)}, row_key) - 1) % {RM.FOLDS} AS fold, *
+FROM tr""" for rep, seed in enumerate(RM.REPEAT_SEEDS)) + f"""),
+gtr AS (SELECT rr.repeat * {RM.FOLDS} + k.fold AS g, rr.* FROM rr JOIN (SELECT * FROM range({RM.FOLDS}) r(fold)) k ON rr.fold <> k.fold),
+gte AS (SELECT repeat * {RM.FOLDS} + fold AS g, * FROM rr)"""
+_MOMENTS = f"""mo AS (SELECT g, price_category AS c, count(*) AS n, [{", ".join(f"avg({x})" for x in _X)}] AS mu,
+  [{", ".join(f"greatest(var_samp({x}), {RM.CF.FLAT})" for x in _X)}] AS va FROM gtr GROUP BY 1, 2),
+tot AS (SELECT g, sum(n) AS total, count(*) AS k FROM mo GROUP BY 1)"""
+# The pooled covariance beside the identity, reduced row by row to the inverse.
+_LDA = f"""{_MOMENTS},
+ce AS (SELECT g, {", ".join(f"{x} - avg({x}) OVER w AS d{i}" for i, x in enumerate(_X))} FROM gtr WINDOW w AS (PARTITION BY g, price_category)),
+co AS (SELECT ce.g, [{", ".join("[" + ", ".join([f"sum(d{i} * d{j}) / any_value(total - k)" for j in range(_P)] + [f"{float(i == j)}" for j in range(_P)]) + "]" for i in range(_P))}] AS m
+       FROM ce JOIN tot ON tot.g = ce.g GROUP BY 1),
+inv AS (SELECT g, 1 AS turn, m FROM co UNION ALL
+  SELECT g, turn + 1, list_transform(range(1, {_P + 1}), lambda i: CASE WHEN i = turn THEN list_transform(m[turn], lambda x: x / m[turn][turn])
+    ELSE list_transform(range(1, {2 * _P + 1}), lambda j: m[i][j] - m[i][turn] * m[turn][j] / m[turn][turn]) END) FROM inv WHERE turn <= {_P}),
+w AS (SELECT mo.g, c, n, mu, list_transform(m, lambda r: list_dot_product(r[{_P + 1}:], mu)) AS w FROM mo JOIN inv ON inv.g = mo.g AND turn = {_P + 1}),
+sc AS (SELECT e.*, w.c, ln(w.n / total) - 0.5 * list_dot_product(mu, w) + list_dot_product(w, [{", ".join(_X)}]) AS s
+       FROM gte e JOIN w ON w.g = e.g JOIN tot ON tot.g = e.g)"""
+_NB = f"""{_MOMENTS},
+lv AS (SELECT g, price_category AS c, room_type, count(*) AS m FROM gtr GROUP BY 1, 2, 3),
+sc AS (SELECT e.*, mo.c, ln(mo.n / total) + ln(greatest(coalesce(lv.m, 0) / mo.n, {RM.CF.RARE})) + list_sum(list_transform(range(1, {_P + 1}),
+         lambda i: -0.5 * ln(2 * pi() * va[i]) - 0.5 / va[i] * ([{", ".join(_X)}][i] - mu[i]) * ([{", ".join(_X)}][i] - mu[i]))) AS s
+       FROM gte e JOIN mo ON mo.g = e.g JOIN tot ON tot.g = e.g LEFT JOIN lv ON lv.g = e.g AND lv.c = mo.c AND lv.room_type = e.room_type)"""
+_SHARES = f"""pr AS (SELECT g, row_key, price_category AS label, c, round(exp(s - max(s) OVER u) / sum(exp(s - top)) OVER u, {RM.CF.DIGITS}) AS p
+       FROM (SELECT *, max(s) OVER (PARTITION BY g, row_key) AS top FROM sc) WINDOW u AS (PARTITION BY g, row_key)),
+ps AS (SELECT g, row_key, label, {", ".join(f"""coalesce(max(p) FILTER (WHERE c = '{t}'), 0) AS p{i}""" for i, t in enumerate(RESEARCH_TIER_ORDER))} FROM pr GROUP BY 1, 2, 3),
+pd AS (SELECT *, CASE {" ".join(f"WHEN p{i} = greatest(p0, p1, p2) THEN '{t}'" for i, t in enumerate(RESEARCH_TIER_ORDER))} END AS prediction FROM ps)"""
+_SCORED = "SELECT row_key, label, prediction, " + ", ".join(f'p{i} AS "score_{t}"' for i, t in enumerate(RESEARCH_TIER_ORDER)) + " FROM pd"
+
+
+def _closed_form_sql(groups: str, model: str, result: str) -> str:
+    return f"WITH RECURSIVE {_R_TRAIN},\n{groups},\n{model},\n{_SHARES}\n{result}"
+
+
+@register("j11_linear_discriminant", _research_cte(_closed_form_sql(_ONE_GROUP, _LDA, _SCORED)))
+def j11(spark, sf):
+    """The research test rows by linear discriminant, scores rounded."""
+    return RM.closed_form_test(*_research(spark, sf), "lda")
+
+
+@register("j12_naive_bayes", _research_cte(_closed_form_sql(_ONE_GROUP, _NB, _SCORED)))
+def j12(spark, sf):
+    """The research test rows by Gaussian naive Bayes, scores rounded."""
+    return RM.closed_form_test(*_research(spark, sf), "naive_bayes")
+
+
+@register("j05_fold_statistics", _research_cte(f"WITH {_R_TRAIN},\n{_FOLD_GROUPS}\n" + " UNION ALL ".join(f"""
+SELECT CAST(g // {RM.FOLDS} AS INTEGER) AS repeat, CAST(g % {RM.FOLDS} AS INTEGER) AS fold, price_category, '{c}' AS feature, count(*) AS n,
+  round(avg(CAST({c} AS DOUBLE)), 6) AS mean, round(var_samp(CAST({c} AS DOUBLE)), 6) AS variance FROM gtr GROUP BY 1, 2, 3""" for c in RM.NUMERIC)))
+def j05_statistics(spark, sf):
+    return RM.fold_statistics(_research(spark, sf)[0])
+
+
+_FOLD_F1 = " + ".join(f"""CASE WHEN count(*) FILTER (WHERE label = '{t}') + count(*) FILTER (WHERE prediction = '{t}') > 0
+  THEN 2 * count(*) FILTER (WHERE label = '{t}' AND prediction = '{t}') / (count(*) FILTER (WHERE label = '{t}') + count(*) FILTER (WHERE prediction = '{t}')) ELSE 0 END"""
+                      for t in RESEARCH_TIER_ORDER)
+
+
+def _fold_scores_sql(name: str, rows: str) -> str:
+    return f"""SELECT '{name}' AS model, CAST(g // {RM.FOLDS} AS INTEGER) AS repeat, CAST(g % {RM.FOLDS} AS INTEGER) AS fold, count(*) AS n,
+  count(*) FILTER (WHERE label = prediction) / count(*) AS accuracy, ({_FOLD_F1}) / {len(RESEARCH_TIER_ORDER)} AS f1_macro FROM {rows} GROUP BY 2, 3"""
+
+
+_MAJORITY_FOLDS = """mj AS (SELECT g, price_category AS prediction FROM gtr GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY g ORDER BY count(*) DESC, price_category) = 1)"""
+
+
+@register("j24_repeated_cv", _research_cte(" UNION ALL ".join("SELECT * FROM (" + x + ")" for x in [
+    _closed_form_sql(_FOLD_GROUPS, _LDA, _fold_scores_sql("lda", "pd")), _closed_form_sql(_FOLD_GROUPS, _NB, _fold_scores_sql("naive_bayes", "pd")),
+    f"WITH {_R_TRAIN},\n{_FOLD_GROUPS},\n{_MAJORITY_FOLDS}\n" + _fold_scores_sql(
+        "baseline_majority", "(SELECT e.g, e.price_category AS label, mj.prediction FROM gte e JOIN mj ON mj.g = e.g)")])))
+def j24_repeated(spark, sf):
+    """Fifteen fits of each closed form and of the majority, from the sums of the folds."""
+    return RM.repeated_scores(_research(spark, sf)[0])
+
+
 # Neighbours: scaled coordinates and level weights in whole numbers, then every pair of test and training row.
 _KNN_X = [f"CAST(floor(CAST({c} AS DOUBLE) / (SELECT {c} FROM sd) * {RM.GRID} + 0.5) AS BIGINT) AS x_{c}" for c in RM.NUMERIC]
 _KNN_W = [f"coalesce((SELECT w FROM lv WHERE col = '{c}' AND level = p.{c}), 0) AS w_{c}, CAST({c} AS VARCHAR) AS c_{c}" for c in RM.CATEGORICAL]
