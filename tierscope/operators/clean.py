@@ -74,7 +74,7 @@ def keep_first(df: DataFrame, key: str = "id", order: tuple[str, ...] = ("ingest
 
 
 def clean_listings(raw: DataFrame, cfg: Config = CONFIG,
-                   observation: Observation | None = None) -> DataFrame:
+                   observations: tuple[Observation, Observation] | None = None) -> DataFrame:
     """Typed, priced and deduplicated listings, each with its tier.
 
     Rows without a price in range go first and copies of an id second: an id
@@ -83,14 +83,21 @@ def clean_listings(raw: DataFrame, cfg: Config = CONFIG,
     """
     t = cfg.target
     df = typed_listings(raw)
-    if observation is not None:
-        df = df.observe(observation, F.count(F.lit(1)).alias("rows_in"))
+    if observations is not None:
+        df = df.observe(observations[0], F.count(F.lit(1)).alias("rows_in"))
     df = df.filter(F.col("price_numeric").isNotNull()
                    & F.col("price_numeric").between(t.min_price, t.max_price))
     df = keep_first(df)
     df = df.withColumn("price_category",
                        price_category(F.col("price_numeric"), t.budget_max, t.mid_market_max))
-    return df.select(*CLEANED_COLUMNS)
+    df = df.select(*CLEANED_COLUMNS)
+    return df if observations is None else df.observe(observations[1], F.count(F.lit(1)).alias("rows_out"))
+
+
+def observed_retention(spark, observations: tuple[Observation, Observation]) -> DataFrame:
+    """E38 from the counts that a cleaning job took while it wrote: no further scan."""
+    rows_in, rows_out = observations[0].get["rows_in"], observations[1].get["rows_out"]
+    return spark.createDataFrame([(rows_in, rows_out, 100.0 * rows_out / max(rows_in, 1))], "rows_in long, rows_out long, pct_kept double")
 
 
 def retention(raw: DataFrame, cfg: Config = CONFIG) -> DataFrame:

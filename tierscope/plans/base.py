@@ -11,16 +11,16 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import types as T
 
 from tierscope.config import CONFIG, Config
 from tierscope.operators import research as R
-from tierscope.operators.clean import clean_listings
+from tierscope.operators.clean import clean_listings, observed_retention
 from tierscope.operators.features import engineer_features
 from tierscope.plans.market import market_view
 from tierscope.session import checkpoint_dir
-from tierscope.sources.files import normalize_missing, read_snapshot, write_snapshot
+from tierscope.sources.files import normalize_missing, read_json_report, read_snapshot, write_json_report, write_snapshot
 from tierscope.sources.tables import listings_raw
 
 _PREPARED: dict[tuple, tuple] = {}
@@ -53,7 +53,18 @@ def cleaned(spark: SparkSession, sf_dir: str, cfg: Config = CONFIG) -> DataFrame
 
 def landed_cleaned(spark: SparkSession, sf_dir: str, cfg: Config = CONFIG) -> DataFrame:
     """The cleaned table written once: the feature job reads it to fit its vocabulary and again to apply it."""
-    return _materialized(spark, "cleaned", sf_dir, cfg, lambda: cleaned(spark, sf_dir, cfg))
+    counts = (Observation("cleaning_in"), Observation("cleaning_out"))
+    written = (spark.sparkContext.applicationId, "cleaned", sf_dir, cfg) in _PREPARED
+    out = _materialized(spark, "cleaned", sf_dir, cfg, lambda: clean_listings(loaded(spark, sf_dir), cfg, counts))
+    if not written:
+        write_json_report(observed_retention(spark, counts), _path(spark, "retention", sf_dir, cfg))
+    return out
+
+
+def retention_report(spark: SparkSession, sf_dir: str, cfg: Config = CONFIG) -> DataFrame:
+    """Rows in, rows out and percent kept, as the cleaning job counted them while it wrote."""
+    landed_cleaned(spark, sf_dir, cfg)
+    return read_json_report(spark, _path(spark, "retention", sf_dir, cfg), "rows_in long, rows_out long, pct_kept double")
 
 
 def features(spark: SparkSession, sf_dir: str, cfg: Config = CONFIG) -> DataFrame:
@@ -65,12 +76,16 @@ def prepare(spark: SparkSession, sf_dir: str, out: str, cfg: Config = CONFIG) ->
     write_snapshot(features(spark, sf_dir, cfg), out, cfg.snapshot_date)
 
 
+def _path(spark: SparkSession, name: str, sf_dir: str, cfg: Config) -> str:
+    tag = hashlib.sha1(repr((sf_dir, cfg)).encode()).hexdigest()[:16]
+    return f"{checkpoint_dir(spark).rstrip('/')}/tierscope_{name}/{tag}"
+
+
 def _materialized(spark: SparkSession, name: str, sf_dir: str, cfg: Config, build) -> DataFrame:
     """Write ``build()`` once per process under the checkpoint folder and read it back."""
     key = (spark.sparkContext.applicationId, name, sf_dir, cfg)
     if key not in _PREPARED:
-        tag = hashlib.sha1(repr((sf_dir, cfg)).encode()).hexdigest()[:16]
-        path = f"{checkpoint_dir(spark).rstrip('/')}/tierscope_{name}/{tag}"
+        path = _path(spark, name, sf_dir, cfg)
         df = build()
         write_snapshot(df, path, cfg.snapshot_date)
         # The writer knows the schema: reads skip footer-based schema inference.

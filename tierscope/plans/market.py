@@ -261,6 +261,24 @@ def comps_standing(df: DataFrame) -> DataFrame:
               .select("id", (F.col("below") / F.col("n")).alias("share_below")))
 
 
+def rate_standing(requests: DataFrame, comps: DataFrame, rate: str = "rate") -> DataFrame:
+    """E16 for requests with any rate: (request_id, n, share_below), the share of the request's comparables priced strictly below it.
+
+    Prices and rates of a group go through one ordered stream, the prices
+    with their counts and the rates with none, so no request meets a price.
+    Without comparables, or without a rate, the share is null.
+    """
+    keys = ["neighbourhood_cleansed", "room_type"]
+    prices = _value_counts(comps.where(F.col("price_numeric").isNotNull()), keys, "price_numeric").withColumnRenamed("price_numeric", "_v")
+    asked = requests.where(F.col(rate).isNotNull()).select(*keys, F.col(rate).cast("double").alias("_v"), F.lit(0).cast("long").alias("cnt"))
+    stream = prices.withColumn("_v", F.col("_v").cast("double")).unionByName(asked).groupBy(*keys, "_v").agg(F.sum("cnt").alias("cnt"))
+    below = sums_before(stream, keys, "_v", {"below": "cnt"}).select(*keys, "_v", "below")
+    totals = prices.groupBy(*keys).agg(F.sum("cnt").alias("n"))
+    rows = requests.select("request_id", *keys, F.col(rate).cast("double").alias("_v"))
+    out = _null_safe_join(_null_safe_join(rows, below, [*keys, "_v"], "left"), totals, keys, "left")
+    return out.select("request_id", F.coalesce("n", F.lit(0)).alias("n"), (F.col("below") / F.col("n")).alias("share_below"))
+
+
 def farther_from_cbd_share(df: DataFrame) -> DataFrame:
     """E17 for every listing: share of all listings strictly farther from the CBD.
 

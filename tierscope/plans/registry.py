@@ -1215,6 +1215,37 @@ def a12(spark, sf):
         "host_is_superhost", "review_scores_rating")
 
 
+_RATE = "40.0e0 + 25 * CAST(accommodates AS DOUBLE)"
+
+
+@register("e16_request_standing", with_base(f"""
+SELECT CAST(f.id AS VARCHAR) AS request_id, (SELECT count(*) FROM features c WHERE c.neighbourhood_cleansed IS NOT DISTINCT FROM f.neighbourhood_cleansed
+    AND c.room_type IS NOT DISTINCT FROM f.room_type) AS n,
+  (SELECT avg(CASE WHEN c.price_numeric < {_RATE.replace("accommodates", "f.accommodates")} THEN 1.0e0 ELSE 0.0e0 END) FROM features c
+    WHERE c.neighbourhood_cleansed IS NOT DISTINCT FROM f.neighbourhood_cleansed AND c.room_type IS NOT DISTINCT FROM f.room_type) AS share_below
+FROM features f"""))
+def e16_requests(spark, sf):
+    """E16 for scoring requests: a rate of its own for each, against the comparables' prices."""
+    return mk.rate_standing(a12(spark, sf).withColumn("rate", F.expr(_RATE.replace("e0", "D"))), base.prepared(spark, sf))
+
+
+_PLACES = 2000   # points of the grid below, spread by the golden ratio over the listings' region
+
+
+@register("c9_nearest_of_many_points", with_base(f"""
+WITH p AS (SELECT -34.1e0 + 0.5e0 * ((i * 0.6180339887498949e0) % 1) AS lat, 150.95e0 + 0.4e0 * (i / {_PLACES}.0e0) AS lon FROM range({_PLACES}) r(i)),
+q AS (SELECT DISTINCT latitude, longitude FROM features WHERE latitude IS NOT NULL),
+m AS (SELECT latitude, longitude, min(12742.0e0 * asin(sqrt(pow(sin(radians(lat - latitude) / 2), 2)
+  + cos(radians(latitude)) * cos(radians(lat)) * pow(sin(radians(lon - longitude) / 2), 2)))) AS km FROM q, p GROUP BY 1, 2)
+SELECT id, round(km, 6) AS nearest_km FROM features f LEFT JOIN m ON m.latitude = f.latitude AND m.longitude = f.longitude"""))
+def c9_many(spark, sf):
+    """C9 at large k: every listing's distance to the nearest of many points, by a widening grid."""
+    from tierscope.operators.nearest_point import nearest_km
+    i = F.col("id")
+    points = spark.range(_PLACES).select((F.lit(-34.1) + 0.5 * ((i * 0.6180339887498949) % 1)).alias("lat"), (F.lit(150.95) + 0.4 * (i / float(_PLACES))).alias("lon"))
+    return nearest_km(base.prepared(spark, sf).select("id", "latitude", "longitude"), points).select("id", F.round("nearest_km", 6).alias("nearest_km"))
+
+
 _SLICE = "neighbourhood_cleansed = 'NATION_3' AND room_type = 'Private room'"
 
 
@@ -1292,7 +1323,6 @@ def j25_model(spark, sf):
 
 
 # ----------------------------------------------------------------------------- reports + vocabularies
-from tierscope.operators.clean import retention  # noqa: E402
 from tierscope.operators.features import frequent_levels, top_levels  # noqa: E402
 
 
@@ -1300,7 +1330,8 @@ from tierscope.operators.features import frequent_levels, top_levels  # noqa: E4
 SELECT rows_in, rows_out, 100.0e0 * rows_out / greatest(rows_in, 1) AS pct_kept
 FROM (SELECT (SELECT count(*) FROM listings_raw) AS rows_in, (SELECT count(*) FROM cleaned) AS rows_out)"""))
 def e38(spark, sf):
-    return retention(base.loaded(spark, sf))
+    """From the counts that the cleaning job took in the pass that wrote its table."""
+    return base.retention_report(spark, sf)
 
 
 @register("b05_research_price_filter", with_research("""
