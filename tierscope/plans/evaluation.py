@@ -78,6 +78,29 @@ def summary_metrics(pred: DataFrame, classes=TIER_ORDER, drop_undefined_f1: bool
                       F.when(pe < 1, (po - pe) / (1 - pe)).otherwise(F.lit(0.0)).alias("kappa"), "n")
 
 
+def model_comparison(pred: DataFrame, classes=TIER_ORDER) -> DataFrame:
+    """One row for each ``model``: n, accuracy, chance, sensitivity, specificity, precision and F1 of each class
+    (0 where undefined), their mean F1 and kappa."""
+    cells = pred.groupBy("model", "label", "prediction").agg(F.count(F.lit(1)).alias("c"))
+
+    def n(condition):
+        return F.coalesce(F.sum(F.when(condition, F.col("c"))), F.lit(0))
+
+    def ratio(a, b):
+        return F.when(b > 0, a / b).otherwise(F.lit(0.0))
+
+    total, label, said = F.sum("c"), F.col("label"), F.col("prediction")
+    per = []
+    for t in classes:
+        tp, real, claimed = n((label == t) & (said == t)), n(label == t), n(said == t)
+        per += [ratio(tp, real).alias(f"sensitivity_{t}"), ratio(total - real - claimed + tp, total - real).alias(f"specificity_{t}"),
+                ratio(tp, claimed).alias(f"precision_{t}"), ratio(2 * tp, real + claimed).alias(f"f1_{t}")]
+    chance = sum((n(label == t) * n(said == t) for t in classes[1:]), n(label == classes[0]) * n(said == classes[0])) / (total * total)
+    out = cells.groupBy("model").agg(total.alias("n"), (n(label == said) / total).alias("accuracy"), chance.alias("chance"), *per)
+    mean = sum((F.col(f"f1_{t}") for t in classes[1:]), F.col(f"f1_{classes[0]}")) / len(classes)
+    return out.withColumn("f1_macro", mean).withColumn("kappa", (F.col("accuracy") - F.col("chance")) / (1 - F.col("chance")))
+
+
 def _score_long(pred: DataFrame, classes) -> DataFrame:
     """(class, score, pos, neg) collapsed to distinct scores per class."""
     long = pred.select("label", *[F.col(f"score_{c}").alias(c) for c in classes]) \

@@ -18,7 +18,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -28,6 +28,7 @@ from tierscope.config import CONFIG, TIER_ORDER, Config
 from tierscope.functions.buckets import tier_band
 from tierscope.functions.hashing import HASH_BITS, stable_hash
 from tierscope.plans import trees as T
+from tierscope.plans.kernel_map import KernelMap
 
 
 def _q(name: str) -> str:
@@ -122,6 +123,7 @@ class Candidate:
     weighted: bool = False
     random_baseline: bool = False
     penalised: bool = False    # the penalty is one over the rows of the fit
+    curved: bool = False       # on a random feature map of the RBF kernel
     ensemble: bool = False     # trees that are trained piece by piece (``plans.trees``)
 
 
@@ -144,6 +146,7 @@ def candidates(cfg: Config = CONFIG) -> dict:
         "gradient_boosting": Candidate("gradient_boosting", boosting, ensemble=True),
         "naive_bayes": Candidate("naive_bayes", nb),
         "linear_svm": Candidate("linear_svm", svm, ovr_margin=True),
+        "rbf_svm": Candidate("rbf_svm", svm, ovr_margin=True, curved=True),
     }
 
 
@@ -160,6 +163,8 @@ class FittedModel:
     trees: T.Trees | None = None
     margins: bool = False                    # the trees' sums are margins of a softmax, not probabilities
     importances: list[float] | None = None   # of the trees' inputs
+    head: object | None = None               # a model of mapped rows (``kernel``), after the pipeline
+    kernel: KernelMap | None = None
 
 
 def fit_candidate(cand: Candidate, train: DataFrame, numeric: list[str], categorical: list[str],
@@ -183,6 +188,8 @@ def fit_candidate(cand: Candidate, train: DataFrame, numeric: list[str], categor
     data = train.withColumn("weight", class_weights(train)) if cand.weighted else train
     if cand.ensemble:
         return _fit_ensemble(cand, data, numeric, categorical, stages, classes, folder or scratch(train.sparkSession, "trees"), key)
+    if cand.curved:
+        return _fit_curved(cand, data, numeric, categorical, stages)
     estimator = cand.estimator.copy({cand.estimator.regParam: 1.0 / max(train.count(), 1)}) if cand.penalised else cand.estimator
     model = Pipeline(stages=[*stages, estimator]).fit(data)
     return FittedModel(cand.name, model, ovr_margin=cand.ovr_margin, numeric=numeric, categorical=categorical)
@@ -196,6 +203,17 @@ def scratch(spark, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/tierscope_{name}/{uuid.uuid4().hex}"
 
 
+def _fit_curved(cand: Candidate, data: DataFrame, numeric, categorical, stages: list) -> FittedModel:
+    pipeline = Pipeline(stages=stages).fit(data)
+    rows = pipeline.transform(data).select("features", "label_idx")
+    kernel = KernelMap(len(rows.select(vector_to_array("features")).first()[0]))
+    # Mapped once: every pass of the fits reads finished vectors.
+    path = scratch(data.sparkSession, "vectors")
+    kernel.mapped(rows).write.parquet(path)
+    head = cand.estimator.fit(data.sparkSession.read.parquet(path))
+    return FittedModel(cand.name, pipeline, ovr_margin=True, numeric=numeric, categorical=categorical, head=head, kernel=kernel)
+
+
 def _fit_ensemble(cand: Candidate, data: DataFrame, numeric, categorical, stages: list, classes, folder: str, key: str) -> FittedModel:
     pipeline = Pipeline(stages=stages).fit(data)
     # Every pass of the fit reads assembled vectors.
@@ -219,6 +237,8 @@ def predict(model: FittedModel, df: DataFrame, classes=TIER_ORDER) -> DataFrame:
     classes; ties in argmax go to the first class.
     """
     out = model.pipeline.transform(df)
+    if model.head is not None:
+        out = model.head.transform(model.kernel.mapped(out))
     k = len(classes)
     if model.class_shares is not None:
         # Probabilities are the class shares; the predicted class is drawn by a
@@ -498,6 +518,7 @@ def artifact_metadata(spark, model: FittedModel, cfg: Config = CONFIG, metrics:
         "best_model": model.name, "majority": model.majority, "ovr_margin": model.ovr_margin,
         "class_shares": model.class_shares, "seed": model.seed,
         "trees": model.trees is not None, "margins": model.margins, "importances": model.importances,
+        "kernel": model.kernel.described() if model.kernel else None,
         "numeric_features": model.numeric, "categorical_features": model.categorical,
         "snapshot_date": cfg.snapshot_date,
         "trained_at": datetime.datetime.now(datetime.timezone.utc).isoformat(timespec="seconds"),
@@ -513,6 +534,8 @@ def save_model(spark, model: FittedModel, path: str, cfg: Config = CONFIG, metri
     model.pipeline.write().overwrite().save(f"{path}/pipeline")
     if model.trees is not None:
         T.save_trees(spark, model.trees, f"{path}/trees")
+    if model.head is not None:
+        model.head.write().overwrite().save(f"{path}/head")
     artifact_metadata(spark, model, cfg, metrics).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
 
 
@@ -522,7 +545,9 @@ def load_model(spark, path: str) -> FittedModel:
     return FittedModel(meta["best_model"], PipelineModel.load(f"{path}/pipeline"), majority=meta["majority"],
                        class_shares=meta["class_shares"], seed=meta["seed"], ovr_margin=meta["ovr_margin"], numeric=meta["numeric_features"],
                        categorical=meta["categorical_features"], trees=T.load_trees(spark, f"{path}/trees") if meta["trees"] else None,
-                       margins=meta["margins"], importances=meta["importances"])
+                       margins=meta["margins"], importances=meta["importances"],
+                       head=OneVsRestModel.load(f"{path}/head") if meta["kernel"] else None,
+                       kernel=KernelMap(**meta["kernel"]) if meta["kernel"] else None)
 
 
 def stored_property_levels(model: FittedModel) -> list[str]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -748,6 +749,7 @@ from tierscope.config import CONFIG, RESEARCH_TIER_ORDER, TIER_ORDER, Config  #
 from tierscope.plans import importance as IMP  # noqa: E402
 from tierscope.plans import model as M  # noqa: E402
 from tierscope.plans import research_model as RM  # noqa: E402
+from tierscope.plans.kernel_map import KernelMap  # noqa: E402
 from tierscope.plans.kept import fingerprint, kept, kept_table, shared_root  # noqa: E402
 
 # The jobs train with the settings of CONFIG.  A registered query is one run
@@ -1049,6 +1051,27 @@ def j11_covariance(spark, sf):
     return cov
 
 
+@register("j14_rbf_svm")
+def j14_rbf(spark, sf):
+    """The margin classifier with a curved boundary, over a random feature map of the RBF kernel."""
+    return _research_fit(spark, sf, "rbf_svm", RM.NUMERIC, RM.CATEGORICAL)
+
+
+_MAP = KernelMap(width=len(RM.NUMERIC), size=4)
+_MAP_X = "[" + ", ".join(f"(CAST(p.{c} AS DOUBLE) - (SELECT avg(CAST({c} AS DOUBLE)) FROM tr)) / (SELECT stddev_pop(CAST({c} AS DOUBLE)) FROM tr)" for c in RM.NUMERIC) + "]"
+
+
+@register("j14_map_values", _research_cte(f"""WITH {_R_TRAIN}
+SELECT row_key, {", ".join(f"round(cos(list_dot_product(x, {w.tolist()}) + {float(b)!r}) * {float((2 / _MAP.size) ** 0.5)!r}, 6) AS z{i}" for i, (w, b) in enumerate(zip(*_MAP.weights(), strict=True)))}
+FROM (SELECT p.row_key, {_MAP_X} AS x FROM prepared p JOIN ({_R_SPLIT}) s ON s.row_key = p.row_key WHERE s.split = 'test')"""))
+def j14_values(spark, sf):
+    """The feature map over the scaled numeric inputs of the research test rows."""
+    train, test = _research(spark, sf)
+    s = train.agg(*[F.avg(F.col(c).cast("double")).alias(f"m_{c}") for c in RM.NUMERIC], *[F.stddev_pop(F.col(c).cast("double")).alias(f"s_{c}") for c in RM.NUMERIC]).first()
+    x = F.array(*[(F.col(c).cast("double") - F.lit(s[f"m_{c}"])) / F.lit(s[f"s_{c}"]) for c in RM.NUMERIC])
+    return test.select("row_key", _MAP.columns(x).alias("z")).select("row_key", *[F.round(F.col("z")[i], 6).alias(f"z{i}") for i in range(_MAP.size)])
+
+
 # Closed forms in SQL, for groups g of training rows (gtr) and of rows to score (gte).
 _X = [f"CAST({c} AS DOUBLE)" for c in RM.NUMERIC]
 _P = len(_X)
@@ -1164,6 +1187,96 @@ def j13(spark, sf):
     return RM.knn_predict(*_research(spark, sf))
 
 
+# A rule stands in for a model, so that donors, copies and drops have an oracle.
+_RULE = """CASE WHEN accommodates + coalesce(bedrooms, 0) >= 12 THEN 'Premium'
+  WHEN room_type IN ('Hotel room', 'Private room') OR amenities_count >= 3 THEN 'Mid-Market' ELSE 'Budget' END"""
+_RULE_INPUTS = ["accommodates", "bedrooms", "room_type", "amenities_count", "review_scores_rating"]
+
+
+def _importance_sql(repeats: int, seed: int = 42) -> str:
+    def rank(add):
+        return f"row_number() OVER (ORDER BY {stable_hash_sql('id', seed + add)}, id)"
+
+    def copy(c):
+        columns = ", ".join(f"d.{x} AS {x}" if x == c else f"p.{x} AS {x}" for x in _RULE_INPUTS)
+        return f"SELECT r, '{c}' AS feature, p.price_category, {columns} FROM te p JOIN dn d ON d.rk = p.pos"
+
+    donors = " UNION ALL ".join(f"SELECT {r} AS r, {rank(IMP.DONOR + r)} AS rk, {', '.join(_RULE_INPUTS)} FROM te" for r in range(repeats))
+    f1 = " + ".join(f"""CASE WHEN count(*) FILTER (WHERE price_category = '{t}') + count(*) FILTER (WHERE prediction = '{t}') > 0
+      THEN 2 * count(*) FILTER (WHERE price_category = '{t}' AND prediction = '{t}')
+        / (count(*) FILTER (WHERE price_category = '{t}') + count(*) FILTER (WHERE prediction = '{t}')) ELSE 0 END""" for t in TIER_ORDER)
+    return f"""WITH s AS ({_split_rows_sql(0.2, 42)}),
+te AS (SELECT p.id, p.price_category, {", ".join(f"p.{c}" for c in _RULE_INPUTS)}, row_number() OVER (ORDER BY {stable_hash_sql("p.id", seed + IMP.POSITION)}, p.id) AS pos
+       FROM prepared p JOIN s ON s.id = p.id WHERE s.split = 'test'),
+dn AS ({donors}),
+c AS ({" UNION ALL ".join(copy(c) for c in _RULE_INPUTS)}),
+per AS (SELECT r, feature, ({f1}) / 3 AS f1 FROM (SELECT *, {_RULE} AS prediction FROM c) GROUP BY 1, 2),
+whole AS (SELECT ({f1}) / 3 AS f1 FROM (SELECT *, {_RULE} AS prediction FROM te))
+SELECT feature, (SELECT f1 FROM whole) - avg(f1) AS importance, stddev_pop(f1) AS importance_std FROM per GROUP BY 1"""
+
+
+@register("j25_permutation_importance", _prepared_cte(_importance_sql(5)))
+def j25(spark, sf):
+    """Permutation importance of the stand-in rule's inputs on the test rows."""
+    return IMP.score_importance(lambda rows: rows.withColumn("prediction", F.expr(_RULE)), _RULE_INPUTS, _split_parts(spark, sf)[1])
+
+
+@register("j25_model_importance")
+def j25_model(spark, sf):
+    """Permutation importance of a trained model: the logistic regression, kept where a process fitted it before."""
+    return IMP.permutation_importance(_fitted(spark, sf, "logistic_regression"), _split_parts(spark, sf)[1], repeats=5)
+
+
+# What the models with an oracle say of the research test rows, side by side.
+_COMPARED = {"lda": "j11_linear_discriminant", "naive_bayes": "j12_naive_bayes", "baseline_random": "j07_random_baseline", "knn": "j13_knn"}
+_COMPARED_K = 9
+
+
+def _compared(query: str) -> str:
+    return f" WHERE k = {_COMPARED_K}" if query == "j13_knn" else ""
+
+
+def _n(condition: str) -> str:
+    return f"count(*) FILTER (WHERE {condition})"
+
+
+def _ratio(a: str, b: str) -> str:
+    return f"CASE WHEN {b} > 0 THEN ({a}) / ({b}) ELSE 0.0e0 END"
+
+
+def _comparison_columns() -> str:
+    out = []
+    for t in RESEARCH_TIER_ORDER:
+        tp, real, said = _n(f"label = '{t}' AND prediction = '{t}'"), _n(f"label = '{t}'"), _n(f"prediction = '{t}'")
+        out += [f'{_ratio(tp, real)} AS "sensitivity_{t}"', f'{_ratio(f"count(*) - {real} - {said} + {tp}", f"count(*) - {real}")} AS "specificity_{t}"',
+                f'{_ratio(tp, said)} AS "precision_{t}"', f'{_ratio(f"2 * {tp}", f"{real} + {said}")} AS "f1_{t}"']
+    return ", ".join(out)
+
+
+_CHANCE = "(" + " + ".join(f"""{_n(f"label = '{t}'")} * {_n(f"prediction = '{t}'")}""" for t in RESEARCH_TIER_ORDER) + ") / (count(*) * count(*))"
+
+
+@register("j31_model_comparison", "SELECT *, (" + " + ".join(f'"f1_{t}"' for t in RESEARCH_TIER_ORDER) + f""") / {len(RESEARCH_TIER_ORDER)} AS f1_macro,
+  (accuracy - chance) / (1 - chance) AS kappa FROM (
+SELECT model, count(*) AS n, {_n("label = prediction")} / count(*) AS accuracy, {_CHANCE} AS chance, {_comparison_columns()} FROM ("""
+          + " UNION ALL ".join(f"SELECT '{m}' AS model, label, prediction FROM ({ORACLES[q]}){_compared(q)}" for m, q in _COMPARED.items()) + ") GROUP BY 1)")
+def j31(spark, sf):
+    """Accuracy, agreement beyond chance and each class's figures of the research models."""
+    parts = [QUERIES[q](spark, sf) for q in _COMPARED.values()]
+    parts = [p.where(F.col("k") == _COMPARED_K) if "k" in p.columns else p for p in parts]
+    rows = reduce(DataFrame.unionByName, [p.select(F.lit(m).alias("model"), "label", "prediction") for m, p in zip(_COMPARED, parts, strict=True)])
+    return ev.model_comparison(rows, RESEARCH_TIER_ORDER)
+
+
+@register("a06_importance_report", _prepared_cte(_importance_sql(5)))
+def a06(spark, sf):
+    """Importances written as a JSON report and read back."""
+    from tierscope.sources.files import read_json_report, write_json_report
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tierscope_reports/{uuid.uuid4().hex}"
+    write_json_report(j25(spark, sf), path)
+    return read_json_report(spark, path, "feature string, importance double, importance_std double")
+
+
 # ----------------------------------------------------------------------------- sources
 @register("a03_landed_raw_snapshot", with_base("SELECT * FROM listings_raw"))
 def a03(spark, sf):
@@ -1282,46 +1395,6 @@ def e39(spark, sf):
     return pf.feature_type_summary(base.research_prepared(spark, sf).select(*RM.INPUTS))
 
 
-# A rule stands in for a model, so that donors, copies and drops have an oracle.
-_RULE = """CASE WHEN accommodates + coalesce(bedrooms, 0) >= 12 THEN 'Premium'
-  WHEN room_type IN ('Hotel room', 'Private room') OR amenities_count >= 3 THEN 'Mid-Market' ELSE 'Budget' END"""
-_RULE_INPUTS = ["accommodates", "bedrooms", "room_type", "amenities_count", "review_scores_rating"]
-
-
-def _importance_sql(repeats: int, seed: int = 42) -> str:
-    def rank(add):
-        return f"row_number() OVER (ORDER BY {stable_hash_sql('id', seed + add)}, id)"
-
-    def copy(c):
-        columns = ", ".join(f"d.{x} AS {x}" if x == c else f"p.{x} AS {x}" for x in _RULE_INPUTS)
-        return f"SELECT r, '{c}' AS feature, p.price_category, {columns} FROM te p JOIN dn d ON d.rk = p.pos"
-
-    donors = " UNION ALL ".join(f"SELECT {r} AS r, {rank(IMP.DONOR + r)} AS rk, {', '.join(_RULE_INPUTS)} FROM te" for r in range(repeats))
-    f1 = " + ".join(f"""CASE WHEN count(*) FILTER (WHERE price_category = '{t}') + count(*) FILTER (WHERE prediction = '{t}') > 0
-      THEN 2 * count(*) FILTER (WHERE price_category = '{t}' AND prediction = '{t}')
-        / (count(*) FILTER (WHERE price_category = '{t}') + count(*) FILTER (WHERE prediction = '{t}')) ELSE 0 END""" for t in TIER_ORDER)
-    return f"""WITH s AS ({_split_rows_sql(0.2, 42)}),
-te AS (SELECT p.id, p.price_category, {", ".join(f"p.{c}" for c in _RULE_INPUTS)}, row_number() OVER (ORDER BY {stable_hash_sql("p.id", seed + IMP.POSITION)}, p.id) AS pos
-       FROM prepared p JOIN s ON s.id = p.id WHERE s.split = 'test'),
-dn AS ({donors}),
-c AS ({" UNION ALL ".join(copy(c) for c in _RULE_INPUTS)}),
-per AS (SELECT r, feature, ({f1}) / 3 AS f1 FROM (SELECT *, {_RULE} AS prediction FROM c) GROUP BY 1, 2),
-whole AS (SELECT ({f1}) / 3 AS f1 FROM (SELECT *, {_RULE} AS prediction FROM te))
-SELECT feature, (SELECT f1 FROM whole) - avg(f1) AS importance, stddev_pop(f1) AS importance_std FROM per GROUP BY 1"""
-
-
-@register("j25_permutation_importance", _prepared_cte(_importance_sql(5)))
-def j25(spark, sf):
-    """Permutation importance of the stand-in rule's inputs on the test rows."""
-    return IMP.score_importance(lambda rows: rows.withColumn("prediction", F.expr(_RULE)), _RULE_INPUTS, _split_parts(spark, sf)[1])
-
-
-@register("j25_model_importance")
-def j25_model(spark, sf):
-    """Permutation importance of a trained model: the logistic regression, kept where a process fitted it before."""
-    return IMP.permutation_importance(_fitted(spark, sf, "logistic_regression"), _split_parts(spark, sf)[1], repeats=5)
-
-
 # ----------------------------------------------------------------------------- reports + vocabularies
 from tierscope.operators.features import frequent_levels, top_levels  # noqa: E402
 
