@@ -1,7 +1,7 @@
 """Fitted models and scores that outlive a process, in the shared folder.
 
-An entry is found by a fingerprint of the rows it was made from and of the
-settings.  It is written to a folder of its own and listed last, so one that
+An entry is found by a fingerprint of the rows it was made from, of the
+settings and of this library's code.  It is written to a folder of its own and listed last, so one that
 was cut off is never read, and two writers do not meet; a reader takes the
 first that is listed.
 """
@@ -11,6 +11,8 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable
+from functools import cache
+from pathlib import Path
 from typing import TypeVar
 
 import pyspark
@@ -18,6 +20,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import tierscope
+from tierscope import __version__
 from tierscope.session import checkpoint_dir
 
 T = TypeVar("T")
@@ -29,12 +33,23 @@ def shared_root(spark: SparkSession) -> str:
     return f"{(named or checkpoint_dir(spark)).rstrip('/')}/tierscope_kept"
 
 
+@cache
+def _code() -> str:
+    """Of the modules that fit and read; the optional operators have no part in it."""
+    digest = hashlib.sha256(__version__.encode())
+    here = Path(tierscope.__file__).parent
+    for f in sorted(here.rglob("*.py")):
+        if f.relative_to(here).parts[0] in ("config.py", "functions", "operators", "plans"):
+            digest.update(f.read_bytes())
+    return digest.hexdigest()
+
+
 def fingerprint(rows: DataFrame, *settings) -> str:
     """Of the rows, in any order, their columns and the settings."""
     # Two sums of a 64-bit hash, so that repeated rows count; maps and vectors have no hash and no place here.
     h = F.xxhash64(*sorted(rows.columns))
     found = rows.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(20,0)")), F.sum(F.xxhash64(h, F.lit(1)).cast("decimal(20,0)"))).first()
-    parts = [*map(str, found), repr(sorted(rows.dtypes)), *map(repr, settings), pyspark.__version__]
+    parts = [*map(str, found), repr(sorted(rows.dtypes)), *map(repr, settings), pyspark.__version__, _code()]
     return hashlib.sha256("\n".join(parts).encode()).hexdigest()[:32]
 
 
