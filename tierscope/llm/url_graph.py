@@ -26,8 +26,9 @@ from tierscope.llm.common import SALTS, checkpoint
 from tierscope.operators.skew import join_on_hot_keys
 
 DAMPING = 0.85
-ROUNDS = 20
-STILL = 1e-12      # rounds end when no host changes by more
+STILL = 1e-6       # rounds end when no host changes by more; what is left to come is below 6e-6, far under MARGIN
+ROUNDS = 500       # more mean an error
+SQL_ROUNDS = 90    # of the oracle: 0.85 ** 90 is below STILL
 MARGIN = 0.01
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
@@ -91,7 +92,9 @@ def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     seed = checkpoint(hosts.groupBy("host").agg(F.max("trust").alias("trust"), F.max("distrust").alias("distrust"))
                       .selectExpr("host", "stack(2, 'trust', trust, 'distrust', distrust) as (kind, seed)"))
     state = seed.withColumn("rank", F.col("seed") * (1 - DAMPING))
-    for _ in range(ROUNDS):
+    for n in range(ROUNDS + 1):
+        if n == ROUNDS:
+            raise RuntimeError(f"the ranks of hosts still move after {ROUNDS} rounds")
         given = (state.filter("rank > 0").select(F.col("host").alias("from"), "kind", "rank")
                  .withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})"))))
         got = (flow.join(given, ["kind", "from", "salt"])
@@ -133,7 +136,7 @@ def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
     rounds = "".join(f""",
 t{k + 1} as materialized (select s.host, {1 - DAMPING} * s.trust + {DAMPING} * coalesce((select sum(t.trust * n / out_n) from flow join t{k} t on t.host = src where dst = s.host), 0) as trust,
   {1 - DAMPING} * s.distrust + {DAMPING} * coalesce((select sum(t.distrust * n / in_n) from flow join t{k} t on t.host = dst where src = s.host), 0) as distrust from seed s)"""
-                     for k in range(ROUNDS))
+                     for k in range(SQL_ROUNDS))
     return rf"""
 with u as (select page_id, html, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{upper}', '{lower}'), '') as host,
              coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path from pages),
@@ -147,5 +150,5 @@ seed as materialized (select host, max(trust) as trust, max(distrust) as distrus
     union all select src, 0, 0 from edges union all select dst, 0, 0 from edges) group by host),
 t0 as materialized (select host, {1 - DAMPING} * trust as trust, {1 - DAMPING} * distrust as distrust from seed){rounds}
 select page_id, p.host, path, rule, coalesce(by_rule, case when distrust > trust + {MARGIN} then 'block' else 'allow' end) as verdict
-from p left join t{ROUNDS} t on t.host = p.host
+from p left join t{SQL_ROUNDS} t on t.host = p.host
 """
