@@ -121,10 +121,17 @@ def predictions(rows: DataFrame, models: dict[tuple, list[tuple]], by: list[tupl
     classes = list(classes)
     spark = rows.sparkSession
     one = f"array<struct<{', '.join(f.replace(' ', ':', 1) for f in MODEL.split(', '))}>>"
-    data = [(*key, [tuple(r) for r in fitted]) for key, fitted in models.items()]
-    table = spark.createDataFrame(data, ", ".join([*[f"{n} {t}" for n, t in by], f"models {one}"]))
-    # One row a model: folds x repeats of them.
-    joined = rows.join(F.broadcast(table), [n for n, _ in by]) if by else rows.crossJoin(F.broadcast(table))   # by nothing: one model
+    if by:
+        data = [(*key, [tuple(r) for r in fitted]) for key, fitted in models.items()]
+        table = spark.createDataFrame(data, ", ".join([*[f"{n} {t}" for n, t in by], f"models {one}"]))
+        # One row a model: folds x repeats of them.
+        joined = rows.join(F.broadcast(table), [n for n, _ in by])
+    else:   # one model: written down
+        def known(levels):
+            return F.create_map(*[F.lit(x) for pair in levels.items() for x in pair]).cast("map<string,double>")
+
+        joined = rows.withColumn("models", F.array(*[F.struct(*[F.lit(v).alias(n.split()[0]) for n, v in zip(MODEL.split(", "), r[:-1], strict=False)],
+                                                              known(r[-1]).alias("levels")) for r in models[()]]))
     x = F.array(*[F.col(c).cast("double") for c in numeric])
     named = [F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in levels]
     scored = joined.withColumn("_s", F.transform("models", lambda m: F.struct(m["class"].alias("class"), _score(m, x, named).alias("s"))))
