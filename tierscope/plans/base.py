@@ -55,7 +55,8 @@ def landed_cleaned(spark: SparkSession, sf_dir: str, cfg: Config = CONFIG) -> Da
     """The cleaned table written once: the feature job reads it to fit its vocabulary and again to apply it."""
     counts = (Observation("cleaning_in"), Observation("cleaning_out"))
     written = (spark.sparkContext.applicationId, "cleaned", sf_dir, cfg) in _PREPARED
-    out = _materialized(spark, "cleaned", sf_dir, cfg, lambda: clean_listings(loaded(spark, sf_dir), cfg, counts))
+    # A session of its own counts: one that has observed can't ship MLlib models that hold their training summary.
+    out = _materialized(spark, "cleaned", sf_dir, cfg, lambda: clean_listings(loaded(spark.newSession(), sf_dir), cfg, counts))
     if not written:
         write_json_report(observed_retention(spark, counts), _path(spark, "retention", sf_dir, cfg))
     return out
