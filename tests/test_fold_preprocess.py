@@ -52,3 +52,16 @@ def test_a_prepared_table_is_written_by_small_methods(spark, tmp_dir, monkeypatc
     monkeypatch.setattr(base, "write_snapshot", lambda df, *rest: (seen.append(df.sparkSession.conf.get(name)), write(df, *rest)))
     out = base._materialized(spark, "small_methods", tmp_dir, base.CONFIG, lambda: spark.newSession().range(3).toDF("id"))
     assert seen == [limit] and spark.conf.get(name, None) == before and out.count() == 3
+
+
+def test_vectors_of_a_fit_are_spread(spark, monkeypatch):
+    rows = [(i, "ab"[i % 2], float(i % 17), ["Budget", "Premium"][i % 17 > 8]) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, level string, x double, price_category string").coalesce(1)
+    assert M.spread(df, 600).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(M, "VECTORS", 100)
+    parts = M.spread(df, 600).rdd.glom().map(len).collect()
+    assert len(parts) == 6 and sum(parts) == 600 and max(parts) <= 200
+    seen, spread = [], M.spread
+    monkeypatch.setattr(M, "spread", lambda rows, n: (out := spread(rows, n), seen.append(out.rdd.getNumPartitions()))[0])
+    fitted = M.fit_candidate(M.candidates()["logistic_regression"], df, ["x"], ["level"])
+    assert seen == [6] and fitted.pipeline.transform(df).where("prediction <> label_idx").count() < 30
