@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tierscope.config import TIER_ORDER
 from tierscope.operators.features import collapse_rare
 from tierscope.plans import model as M
 
@@ -65,3 +66,13 @@ def test_vectors_of_a_fit_are_spread(spark, monkeypatch):
     monkeypatch.setattr(M, "spread", lambda rows, n: (out := spread(rows, n), seen.append(out.rdd.getNumPartitions()))[0])
     fitted = M.fit_candidate(M.candidates()["logistic_regression"], df, ["x"], ["level"])
     assert seen == [6] and fitted.pipeline.transform(df).where("prediction <> label_idx").count() < 30
+
+
+def test_evaluation_holds_only_what_it_reads(spark, monkeypatch):
+    rows = [(i, "wide " * 50, TIER_ORDER[i % 3], TIER_ORDER[i // 2 % 3], 0.2, 0.3, 0.5) for i in range(30)]
+    frame = spark.createDataFrame(rows, ["id", "wide", "label", "prediction", *[f"score_{c}" for c in TIER_ORDER]])
+    held, cache = [], type(frame).cache
+    monkeypatch.setattr(M, "scored_frame", lambda model, test: frame)
+    monkeypatch.setattr(type(frame), "cache", lambda self: held.append(self.columns) or cache(self))
+    assert M.evaluate(None, None)["n"] == 30
+    assert held == [["label", "prediction", *[f"score_{c}" for c in TIER_ORDER]]]
