@@ -100,3 +100,30 @@ def test_malformed_amenities(spark):
              '["a", "b"]': ["a", "b"], '{"a": 1}': [], '"text"': [], "7": []}
     df = _col(spark, list(cases))
     assert {r.v: r.items_ for r in df.select("v", parse_amenities(F.col("v")).alias("items_")).collect()} == cases
+
+
+def test_plain_amenities_are_not_parsed(spark, monkeypatch):
+    """Lists of quoted items and plain words need no JSON parser; what is neither still goes through it."""
+    cases = {'["Wifi", "Pool"]': ["Wifi", "Pool"], '["A, B"]': ["A, B"], '["a","",  "b"]': ["a", "", "b"], '[""]': [""],
+             '["a", ", ", "b"]': ["a", ", ", "b"], "not json [Kitchen, Pool]": ["not json [Kitchen", "Pool"], "NaN": ["NaN"]}
+    other = {'["a" "b"]': ['a" "b'], '["a","]': ["a"], '["\\u0041"]': ["A"], '["a", 1]': ["a", "1"], "true": [], "nullable": ["nullable"], '["a"] ': ["a"],
+             '["]': []}
+    df, rest = _col(spark, list(cases)), _col(spark, list(other))
+    assert {r.v: r.i for r in rest.select("v", parse_amenities(F.col("v")).alias("i")).collect()} == other
+    monkeypatch.setattr(F, "try_parse_json", lambda c: F.raise_error(F.lit("parsed")))
+    assert {r.v: r.i for r in df.select("v", parse_amenities(F.col("v")).alias("i")).collect()} == cases
+
+
+def test_typed_numbers_are_parsed_once(spark):
+    from tierscope.config import RAW_COLUMNS
+    from tierscope.operators.clean import typed_listings
+    text = {"price", "bathrooms_text", "host_response_rate", "host_acceptance_rate", "amenities"}
+    schema = ", ".join(f"{c} {'string' if c in text else 'double'}" for c in RAW_COLUMNS) + ", ingest_seq long"
+    rows = [(i, "195%", "40%%", b) for i, b in enumerate(["1.5 baths", "Half-bath", "none", None])]
+    df = spark.createDataFrame([tuple({"id": float(i), "ingest_seq": i, "price": "$1,200.00", "host_response_rate": r, "host_acceptance_rate": a,
+                                       "bathrooms_text": b}.get(c) for c in [*RAW_COLUMNS, "ingest_seq"]) for i, r, a, b in rows], schema)
+    typed = typed_listings(df)
+    got = typed.select("price_numeric", "host_response_rate", "host_acceptance_rate", "bathrooms").collect()
+    assert [tuple(r) for r in got] == [(1200.0, 1.0, 0.4, x) for x in (1.5, 0.5, None, None)]
+    plan = typed.select("host_response_rate", "bathrooms")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(host_response_rate") == 1 and plan.count("regexp_extract(bathrooms_text") == 1

@@ -55,6 +55,18 @@ def test_a_prepared_table_is_written_by_small_methods(spark, tmp_dir, monkeypatc
     assert seen == [limit] and spark.conf.get(name, None) == before and out.count() == 3
 
 
+def test_a_prepared_table_is_made_by_small_scans(spark, tmp_dir, monkeypatch):
+    from tierscope.plans import base
+    from tierscope.session import SCAN_SIZE
+
+    name, size = SCAN_SIZE
+    before, seen = spark.conf.get(name, None), []
+    write = base.write_snapshot
+    monkeypatch.setattr(base, "write_snapshot", lambda df, *rest: (seen.append(df.sparkSession.conf.get(name)), write(df, *rest)))
+    out = base._materialized(spark, "small_scans", tmp_dir, base.CONFIG, lambda: spark.newSession().range(3).toDF("id"))
+    assert seen == [size] and spark.conf.get(name, None) == before and out.count() == 3
+
+
 def test_vectors_of_a_fit_are_spread(spark, monkeypatch):
     rows = [(i, "ab"[i % 2], float(i % 17), ["Budget", "Premium"][i % 17 > 8]) for i in range(600)]
     df = spark.createDataFrame(rows, "id long, level string, x double, price_category string").coalesce(1)
